@@ -3,12 +3,12 @@
 No window aggregate expresses an exponentially weighted mean with gaps, so one
 grouped pandas pass per ticker computes all of them together. A group is one
 ticker's calendar (a bounded number of rows), and the pass reuses the
-partitioning of the ticker windows around it.
+partitioning of the ticker windows before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,35 +22,58 @@ def span(n: float) -> float:
     return 2.0 / (n + 1.0)
 
 
-def ewm(
-    df: DataFrame,
-    columns: Mapping[str, tuple[str, float]],
-    then=None,
-    then_columns: Sequence[str] = (),
-    carry: Sequence[str] | None = None,
+def smooth(x: pd.Series, alpha: float, min_periods: int = 0) -> pd.Series:
+    """Exponentially weighted mean: the first value starts it, gaps decay the old weight."""
+    return x.astype("float64").ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()
+
+
+def per_ticker(
+    df: DataFrame, carry: Sequence[str], inputs: Sequence[str], outputs: Sequence[str],
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
 ) -> DataFrame:
-    """Add exponentially weighted means: out -> (x, alpha).
+    """Add double columns that ``fn`` computes from one ticker's rows in calendar order.
 
-    Gaps keep the last mean and decay the old weight; the first value starts
-    the recursion. ``then(pdf)`` may add further columns from the means
-    (a second smoothing), named in ``then_columns``. ``carry`` limits the
-    columns that travel through Python.
+    Only ``carry`` and ``inputs`` travel through Python; the result holds
+    ``carry`` and ``outputs``. NaN and infinities come back as NULL.
     """
-    keep = list(carry) if carry is not None else df.columns
-    fields = [f for f in df.schema.fields if f.name in keep]
-    outs = [*columns, *then_columns]
-    schema = T.StructType([*fields, *[T.StructField(o, T.DoubleType()) for o in outs]])
-    plan = {out: (x, float(alpha)) for out, (x, alpha) in columns.items()}
-    inputs = list(dict.fromkeys([*keep, *[x for x, _ in plan.values()]]))
+    fields = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*[fields[c] for c in carry], *[T.StructField(o, T.DoubleType()) for o in outputs]])
+    wanted = list(dict.fromkeys([*carry, *inputs]))
+    keep, outs = list(carry), list(outputs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        for out, (x, alpha) in plan.items():
-            pdf[out] = pdf[x].astype("float64").ewm(alpha=alpha, adjust=False).mean()
-        if then is not None:
-            pdf = then(pdf)
-        pdf = pdf[[*keep, *outs]]
-        return pdf.replace([np.inf, -np.inf], np.nan)
-
-    # pandas NaN comes back as NULL through Arrow
-    return df.select(*inputs).groupBy(ENTITY).applyInPandas(run, schema)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pdf = fn(pdf.sort_values(ORDER))
+        pdf[outs] = pdf[outs].astype("float64").replace([np.inf, -np.inf], np.nan)
+        return pdf[[*keep, *outs]]
+
+    return df.select(*wanted).groupBy(ENTITY).applyInPandas(run, schema)
+
+
+def ewm(df: DataFrame, columns: Mapping[str, tuple[str, float]], carry: Sequence[str] | None = None) -> DataFrame:
+    """Add exponentially weighted means: out -> (x, alpha)."""
+    plan = {out: (x, float(alpha)) for out, (x, alpha) in columns.items()}
+
+    def fn(pdf):
+        return pdf.assign(**{out: smooth(pdf[x], a) for out, (x, a) in plan.items()})
+
+    return per_ticker(df, carry or df.columns, [x for x, _ in plan.values()], list(plan), fn)
+
+
+def fisher(price: np.ndarray, k: int) -> np.ndarray:
+    """Fisher transform of a price's place in its own k-row range.
+
+    Rows without a full range leave the state as it is and give no value.
+    """
+    s = pd.Series(price)
+    low, high = s.rolling(k).min().to_numpy(), s.rolling(k).max().to_numpy()
+    place = (price - low) / np.maximum(high - low, 0.001) - 0.5
+    out = np.full(len(price), np.nan)
+    value = level = 0.0
+    for i, p in enumerate(place):
+        if np.isnan(p):
+            continue
+        value = min(max(0.66 * p + 0.67 * value, -0.999), 0.999)
+        level = 0.5 * (np.log((1 + value) / (1 - value)) + level)
+        out[i] = level
+    return out

@@ -87,7 +87,13 @@ def main():
                 bad.append(name)
                 sa, sb = set(a), set(b)
                 print(f"DIFF {name}: spark {len(a)} rows, sql {len(b)} rows; only-spark {len(sa - sb)}, only-sql {len(sb - sa)}")
-                print("  columns", sorted(cols))
+                names = sorted(cols)
+                differ = [n for i, n in enumerate(names) if sorted(x[i] for x in a) != sorted(x[i] for x in b)]
+                print("  differing columns", differ, "of", names if len(names) < 12 else len(names))
+                if len(names) >= 12:
+                    pick = [i for i, n in enumerate(names) if n in ("date", "ticker") or n in differ]
+                    sa, sb = {tuple(x[i] for i in pick) for x in sa}, {tuple(x[i] for i in pick) for x in sb}
+                    sa, sb = sa - sb, sb - sa
                 for x in sorted(sa - sb)[: args.show]:
                     print("  spark", x)
                 for x in sorted(sb - sa)[: args.show]:
