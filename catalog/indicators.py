@@ -119,7 +119,7 @@ def _mode(m, m5, m20, sfx):
            f"cat_ret_5d{sfx}": m5, f"rel_str_5d{sfx}": f"ret_5d - {m5}"}
     two = {f"resid_ret_5d{sfx}": f"ret_5d - beta_60d{sfx} * {m5}", f"resid_ret_20d{sfx}": f"ret_20d - beta_60d{sfx} * {m20}",
            f"idio_vol_20d{sfx}": f"CASE WHEN corr_cat_60d{sfx} IS NOT NULL THEN vol_20d * sqrt(1 - least(1, corr_cat_60d{sfx} * corr_cat_60d{sfx})) END",
-           f"tstat_rel_5d{sfx}": f"rel_str_5d{sfx} / greatest(vol_20d / sqrt(252) * sqrt(5), 1e-6)"}
+           f"tstat_rel_5d{sfx}": f"CASE WHEN vol_20d IS NOT NULL THEN rel_str_5d{sfx} / greatest(vol_20d / sqrt(252) * sqrt(5), 1e-6) END"}
     return one, two
 
 
