@@ -6,6 +6,7 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NORMAL = NormalDist()
@@ -56,19 +57,28 @@ def t_cdf_value(t: float, df: float) -> float:
     return 1.0 - tail if t > 0 else tail
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
+def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(normal_cdf_value, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
-def normal_ppf(p: pd.Series) -> pd.Series:
+def _normal_ppf(p: pd.Series) -> pd.Series:
     return p.map(normal_ppf_value, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
-def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     known = t.notna() & df.notna()
     out = pd.Series(float("nan"), index=t.index)
     out[known] = [t_cdf_value(a, b) for a, b in zip(t[known], df[known])]
     return out
+
+
+def normal_cdf(z) -> Column:
+    return F.pandas_udf(_normal_cdf, "double")(z)
+
+
+def normal_ppf(p) -> Column:
+    return F.pandas_udf(_normal_ppf, "double")(p)
+
+
+def t_cdf(t, df) -> Column:
+    return F.pandas_udf(_t_cdf, "double")(t, df)
