@@ -9,7 +9,7 @@ from catalog.base import r, rs
 from catalog.evaluation import ic_sql, nw_sql
 from catalog.portfolios import H, PY, basket_sql, frame_sql, rebalance_sql, turn_sql, weight_sql
 from catalog.registry import query
-from catalog.scored import SCORED_SQL, scored
+from catalog.scored import SCORED_SQL, scored, scored_table
 from crosspanel.operators import overfit as O
 from crosspanel.operators import portfolio as PF
 
@@ -24,7 +24,7 @@ def configs(spark, buffers=(0.0,)):
 
 
 def returns(spark, sf, buffers=(0.0,)):
-    sc = scored(spark, sf).select("date", "ticker", "score", "fwd_ret", "adv", "rel")
+    sc = scored_table(spark, sf).select("date", "ticker", "score", "fwd_ret", "adv", "rel")
     return O.config_returns(sc, configs(spark, buffers), H, group_rows=B.universe_rows(spark, sf))
 
 

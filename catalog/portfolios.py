@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import base as B
 from catalog.base import r, rs
 from catalog.registry import query
-from catalog.scored import ARMS_SQL, SCORED_SQL, arms, scored
+from catalog.scored import ARMS_SQL, SCORED_SQL, arms, scored_table
 from crosspanel.operators import cross as X
 from crosspanel.operators import joins as J
 from crosspanel.operators import portfolio as PF
@@ -71,21 +71,21 @@ def show(df, *by):
 
 @query("B1 B2 B3 B4 B5", f"{backtest_sql()} SELECT {PERIOD} FROM pf")
 def equal_weight_backtest(spark, sf):
-    return show(PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)))
+    return show(PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)))
 
 
 @query("B3 B4 B5", f"{backtest_sql(0.33, 'score')} SELECT {PERIOD} FROM pf")
 def score_weight_backtest(spark, sf):
-    return show(PF.backtest(scored(spark, sf), H, 0.33, weight="score", group_rows=n_rows(spark, sf)))
+    return show(PF.backtest(scored_table(spark, sf), H, 0.33, weight="score", group_rows=n_rows(spark, sf)))
 
 
 @query("B3 B4 B5", f"{backtest_sql(0.33, 'invvol')} SELECT {PERIOD} FROM pf")
 def inverse_volatility_backtest(spark, sf):
-    return show(PF.backtest(scored(spark, sf), H, 0.33, weight="invvol", group_rows=n_rows(spark, sf)))
+    return show(PF.backtest(scored_table(spark, sf), H, 0.33, weight="invvol", group_rows=n_rows(spark, sf)))
 
 
 def arm_rows(spark, sf):
-    return arms(scored(spark, sf))
+    return arms(scored_table(spark, sf))
 
 
 ARM_SRC = "(SELECT arm, s AS score, * EXCLUDE (arm, s, score) FROM arms)"
@@ -106,7 +106,7 @@ def arm_summaries(spark, sf):
 
 @query("B7", f"{backtest_sql()} {summary_sql('pf', 'port', sd='stddev_pop')}")
 def population_summary(spark, sf):
-    return PF.summary(PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)), "port", PY, ddof=0)
+    return PF.summary(PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)), "port", PY, ddof=0)
 
 
 TIERS = [(200000.0, 1.0), (160000.0, 3.0), (120000.0, 10.0), (0.0, 80.0)]
@@ -126,7 +126,7 @@ def _grid_sql():
 @query("B8 J11", _grid_sql())
 def breakeven_grid(spark, sf):
     n = n_rows(spark, sf)
-    sc = scored(spark, sf)
+    sc = scored_table(spark, sf)
     bps = sc.agg(F.avg(PF.spread_of("adv", TIERS))).scalar()
     tops = F.explode(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.33)))
     rows = PF.rebalance_rows(sc.withColumn("top", tops), H, ["top"], min_rows=6)
@@ -151,7 +151,7 @@ ch AS (SELECT k, count(*) / 12.0 AS turn FROM (SELECT coalesce(a.k, b.k + 1) AS
 @query("B9 J12", f"""{LS} SELECT date, {rs('long', 'short', 'bench')}, {r('coalesce(turn, 0)', 'turn')}, {r('long - short', 'gross')},
   {r('long - short - coalesce(turn, 0) * 15 / 1e4', 'net')} FROM fr LEFT JOIN ch USING (k)""")
 def long_short_books(spark, sf):
-    out = PF.long_short(scored(spark, sf), H, 6, 15.0, group_rows=n_rows(spark, sf))
+    out = PF.long_short(scored_table(spark, sf), H, 6, 15.0, group_rows=n_rows(spark, sf))
     return out.select("date", "long", "short", "bench", "turn", "gross", "net")
 
 
@@ -166,7 +166,7 @@ ch AS (SELECT kk, count(*) AS changed FROM (SELECT coalesce(a.kk, b.kk + 1) AS k
 @query("B10", f"""{CLS} SELECT date, n_long, n_short, {r('long')}, {r('short')}, {r('coalesce(changed, 0) / (n_long + n_short)', 'turn')},
   {r('long - short - coalesce(changed, 0) / (n_long + n_short) * 15 / 1e4', 'net')} FROM l1 LEFT JOIN ch USING (kk)""")
 def conviction_books(spark, sf):
-    out = PF.conviction_long_short(scored(spark, sf), H, "confidence", "ret_20d", 0.75, 15.0, n_rows(spark, sf))
+    out = PF.conviction_long_short(scored_table(spark, sf), H, "confidence", "ret_20d", 0.75, 15.0, n_rows(spark, sf))
     return out.select("date", "n_long", "n_short", "long", "short", "turn", "net")
 
 
@@ -181,7 +181,7 @@ sz AS (SELECT k, count(*) FILTER (part = 'core') AS n_core, count(*) FILTER (par
 
 @query("B11 J9", f"{CSAT} SELECT date, n_core, n_sat, {rs('port', 'bench', 'turn', 'excess_net')} FROM pf JOIN sz USING (k)")
 def core_satellite(spark, sf):
-    out = PF.core_satellite(scored(spark, sf), H, "vol_20d", "score", 15.0, group_rows=n_rows(spark, sf))
+    out = PF.core_satellite(scored_table(spark, sf), H, "vol_20d", "score", 15.0, group_rows=n_rows(spark, sf))
     return out.select("date", "n_core", "n_sat", "port", "bench", "turn", "excess_net")
 
 
@@ -194,7 +194,7 @@ def overlapping_cohorts(spark, sf):
     n = n_rows(spark, sf)
     from crosspanel.operators import rolling as R
 
-    picks = X.top_n(scored(spark, sf), X.DATE, "score", 5, group_rows=n).select("t", "ticker")
+    picks = X.top_n(scored_table(spark, sf), X.DATE, "score", 5, group_rows=n).select("t", "ticker")
     rets = B.panel(spark, sf).select("date", "t", "ticker", R.pct_change("close").alias("ret_1d"))
     return PF.overlapping_cohorts(picks, rets, 4, 10.0).select("date", "cohorts", "gross", "net")
 
@@ -202,7 +202,7 @@ def overlapping_cohorts(spark, sf):
 @query("B13 B14", f"""{backtest_sql()}, x AS (SELECT date, port - cost AS net, sum(port - cost) OVER (ORDER BY date) AS cum, exp(sum(ln(1 + port - cost)) OVER (ORDER BY date)) AS growth FROM pf)
 SELECT date, {rs('cum', 'growth')}, {r('cum - max(cum) OVER (ORDER BY date)', 'dd_add')}, {r('growth / max(growth) OVER (ORDER BY date) - 1', 'dd_mult')} FROM x""")
 def equity_curve(spark, sf):
-    bt = PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)).withColumn("net", F.col("port") - F.col("cost"))
+    bt = PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)).withColumn("net", F.col("port") - F.col("cost"))
     return PF.equity(bt, "net").select("date", "cum", "growth", "dd_add", "dd_mult")
 
 
@@ -210,7 +210,7 @@ def equity_curve(spark, sf):
   FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score, ticker) AS rn FROM rb)), d AS (SELECT date, tile, avg(fwd_ret) AS ret, count(*) AS n FROM q GROUP BY 1, 2)
 SELECT date, tile, n, {rs('ret')}, {r('exp(sum(ln(1 + ret)) OVER (PARTITION BY tile ORDER BY date))', 'growth')} FROM d""")
 def quantile_equity(spark, sf):
-    books = PF.quantile_books(scored(spark, sf), H, 5, n_rows(spark, sf))
+    books = PF.quantile_books(scored_table(spark, sf), H, 5, n_rows(spark, sf))
     return PF.equity(books, "ret", ["tile"]).select("date", "tile", "n", "ret", "growth")
 
 
@@ -231,14 +231,14 @@ SELECT count(*) AS n, {r('regr_slope(net, bench_ret)', 'beta')}, {r(f'regr_inter
   {r(f'avg(ex) * {PY}', 'excess')}, {r(f'avg(ex) * {PY} / (stddev_samp(ex) * sqrt({PY}))', 'ir')}, {r('avg(ex) / (stddev_samp(ex) / sqrt(count(*)))', 't')},
   {r('avg(CASE WHEN ex > 0 THEN 1.0 ELSE 0 END)', 'hit')} FROM x""")
 def benchmark_regression(spark, sf):
-    bt = PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf))
+    bt = PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf))
     bt = with_benchmark(spark, sf, bt.withColumn("net", F.col("port") - F.col("cost")))
     return PF.against_benchmark(bt, "net", "bench_ret", PY)
 
 
 @query("B16 J6", f"""{BT_BENCH} SELECT date, {r('sum(coalesce(net, 0)) OVER (ORDER BY date)', 'model')}, {r('sum(coalesce(bench_ret, 0)) OVER (ORDER BY date)', 'benchmark')} FROM wb""")
 def benchmark_curve(spark, sf):
-    bt = PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf))
+    bt = PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf))
     bt = with_benchmark(spark, sf, bt.withColumn("net", F.col("port") - F.col("cost")))
     model = PF.equity(bt, "net").select("date", F.col("cum").alias("model"))
     return model.join(PF.equity(bt, "bench_ret").select("date", F.col("cum").alias("benchmark")), "date")
@@ -248,7 +248,7 @@ def benchmark_curve(spark, sf):
 u AS (SELECT category, count(*) / sum(count(*)) OVER () AS s FROM (SELECT DISTINCT ticker, category FROM sc) GROUP BY 1)
 SELECT category, {r('p.s', 'pick_share')}, {r('u.s', 'universe_share')}, {r('p.s - coalesce(u.s, 0)', 'tilt')} FROM p LEFT JOIN u USING (category) ORDER BY p.s - coalesce(u.s, 0) DESC, category LIMIT 3""")
 def category_tilt(spark, sf):
-    sc = scored(spark, sf)
+    sc = scored_table(spark, sf)
     picks = PF.top_basket(PF.rebalance_rows(sc, H, min_rows=6), 0.2, group_rows=n_rows(spark, sf))
     return PF.category_tilt(picks, sc, 3)
 
@@ -256,7 +256,7 @@ def category_tilt(spark, sf):
 @query("B18", f"""{backtest_sql()} SELECT year(date) AS year, count(excess_net) AS n, {r('sum(excess_net)', 'total')}, {r('avg(excess_net)', 'mean')},
   {r('avg(CASE WHEN excess_net > 0 THEN 1.0 ELSE 0 END)', 'hit')} FROM pf GROUP BY 1""")
 def portfolio_by_year(spark, sf):
-    return PF.by_year(PF.backtest(scored(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)), "excess_net")
+    return PF.by_year(PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)), "excess_net")
 
 
 def buffer_walk_sql(top, buffer):
@@ -271,7 +271,7 @@ wk AS (SELECT 0::BIGINT AS k, list_transform(l[:n], lambda x: x.t) AS held FROM
 
 @query("B6", f"{buffer_walk_sql(0.2, 0.5)} SELECT k, unnest(held) AS ticker FROM wk")
 def buffered_baskets(spark, sf):
-    rows = PF.rebalance_rows(scored(spark, sf), H, min_rows=6).withColumns({"top": F.lit(0.2), "buffer": F.lit(0.5)})
+    rows = PF.rebalance_rows(scored_table(spark, sf), H, min_rows=6).withColumns({"top": F.lit(0.2), "buffer": F.lit(0.5)})
     return PF.buffered_baskets(rows, "top", "buffer", ["top", "buffer"], group_rows=n_rows(spark, sf)).select("k", "ticker")
 
 

@@ -17,6 +17,7 @@ from crosspanel.operators import cross as X
 from crosspanel.operators import decisions as D
 from crosspanel.operators import labels as L
 from crosspanel.operators import rolling as R
+from crosspanel.session import materialise
 
 HORIZON = 5
 NEEDED = ["ret_20d", "ret_5d", "vol_20d", "adv", "rel"]
@@ -42,6 +43,11 @@ def scored(spark, sf, horizon: int = HORIZON):
         "adv", "p0", "p1", "p2", "score", "prediction", "confidence", "fwd_ret", "rel", "target")
 
 
+def scored_table(spark, sf):
+    """The scored panel as a written table, for queries that read it several times."""
+    return materialise(scored(spark, sf), "scored")
+
+
 _STAGES = [
     {"ret_1d": chg("close"), "ret_5d": chg("close", 5), "ret_20d": chg("close", 20), "dv": "close * volume", "fwd_ret": fwd(HORIZON)},
     {"vol_20d": roll("stddev_samp", "ret_1d", 20), "adv": roll("avg", "dv", 20), "rel": f"fwd_ret - {loo('fwd_ret')}",

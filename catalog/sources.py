@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from catalog import base as B
 from catalog.base import r, rs
 from catalog.registry import query
 from crosspanel.operators import rolling as R
+from crosspanel.session import shared_folder
 from crosspanel.sources import news as N
 from crosspanel.sources import panel as P
 from crosspanel.sources import uploads as U
@@ -19,13 +19,7 @@ from crosspanel.streaming import incremental as I
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder next to the cluster's checkpoint folder (local: a temporary one)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="run-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 @query("S1", f"""{B.OHLCV_SQL}

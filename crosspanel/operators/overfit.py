@@ -19,6 +19,7 @@ from crosspanel.functions.stats import normal_cdf, normal_ppf, t_cdf
 from crosspanel.operators import cross as X
 from crosspanel.operators import evaluate as V
 from crosspanel.operators import portfolio as PF
+from crosspanel.session import materialise
 
 GAMMA = 0.5772156649015329
 DIMS = ["screen", "top", "buffer"]
@@ -40,14 +41,14 @@ def config_returns(
     """
     tags = F.array(*[F.struct(*[F.lit(float(c[d])).alias(d) for d in DIMS]) for c in configs])
     tagged = scores.withColumn("_c", F.explode(tags)).select("*", "_c.*").drop("_c").filter(F.col("adv") >= F.col("screen"))
-    rows = PF.rebalance_rows(tagged, horizon, DIMS, min_rows=6)
+    rows = materialise(PF.rebalance_rows(tagged, horizon, DIMS, min_rows=6), "rebalance")
     if any(c["buffer"] for c in configs):
         basket = PF.buffered_baskets(rows, "top", "buffer", DIMS, group_rows=group_rows)
     else:
         basket = PF.top_basket(rows, F.col("top"), DIMS, group_rows=group_rows)
     held = PF.weigh(basket, "equal", DIMS, group_rows=group_rows)
     frame = PF.period_frame(rows, held, cost_bps, DIMS)
-    frame = frame.select(*DIMS, "date", F.col("excess_net").alias("ret"))
+    frame = materialise(frame.select(*DIMS, "date", F.col("excess_net").alias("ret")), "periods")
     long_enough = frame.groupBy(*DIMS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_periods)
     frame = frame.join(long_enough.drop("_n"), DIMS, "left_semi")
     kept = long_enough.agg(F.count(F.lit(1))).scalar()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,20 +43,26 @@ def local_session(cpus: str | int = "*", app: str = "crosspanel", partitions: in
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, which the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="run-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def materialise(df, name: str = "step"):
-    """Cut the lineage of ``df`` where recomputing it would be wasteful or unsafe.
+    """Write an intermediate table to the shared folder and read it back.
 
-    Writes through the reliable checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder. Checkpoint files survive the loss of any executor.
+    For tables several later steps read: they are computed once, survive the
+    loss of any executor, and the scan after it prunes columns and knows its size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix=f"run-{name}-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_folder(df.sparkSession), f"crosspanel-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
