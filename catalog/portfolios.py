@@ -236,12 +236,12 @@ def benchmark_regression(spark, sf):
     return PF.against_benchmark(bt, "net", "bench_ret", PY)
 
 
-@query("B16 J6", f"""{BT_BENCH} SELECT date, {r('sum(coalesce(net, 0)) OVER (ORDER BY date)', 'model')}, {r('sum(coalesce(bench_ret, 0)) OVER (ORDER BY date)', 'benchmark')} FROM wb""")
+@query("B16 J6", f"""{BT_BENCH} SELECT date, {r('exp(sum(ln(1 + coalesce(net, 0))) OVER (ORDER BY date))', 'model')}, {r('exp(sum(ln(1 + coalesce(bench_ret, 0))) OVER (ORDER BY date))', 'benchmark')} FROM wb""")
 def benchmark_curve(spark, sf):
     bt = PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf))
     bt = with_benchmark(spark, sf, bt.withColumn("net", F.col("port") - F.col("cost")))
-    model = PF.equity(bt, "net").select("date", F.col("cum").alias("model"))
-    return model.join(PF.equity(bt, "bench_ret").select("date", F.col("cum").alias("benchmark")), "date")
+    curves = PF.equity(bt, "net").withColumnRenamed("growth", "model").drop("cum", "dd_add", "dd_mult")
+    return PF.equity(curves, "bench_ret").select("date", "model", F.col("growth").alias("benchmark"))
 
 
 @query("B17", f"""{SCORED_SQL}, {rebalance_sql()}, {basket_sql(0.2)}, p AS (SELECT category, count(*) / sum(count(*)) OVER () AS s FROM bk GROUP BY 1),
