@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosspanel.session import materialise
 from crosspanel.sources import panel as P
 
 # fixed words from which fund names are put together
@@ -42,12 +43,17 @@ def trades(spark, sf) -> DataFrame:
 
 
 def _bars(rows: DataFrame) -> DataFrame:
-    place = F.struct("day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.groupBy("date", "ticker").agg(
-        F.min_by("price", place).alias("open"),
+    # the place of a trade in its bar as one number (day, order, line, part), so that
+    # the aggregate stays hash-based; a struct would force a sort of every input split
+    number = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    ten = lambda k: F.lit(10**k).cast(f"decimal({k + 1},0)")
+    day = F.datediff("day", "date").cast("decimal(3,0)")
+    place = ((day * ten(15) + number("l_orderkey", 15)) * 10 + number("l_linenumber", 1)) * ten(12) + number("l_partkey", 12)
+    return rows.withColumn("place", place).groupBy("date", "ticker").agg(
+        F.min_by("price", "place").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", place).alias("close"),
+        F.max_by("price", "place").alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
 
@@ -101,8 +107,12 @@ def universe_rows(spark, sf) -> int:
 
 
 def panel(spark, sf, bars: DataFrame | None = None) -> DataFrame:
-    """The dense grid with category: date, t, ticker, category, OHLCV."""
-    bars = ohlcv(spark, sf) if bars is None else bars
+    """The dense grid with category: date, t, ticker, category, OHLCV.
+
+    The bars are written once: calendar, universe and grid then read that small
+    table, and the trade table is scanned a single time.
+    """
+    bars = materialise(ohlcv(spark, sf) if bars is None else bars, "bars")
     listed = bars.select("ticker").distinct()
     tickers = metadata(spark, sf).select("ticker", "category").join(listed, "ticker", "left_semi")
     return P.densify(bars, tickers)

@@ -139,9 +139,9 @@ V2_STAGES = [
      "rsi_14": "CASE WHEN seen >= 14 THEN CASE WHEN al = 0 THEN CASE WHEN ag > 0 THEN 100.0 END ELSE 100 - 100 / (1 + ag / al) END END",
      "rel_vol_20d": "vol_20d / volm", "px_to_52w_high": f"close / ({roll('max', 'close', 252, 60)}) - 1",
      "ret_60d_skip5": f"{lag('close', 5)} / {lag('close', 65)} - 1", "cat_n": "CASE WHEN close IS NOT NULL THEN known END",
-     "rvx": f"({roll('avg', 'volume', 5)}) / greatest(({roll('avg', 'volume', 20)}), 1e-6) - 1", "vzx": "(volume - vm) / (vsd + 1e-8)"},
+     "v20": roll('avg', 'volume', 20), "v5": roll('avg', 'volume', 5), "vzx": "(volume - vm) / (vsd + 1e-8)"},
     {**_i2, **_x2, "bb_pctb": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)", "bb_bandwidth": "4 * sd / mid",
-     "rel_volume_20d": bounded("rvx", -5, 5), "vol_zscore": bounded("vzx", -5, 5)},
+     "rel_volume_20d": bounded("(v5 / CASE WHEN v20 IS NOT NULL THEN greatest(v20, 1e-6) END - 1)", -5, 5), "vol_zscore": bounded("vzx", -5, 5)},
 ]
 
 

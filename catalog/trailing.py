@@ -74,8 +74,8 @@ SELECT date, ticker, {r(pair('covar_samp', 'r1', 'mkt', 60), 'cov_60', 9)}, {r(r
   {r(pair('corr', 'r1', 'mkt', 60), 'corr_60')} FROM m""", digits=9)
 def rolling_pairs(spark, sf):
     m = _returns(spark, sf).withColumn("mkt", F.avg("r1").over(Window.partitionBy("date")))
-    return m.select("date", "ticker", R.cov("r1", "mkt", 60).alias("cov_60"), R.var("mkt", 60).alias("var_60"),
-                    F.round(R.corr("r1", "mkt", 60), 6).alias("corr_60"))
+    m = m.withColumns({**R.pair_sums("p", "r1", "mkt", 60), "var_60": R.var("mkt", 60)})
+    return m.select("date", "ticker", R.pair_cov("p", 60).alias("cov_60"), "var_60", F.round(R.pair_corr("p", 60), 6).alias("corr_60"))
 
 
 def beta_sql(x: str, m: str, k: int) -> str:
@@ -88,13 +88,14 @@ def beta_sql(x: str, m: str, k: int) -> str:
 SELECT date, ticker, {r(beta_sql('r1', 'peer', 60), 'beta_60')} FROM m""")
 def rolling_moment_beta(spark, sf):
     m = _returns(spark, sf).withColumn("peer", F.avg("r1").over(Window.partitionBy("date", "category")))
-    return m.select("date", "ticker", R.moment_beta("r1", "peer", 60).alias("beta_60"))
+    return m.withColumns(R.pair_sums("p", "r1", "peer", 60)).select("date", "ticker", R.pair_beta("p", 60).alias("beta_60"))
 
 
 @query("W8", f"""{RET} SELECT date, ticker, {r(roll('skewness', 'r1', 60), 'skew_60')},
   {r(roll('kurtosis', 'r1', 60), 'kurt_60')} FROM a""")
 def rolling_shape(spark, sf):
-    return _returns(spark, sf).select("date", "ticker", R.skew("r1", 60).alias("skew_60"), R.kurt("r1", 60).alias("kurt_60"))
+    p = _returns(spark, sf).withColumns(R.power_sums("p", "r1", 60))
+    return p.select("date", "ticker", R.skew_of("p", 60).alias("skew_60"), R.kurt_of("p", 60).alias("kurt_60"))
 
 
 def own_rank_sql(x: str, k: int) -> str:
@@ -105,7 +106,8 @@ def own_rank_sql(x: str, k: int) -> str:
 
 @query("W9", f"{B.PANEL_SQL} SELECT date, ticker, {r(own_rank_sql('volume', 252), 'own_rank')} FROM panel")
 def own_history_rank(spark, sf):
-    return _close(spark, sf, "volume").select("date", "ticker", R.last_pct_rank("volume", 252).alias("own_rank"))
+    g = _close(spark, sf, "volume").withColumn("past", R.history("volume", 252))
+    return g.select("date", "ticker", R.rank_in("past", "volume", 252).alias("own_rank"))
 
 
 @query("W10 W11", f"""{B.PANEL_SQL},
@@ -170,9 +172,9 @@ c AS (SELECT *, {pair('corr', 'lc', 'td', 20)} AS k, {pair('corr', 'r1', 'r0', 6
 SELECT date, ticker, {r('k * k * sign(k)', 'trend_20')}, {r('auto', 'autocorr_60')} FROM c""")
 def trend_and_autocorr(spark, sf):
     g = _returns(spark, sf).withColumns({"lc": F.ln("close"), "td": F.col("t").cast("double"), "r0": R.lag("r1")})
-    g = g.withColumn("k", R.corr("lc", "td", 20))
+    g = g.withColumns({**R.pair_sums("p", "lc", "td", 20), **R.pair_sums("q", "r1", "r0", 60)}).withColumn("k", R.pair_corr("p", 20))
     return g.select("date", "ticker", (F.col("k") * F.col("k") * F.signum("k")).alias("trend_20"),
-                    R.corr("r1", "r0", 60).alias("autocorr_60"))
+                    R.pair_corr("q", 60).alias("autocorr_60"))
 
 
 @query("W16", f"""{B.OHLCV_SQL}

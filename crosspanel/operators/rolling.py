@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.expr import FLAT, col, pearson, safe_div
+from crosspanel.functions.expr import col, safe_div
 
 ENTITY = "ticker"
 ORDER = "t"
@@ -81,45 +81,104 @@ def observed(x, k, skip=0) -> Column:
     return F.count(col(x)).over(frame(k, skip))
 
 
-def _pairwise(fn, x, y, k, min_periods):
-    """Two-series statistic over the rows where both series are present."""
+# Statistics that use a window sum more than once come in two steps: a stage of
+# sums, then formulas over the named sums. (Spark evaluates a window expression as
+# often as it is written.) Plain sums also cost about a tenth of the built-in higher
+# moments, because a sliding frame is evaluated anew for every row. A spread below
+# ROUNDING of the mean square is rounding noise and counts as flat.
+
+ROUNDING = 1e-13
+
+
+def pair_sums(tag: str, x, y, k: int) -> dict[str, Column]:
+    """Window sums of two series over the rows where both are present."""
     both = col(x).isNotNull() & col(y).isNotNull()
     a, b = F.when(both, col(x)), F.when(both, col(y))
     w = frame(k)
-    return _guard(fn(a, b).over(w), a, k, min_periods, w)
+    return {
+        f"{tag}_n": F.count(a).over(w).cast("double"),
+        f"{tag}_a": F.sum(a).over(w), f"{tag}_b": F.sum(b).over(w),
+        f"{tag}_aa": F.sum(a * a).over(w), f"{tag}_bb": F.sum(b * b).over(w), f"{tag}_ab": F.sum(a * b).over(w),
+    }
 
 
-def cov(x, y, k, min_periods=None) -> Column:
-    return _pairwise(F.covar_samp, x, y, k, min_periods)
+def _enough(tag: str, need: int) -> Column:
+    n = F.col(f"{tag}_n")
+    return F.when(n >= need, n)
 
 
-def corr(x, y, k, min_periods=None) -> Column:
-    """Rolling Pearson correlation; NULL when either side is flat in the window."""
-    both = F.when(col(x).isNotNull() & col(y).isNotNull(), F.lit(1))
-    w = frame(k)
-    return _guard(pearson(x, y, w), both, k, min_periods, w)
+def _spread(tag: str, side: str, n: Column) -> Column:
+    """Population variance from sums, NULL when it is only rounding noise."""
+    mean, square = F.col(f"{tag}_{side}") / n, F.col(f"{tag}_{side}{side}") / n
+    return F.when(square - mean * mean > ROUNDING * square, square - mean * mean)
 
 
-def skew(x, k, min_periods=None) -> Column:
-    """Bias-corrected sample skewness."""
-    c, w = col(x), frame(k)
-    n = F.count(c).over(w).cast("double")
-    corrected = F.skewness(c).over(w) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(F.stddev_pop(c).over(w) > FLAT, _guard(corrected, c, k, min_periods, w))
+def _product(tag: str, n: Column) -> Column:
+    return F.col(f"{tag}_ab") / n - (F.col(f"{tag}_a") / n) * (F.col(f"{tag}_b") / n)
 
 
-def kurt(x, k, min_periods=None) -> Column:
-    """Bias-corrected sample excess kurtosis."""
-    c, w = col(x), frame(k)
-    n = F.count(c).over(w).cast("double")
-    corrected = safe_div(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c).over(w) + 6)
-    return F.when(F.stddev_pop(c).over(w) > FLAT, _guard(corrected, c, k, min_periods, w))
+def pair_cov(tag: str, need: int) -> Column:
+    """Sample covariance from :func:`pair_sums`."""
+    n = _enough(tag, need)
+    return _product(tag, n) * n / (n - 1)
+
+
+def pair_var(tag: str, need: int) -> Column:
+    """Sample variance of the second series."""
+    n = _enough(tag, need)
+    return _spread(tag, "b", n) * n / (n - 1)
+
+
+def pair_corr(tag: str, need: int) -> Column:
+    """Pearson correlation; NULL when either side is flat in the window."""
+    n = _enough(tag, need)
+    raw = _product(tag, n) / F.sqrt(_spread(tag, "a", n) * _spread(tag, "b", n))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
-def last_pct_rank(x, k) -> Column:
-    """Average-tie percentile rank of the current value inside its own last k values."""
+def pair_beta(tag: str, need: int) -> Column:
+    """Covariance over the variance of the second series."""
+    n = _enough(tag, need)
+    return _product(tag, n) / _spread(tag, "b", n)
+
+
+def power_sums(tag: str, x, k: int) -> dict[str, Column]:
+    """Window sums of the first four powers."""
     c, w = col(x), frame(k)
-    values = F.collect_list(c).over(w)
+    return {
+        f"{tag}_n": F.count(c).over(w).cast("double"),
+        f"{tag}_a": F.sum(c).over(w), f"{tag}_aa": F.sum(c * c).over(w),
+        f"{tag}_3": F.sum(c * c * c).over(w), f"{tag}_4": F.sum(c * c * c * c).over(w),
+    }
+
+
+def skew_of(tag: str, need: int) -> Column:
+    """Bias-corrected sample skewness from :func:`power_sums`."""
+    n = _enough(tag, max(need, 3))
+    mu, m2 = F.col(f"{tag}_a") / n, _spread(tag, "a", n)
+    m3 = F.col(f"{tag}_3") / n - 3 * mu * F.col(f"{tag}_aa") / n + 2 * mu * mu * mu
+    return m3 / (m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / (n - 2)
+
+
+def kurt_of(tag: str, need: int) -> Column:
+    """Bias-corrected sample excess kurtosis from :func:`power_sums`."""
+    n = _enough(tag, max(need, 4))
+    mu, m2 = F.col(f"{tag}_a") / n, _spread(tag, "a", n)
+    m4 = (
+        F.col(f"{tag}_4") / n - 4 * mu * F.col(f"{tag}_3") / n
+        + 6 * mu * mu * F.col(f"{tag}_aa") / n - 3 * mu * mu * mu * mu
+    )
+    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
+
+
+def history(x, k: int) -> Column:
+    """The last k known values as an array."""
+    return F.collect_list(col(x)).over(frame(k))
+
+
+def rank_in(past, x, k: int) -> Column:
+    """Average-tie percentile rank of x inside its full :func:`history` of k values."""
+    values, c = col(past), col(x)
     below = F.size(F.filter(values, lambda v: v < c))
     equal = F.size(F.filter(values, lambda v: v == c))
     return F.when(F.size(values) == k, (below + (equal + 1) / F.lit(2.0)) / F.lit(float(k)))
@@ -158,14 +217,6 @@ def growth(r) -> Column:
     return F.exp(cumsum(F.log1p(col(r))))
 
 
-def moment_beta(x, m, k) -> Column:
-    """(E[xm] - E[x]E[m]) / (E[m^2] - E[m]^2) from four rolling means."""
-    x, m = col(x), col(m)
-    num = mean(x * m, k) - mean(x, k) * mean(m, k)
-    den = mean(m * m, k) - mean(m, k) * mean(m, k)
-    return F.when(F.abs(den) > FLAT * FLAT, safe_div(num, den))
-
-
 def latest(df, n: int = 1, order: str = "date"):
     """The last n rows of every ticker."""
     w = Window.partitionBy(ENTITY).orderBy(F.col(order).desc())

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.functions.expr import safe_div
 from crosspanel.operators import cross as X
 from crosspanel.operators import peers as G
 from crosspanel.operators import rolling as R
@@ -88,12 +87,12 @@ def market_state(grid: DataFrame, proxies: Mapping[str, str], group_rows: int |
     states = [c for c in days.columns if c.startswith("mkt_")]
     # one row per calendar date; the planner broadcasts it only while it is small
     g = g.join(days, "date", "left")
-    added = {
-        "beta_60d": safe_div(R.cov("r1", "_mkt", 60), R.var("_mkt", 60)),
-    }
+    sums = R.pair_sums("m", "r1", "_mkt", 60)
+    exposure = {"beta_60d": R.pair_beta("m", 60)}
     if "rates" in proxies:
-        added["dur_corr_60d"] = R.corr("r1", "rates", 60)
-    g = g.withColumns(added)
+        sums |= R.pair_sums("d", "r1", "rates", 60)
+        exposure["dur_corr_60d"] = R.pair_corr("d", 60)
+    g = g.withColumns(sums).withColumns(exposure)
     out = {
         **{s: F.when(F.col("close").isNotNull(), F.col(s)) for s in states},
         "beta_x_eqtrend": F.col("beta_60d") * F.col("mkt_eq_trend_20d"),
@@ -129,10 +128,8 @@ def spillover(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
         "spill_gap_20d": R.lag(F.col("peer20") - F.col("r20")),
         "peer1_before": R.lag("peer1"),
     })
-    g = g.withColumns({
-        "follower_60d": R.corr("r1", "peer1_before", 60),
-        "cat_persist_60d": R.corr("peer1", "peer1_before", 60),
-    })
+    g = g.withColumns({**R.pair_sums("own", "r1", "peer1_before", 60), **R.pair_sums("peer", "peer1", "peer1_before", 60)})
+    g = g.withColumns({"follower_60d": R.pair_corr("own", 60), "cat_persist_60d": R.pair_corr("peer", 60)})
     return g.select(
         "date", "ticker", "spill_gap_5d", "spill_gap_20d", "follower_60d",
         (F.col("follower_60d") * F.col("spill_gap_5d")).alias("follow_x_spill"),

@@ -27,9 +27,10 @@ def _voltail():
             "hl_spike": safe_div(R.mean("hl", 5), R.mean("hl", 60)),
         },
         {
-            "vol_pctile_1y": R.last_pct_rank("vol_20d", 252),
+            "vol_past": R.history("vol_20d", 252),
             "vol_of_vol_60d": safe_div(R.std("vol_20d", 60), R.mean("vol_20d", 60)),
         },
+        {"vol_pctile_1y": R.rank_in("vol_past", "vol_20d", 252), "vol_past": F.lit(None)},
     ]
 
 
@@ -125,13 +126,13 @@ BETAIDIO = FeatureSet(
     trail2=lambda: [
         {"rel_1": F.col("r1") - F.col("loo_r1")},
         {
-            "beta_60d": safe_div(R.cov("r1", "loo_r1", 60), null_if_zero(R.var("loo_r1", 60))),
-            "corr_cat_60d": R.corr("r1", "loo_r1", 60),
+            **R.pair_sums("peer", "r1", "loo_r1", 60),
             "resid_ret_5d": R.total("rel_1", 5),
             "resid_ret_20d": R.total("rel_1", 20),
             "idio_vol_20d": R.std("rel_1", 20),
             "tstat_rel_5d": safe_div(R.mean("rel_1", 5), null_if_zero(R.std("rel_1", 5)) / math.sqrt(5)),
         },
+        {"beta_60d": R.pair_beta("peer", 60), "corr_cat_60d": R.pair_corr("peer", 60)},
     ],
     ranks2={"beta_catrank": "beta_60d", "idio_vol_catrank": "idio_vol_20d"},
     final=lambda: {"idio_frac_20d": safe_div("idio_vol_20d", "vol_20d")},
@@ -214,13 +215,14 @@ DOWNSIDE = FeatureSet(
             "vol_20d": R.std("r1", 20),
             "semivol": R.std(F.when(F.col("r1") < 0, F.col("r1")), 20, 5),
             "mean_r1_20": R.mean("r1", 20),
-            "skew_60d": R.skew("r1", 60),
-            "kurt_60d": R.kurt("r1", 60),
+            **R.power_sums("shape", "r1", 60),
             "days_since_high_60d": R.rows_since_high("filled", "close", 60),
         },
         {
             "downside_share_20d": safe_div("semivol", "vol_20d"),
             "sortino_20d": safe_div("mean_r1_20", "semivol"),
+            "skew_60d": R.skew_of("shape", 60),
+            "kurt_60d": R.kurt_of("shape", 60),
         },
     ],
     ranks={"dd_catrank": "dd_60d"},
@@ -240,10 +242,11 @@ TEMPORAL = FeatureSet(
             "sharpe_mom_60d": safe_div("r60", R.std("r1", 60) * math.sqrt(60)),
             "mom_accel_20d": F.col("r20") - R.lag("r20", 20),
             "updays_frac_20d": R.mean(null_flag(F.col("r1") > 0), 20, 15),
-            "trend_corr": R.corr("log_close", "t_axis", 20),
+            **R.pair_sums("trend", "log_close", "t_axis", 20),
         },
+        {"trend_corr": R.pair_corr("trend", 20), **R.pair_sums("auto", "r1", "r1_before", 60)},
         {
-            "autocorr1_60d": R.corr("r1", "r1_before", 60),
+            "autocorr1_60d": R.pair_corr("auto", 60),
             "trend_str_20d": F.col("trend_corr") * F.col("trend_corr") * F.signum("trend_corr"),
         },
     ],

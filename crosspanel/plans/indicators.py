@@ -32,15 +32,23 @@ KEYS = ["date", "t", "ticker", "category"]
 WILDER = 1 / 14
 
 
+def steps() -> dict[str, Column]:
+    """One-row lags and differences that several columns use; a stage of their own."""
+    return {
+        "close_before": R.lag("close"), "close_step": R.diff("close"),
+        "high_step": R.diff("high"), "low_step": R.diff("low"),
+    }
+
+
 def true_range() -> Column:
-    before = R.lag("close")
+    before = F.col("close_before")
     return greatest_strict(
         F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)
     )
 
 
 def directional_moves() -> dict[str, Column]:
-    up, down = R.diff("high"), -R.diff("low")
+    up, down = F.col("high_step"), -F.col("low_step")
     zero = F.lit(0.0)
     return {
         "plus_dm": F.when((up > down) & (up > 0), up).otherwise(zero),
@@ -49,34 +57,28 @@ def directional_moves() -> dict[str, Column]:
 
 
 def gains_and_losses() -> dict[str, Column]:
-    step = R.diff("close")
+    step = F.col("close_step")
     return {"gain": clip(step, lo=0.0), "loss": -clip(step, hi=0.0)}
 
 
 def _rsi(gain, loss):
-    return 100 - 100 / (1 + gain / loss.replace(0, np.nan))
-
-
-def _macd(pdf):
-    line = E.smooth(pdf["close"], E.span(12)) - E.smooth(pdf["close"], E.span(26))
-    return line, E.smooth(line, E.span(9))
-
-
-def _v3_smoothing(pdf):
-    macd, signal = _macd(pdf)
-    atr = E.smooth(pdf["tr"], WILDER)
-    plus = 100 * E.smooth(pdf["plus_dm"], WILDER) / atr
-    minus = 100 * E.smooth(pdf["minus_dm"], WILDER) / atr
-    dx = (100 * (plus - minus).abs() / (plus + minus)).replace([np.inf, -np.inf], np.nan)
-    return pdf.assign(
-        ema_20=E.smooth(pdf["close"], E.span(20)),
-        ema_50=E.smooth(pdf["close"], E.span(50)),
-        macd=macd,
-        macd_signal=signal,
-        atr_14=atr,
-        adx_14=E.smooth(dx, WILDER),
-        rsi_14=_rsi(E.smooth(pdf["gain"], WILDER), E.smooth(pdf["loss"], WILDER)),
-    )
+    return 100 - 100 / (1 + gain / np.where(loss == 0, np.nan, loss))
+
+
+def _v3_smoothing(m):
+    e = E.span
+    e20, e50, e12, e26, atr, plus, minus, gain, loss = E.smooth_many([
+        (m["close"], e(20), 0), (m["close"], e(50), 0), (m["close"], e(12), 0), (m["close"], e(26), 0),
+        (m["tr"], WILDER, 0), (m["plus_dm"], WILDER, 0), (m["minus_dm"], WILDER, 0),
+        (m["gain"], WILDER, 0), (m["loss"], WILDER, 0)])
+    plus, minus = 100 * plus / atr, 100 * minus / atr
+    dx = 100 * np.abs(plus - minus) / (plus + minus)
+    macd = e12 - e26
+    signal, adx = E.smooth_many([(macd, e(9), 0), (np.where(np.isfinite(dx), dx, np.nan), WILDER, 0)])
+    return {
+        "ema_20": e20, "ema_50": e50, "macd": macd, "macd_signal": signal, "atr_14": atr, "adx_14": adx,
+        "rsi_14": _rsi(gain, loss),
+    }
 
 
 def _own_z(x: str, k: int, need: int) -> Column:
@@ -86,13 +88,12 @@ def _own_z(x: str, k: int, need: int) -> Column:
 def v3(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
     """The 44-column set: returns, trend, oscillators, volatility, volume, ranks, peers, market."""
     c, h, l, v = (F.col(n) for n in ("close", "high", "low", "volume"))
-    df = grid.withColumns({**{f"ret_{n}d": R.pct_change("close", n) for n in (1, 5, 20)}, "tr": true_range(),
-                           **directional_moves(), **gains_and_losses()})
-    df = df.withColumn("vol_20d", R.std("ret_1d", 20))
+    df = grid.withColumns({**{f"ret_{n}d": R.pct_change("close", n) for n in (1, 5, 20)}, **steps()})
+    df = df.withColumns({"vol_20d": R.std("ret_1d", 20), "tr": true_range(), **directional_moves(), **gains_and_losses()})
     df = E.per_ticker(
         df,
         [*KEYS, "close", "high", "low", "volume", "ret_1d", "ret_5d", "ret_20d", "vol_20d"],
-        ["tr", "plus_dm", "minus_dm", "gain", "loss"],
+        ["close", "tr", "plus_dm", "minus_dm", "gain", "loss"],
         ["ema_20", "ema_50", "macd", "macd_signal", "atr_14", "adx_14", "rsi_14"],
         _v3_smoothing,
     )
@@ -114,8 +115,9 @@ def v3(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
     df = X.group_stats(df, X.PEERS, {"beat_rate_20d": F.avg("_beat")}, group_rows)
 
     # by ticker again; market columns are equal for all tickers, so their windows run here too
-    typical = (h + l + c) / 3
-    flow_step = R.diff(typical)
+    df = df.withColumn("typical", (h + l + c) / 3)
+    df = df.withColumn("flow_step", R.diff("typical"))
+    typical, flow_step = F.col("typical"), F.col("flow_step")
     spread = h - l
     clv = clip(safe_div((c - l) - (h - c), F.when(spread > 0, spread)), -1.0, 1.0)
     df = df.withColumns({
@@ -130,6 +132,7 @@ def v3(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
         "flow": F.when((spread == 0) & c.isNotNull(), 0.0).otherwise(clv) * v,
         "macd_hist": F.col("macd") - F.col("macd_signal"),
         "mkt_vol_20d": R.std("mkt_ret_1d", 20),
+        **R.pair_sums("peer", "ret_1d", "cat_ret_1d", 60),
     })
     reach = null_if_zero(F.col("hh") - F.col("ll"))
     df = df.withColumns({
@@ -140,7 +143,7 @@ def v3(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
         "bb_pctb": safe_div(c - (F.col("mid") - 2 * F.col("sd")), 4 * F.col("sd")),
         "bb_bandwidth": safe_div(4 * F.col("sd"), "mid"),
         "vol_zscore": _own_z("vol_20d", 252, 60),
-        "beta_60d": R.moment_beta("ret_1d", "cat_ret_1d", 60),
+        "beta_60d": R.pair_beta("peer", 60),
         "obv": R.cumsum(F.signum(F.coalesce("ret_1d", F.lit(0.0))) * F.coalesce(v, F.lit(0.0))),
         "dollar_vol_20d": R.mean(c * v, 20),
         "mfi_14": 100 - 100 / (1 + safe_div(R.total("pos_flow", 14), null_if_zero(R.total("neg_flow", 14)))),
@@ -187,30 +190,37 @@ V2_COLUMNS = [
 ]
 
 
-def _v2_smoothing(pdf):
-    macd, signal = _macd(pdf)
-    gain, loss = E.smooth(pdf["gain"], WILDER, 14), E.smooth(pdf["loss"], WILDER, 14)
-    return pdf.assign(
-        **{f"ema_{n}": E.smooth(pdf["close"], E.span(n)) for n in (10, 20, 50)},
-        macd_line=macd,
-        macd_sig=signal,
-        rsi_14=100 - 100 / (1 + gain / loss),
-    )
+def _v2_smoothing(m):
+    e = E.span
+    e10, e20, e50, e12, e26, gain, loss = E.smooth_many([
+        *[(m["close"], e(n), 0) for n in (10, 20, 50, 12, 26)], (m["gain"], WILDER, 14), (m["loss"], WILDER, 14)])
+    line = e12 - e26
+    return {
+        "ema_10": e10, "ema_20": e20, "ema_50": e50, "macd_line": line, "macd_sig": E.smooth(line, e(9)),
+        "rsi_14": 100 - 100 / (1 + gain / loss),
+    }
 
 
-def _against(bench: str, suffix: str) -> tuple[dict[str, Column], dict[str, Column]]:
+def _against(bench: str, suffix: str) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
     """Columns measured against a category benchmark held in ``{bench}_1/_5/_20``."""
     m, m5, m20 = f"{bench}_1", f"{bench}_5", f"{bench}_20"
-    cov = R.mean(F.col("ret_1d") * F.col(m), 60) - R.mean("ret_1d", 60) * R.mean(m, 60)
+    tag = f"{bench}_pair"
     win = (F.col("ret_1d") > F.col(m)).cast("double")
     floor = lambda x, lo: F.when(x.isNotNull(), F.greatest(x, F.lit(lo)))
-    first = {
-        f"beta_60d{suffix}": safe_div(cov, floor(R.var(m, 60), 1e-8)),
-        f"corr_cat_60d{suffix}": R.corr("ret_1d", m, 60),
+    sums = {
+        **R.pair_sums(tag, "ret_1d", m, 60),
         f"beat_rate_20d{suffix}": R.mean(win, 20),
         f"cat_ret_5d{suffix}": F.col(m5),
         f"rel_str_5d{suffix}": F.col("ret_5d") - F.col(m5),
     }
+    n = F.col(f"{tag}_n")
+    mean_a, mean_b = F.col(f"{tag}_a") / n, F.col(f"{tag}_b") / n
+    variance = (F.col(f"{tag}_bb") / n - mean_b * mean_b) * n / (n - 1)
+    product = F.col(f"{tag}_ab") / n - mean_a * mean_b
+    first = {
+        f"beta_60d{suffix}": F.when(n >= 60, product / F.greatest(variance, F.lit(1e-8))),
+        f"corr_cat_60d{suffix}": R.pair_corr(tag, 60),
+    }
     beta, corr = F.col(f"beta_60d{suffix}"), F.col(f"corr_cat_60d{suffix}")
     bounded = clip(corr, -1.0, 1.0)
     second = {
@@ -220,7 +230,7 @@ def _against(bench: str, suffix: str) -> tuple[dict[str, Column], dict[str, Colu
         f"tstat_rel_5d{suffix}": safe_div(
             F.col(f"rel_str_5d{suffix}"), floor(F.col("vol_20d") / math.sqrt(252) * math.sqrt(5), 1e-6)),
     }
-    return first, second
+    return sums, first, second
 
 
 def v2(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
@@ -230,15 +240,15 @@ def v2(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
         **{f"ret_{n}d": R.pct_change("close", n) for n in (1, 5, 10, 20)},
         "log_step": R.diff(F.ln("close")),
         "ret_20d_skip5": safe_div(R.lag("close", 5), R.lag("close", 25)) - 1,
-        **gains_and_losses(),
+        **steps(),
     })
-    df = df.withColumns({"vol_20d": R.std("log_step", 20) * math.sqrt(252), "vol_20d_raw": R.std("ret_1d", 20),
+    df = df.withColumns({**gains_and_losses(), "vol_20d": R.std("log_step", 20) * math.sqrt(252), "vol_20d_raw": R.std("ret_1d", 20),
                          "dollar_vol": c * F.col("volume")})
     df = E.per_ticker(
         df,
         [*KEYS, "close", "volume", "dollar_vol", "ret_1d", "ret_5d", "ret_10d", "ret_20d", "ret_20d_skip5",
          "vol_20d", "vol_20d_raw"],
-        ["gain", "loss"],
+        ["close", "gain", "loss"],
         ["ema_10", "ema_20", "ema_50", "macd_line", "macd_sig", "rsi_14"],
         _v2_smoothing,
     )
@@ -250,10 +260,11 @@ def v2(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
     df = X.pct_rank(df, X.PEERS, {
         "cs_rank_ret_1d": "ret_1d", "cs_rank_ret_5d": "ret_5d", "cs_rank_skip_mom": "ret_20d_skip5",
         "cs_rank_vol_20d": "vol_20d", "peer_rank_20d": "ret_20d", "cs_rank_dollar_vol": "dollar_vol"}, group_rows)
-    incl1, incl2 = _against("all", "")
-    excl1, excl2 = _against("oth", "_xself")
+    incl0, incl1, incl2 = _against("all", "")
+    excl0, excl1, excl2 = _against("oth", "_xself")
     df = df.withColumns({
-        **incl1, **excl1,
+        **incl0, **excl0,
+        "volume_5": R.mean("volume", 5), "volume_20": R.mean("volume", 20),
         **{f"px_to_sma_{n}": safe_div(c, R.mean("close", n)) - 1 for n in (10, 20, 50)},
         **{f"px_to_ema_{n}": safe_div(c, f"ema_{n}") - 1 for n in (10, 20, 50)},
         "macd": safe_div("macd_line", c),
@@ -265,11 +276,13 @@ def v2(grid: DataFrame, group_rows: int | None = None) -> DataFrame:
         "px_to_52w_high": safe_div(c, R.highest("close", 252, 60)) - 1,
         "ret_60d_skip5": safe_div(R.lag("close", 5), R.lag("close", 65)) - 1,
         "cat_n": F.when(c.isNotNull(), F.col("cat_known").cast("double")),
-        "rel_volume_20d": clip(safe_div(R.mean("volume", 5), F.greatest(R.mean("volume", 20), F.lit(1e-6))) - 1, -5.0, 5.0),
         "vol_zscore": clip((F.col("volume") - F.col("volume_mean")) / (F.col("volume_sd") + 1e-8), -5.0, 5.0),
     })
+    df = df.withColumns({**incl1, **excl1})
+    recent = safe_div("volume_5", F.greatest(F.col("volume_20"), F.lit(1e-6))) - 1
     df = df.withColumns({
         **incl2, **excl2,
+        "rel_volume_20d": clip(F.when(F.col("volume_20").isNotNull(), recent), -5.0, 5.0),
         "bb_pctb": safe_div(c - (F.col("mid") - 2 * F.col("sd")), 4 * F.col("sd")),
         "bb_bandwidth": safe_div(4 * F.col("sd"), "mid"),
     })
@@ -285,14 +298,10 @@ BASIC_COLUMNS = [
 ]
 
 
-def _basic_smoothing(pdf):
-    macd, signal = _macd(pdf)
-    return pdf.assign(
-        ema_12=E.smooth(pdf["close"], E.span(12)),
-        ema_26=E.smooth(pdf["close"], E.span(26)),
-        macd_sig=signal,
-        rsi_14=_rsi(E.smooth(pdf["gain"], WILDER), E.smooth(pdf["loss"], WILDER)),
-    )
+def _basic_smoothing(m):
+    e12, e26, gain, loss = E.smooth_many([
+        (m["close"], E.span(12), 0), (m["close"], E.span(26), 0), (m["gain"], WILDER, 0), (m["loss"], WILDER, 0)])
+    return {"ema_12": e12, "ema_26": e26, "macd_sig": E.smooth(e12 - e26, E.span(9)), "rsi_14": _rsi(gain, loss)}
 
 
 def basic(grid: DataFrame) -> DataFrame:
@@ -310,9 +319,10 @@ def basic(grid: DataFrame) -> DataFrame:
         "px_to_52w_high": safe_div(c, R.highest("close", 252)) - 1,
         "px_to_52w_low": safe_div(c, R.lowest("close", 252)) - 1,
         "rel_volume_20d": safe_div("volume", R.mean("volume", 20)) - 1,
-        **gains_and_losses(),
+        **steps(),
     })
     df = df.withColumns({
+        **gains_and_losses(),
         "vol_20d": R.std("ret_1d", 20), "vol_60d": R.std("ret_1d", 60),
         "hl_range_20d": R.mean("hl", 20), "gap_20d": R.mean("gap", 20),
         **{f"px_to_sma_{n}": safe_div(c, f"sma_{n}") - 1 for n in (10, 20, 50, 200)},
@@ -324,7 +334,7 @@ def basic(grid: DataFrame) -> DataFrame:
     smoothed = ["ema_12", "ema_26", "macd_sig", "rsi_14"]
     made = {"px_to_ema_12", "px_to_ema_26", "rsi_14", "macd", "macd_hist"}
     carried = [n for n in BASIC_COLUMNS if n not in made]
-    df = E.per_ticker(df, ["date", "t", "ticker", "close", *carried], ["gain", "loss"], smoothed, _basic_smoothing)
+    df = E.per_ticker(df, ["date", "t", "ticker", "close", *carried], ["close", "gain", "loss"], smoothed, _basic_smoothing)
     line = F.col("ema_12") - F.col("ema_26")
     df = df.withColumns({
         "px_to_ema_12": safe_div(c, "ema_12") - 1,
@@ -392,7 +402,7 @@ def oscillators(grid: DataFrame, lengths: dict | None = None, group_rows: int |
     """Six oscillators, each z-scored within (date, category)."""
     n = {**OSCILLATOR_DEFAULTS, **(lengths or {})}
     c = F.col("close")
-    df = grid.withColumns({
+    df = grid.withColumns(steps()).withColumns({
         **gains_and_losses(), "tr": true_range(),
         "tp": (F.col("high") + F.col("low") + c) / 3,
         "mid_price": (F.col("high") + F.col("low")) / 2,
@@ -407,23 +417,22 @@ def oscillators(grid: DataFrame, lengths: dict | None = None, group_rows: int |
         "band_position": safe_div(c - (F.col("sma_bands") - 2 * F.col("sd_bands")), 4 * F.col("sd_bands")),
     })
 
-    def strength(pdf, k):
-        gain, loss = E.smooth(pdf["gain"], 1 / k, k), E.smooth(pdf["loss"], 1 / k, k)
-        return 100 * gain / (gain + loss)
-
-    def smooth(pdf):
-        k = n["stoch_rsi"]
-        slow = strength(pdf, k)
-        low, high = slow.rolling(k).min(), slow.rolling(k).max()
-        fast_k = (100 * (slow - low) / (high - low)).rolling(3).mean()
-        atr = E.smooth(pdf["tr"], 1 / n["pgo"], n["pgo"])
-        return pdf.assign(
-            rsi=strength(pdf, n["rsi"]),
-            stoch_rsi_k=fast_k,
-            stoch_rsi_d=fast_k.rolling(3).mean(),
-            pgo=(pdf["close"] - pdf["sma_pgo"]) / E.smooth(atr, E.span(n["pgo"]), n["pgo"]),
-            fisher=E.fisher(pdf["mid_price"].to_numpy(dtype="float64"), n["fisher"]),
-        )
+    def smooth(m):
+        k, p = n["stoch_rsi"], n["pgo"]
+        fast_gain, fast_loss, gain, loss, atr = E.smooth_many([
+            (m["gain"], 1 / n["rsi"], n["rsi"]), (m["loss"], 1 / n["rsi"], n["rsi"]),
+            (m["gain"], 1 / k, k), (m["loss"], 1 / k, k), (m["tr"], 1 / p, p)])
+        slow = 100 * gain / (gain + loss)
+        low, high = E.rolled(slow, k, "min"), E.rolled(slow, k, "max")
+        place = 100 * (slow - low) / (high - low)
+        fast_k = E.rolled(np.where(np.isfinite(place), place, np.nan), 3, "mean")
+        return {
+            "rsi": 100 * fast_gain / (fast_gain + fast_loss),
+            "stoch_rsi_k": fast_k,
+            "stoch_rsi_d": E.rolled(fast_k, 3, "mean"),
+            "pgo": (m["close"] - m["sma_pgo"]) / E.smooth(atr, E.span(p), p),
+            "fisher": E.fisher(m["mid_price"], n["fisher"]),
+        }
 
     df = E.per_ticker(df, ["date", "t", "ticker", "category", "band_position", "cci"],
                       ["close", "gain", "loss", "tr", "sma_pgo", "mid_price"],
