@@ -23,6 +23,7 @@ from crosspanel.functions.expr import col, safe_div
 
 WINDOW_ROWS = 1_000_000
 SPLITS = 256
+TIE_SPLITS = 64
 
 DATE = ["date"]
 PEERS = ["date", "category"]
@@ -100,7 +101,7 @@ def ladder(
     out = steps.join(offsets, [*group, "_range"]).withColumns(
         {f"{n}_le": F.sum(n).over(inside) + F.col(f"_{n}_before") for n in quantities}
     )
-    return out.drop("_range", "_all", *[f"_{n}_before" for n in quantities])
+    return out.drop("_range", *([] if keys else group), *[f"_{n}_before" for n in quantities])
 
 
 # -- ranks --------------------------------------------------------------------------
@@ -192,13 +193,10 @@ def _split_ordinal(df, keys, x, out, descending, tie, size):
     steps = ladder(marked, group, "_x")
     start = steps["n_all"] - steps["n_le"] if descending else steps["n_le"] - steps["n"]
     steps = steps.select(*group, "_x", start.alias("_start"), F.col("n_all").alias("_size"))
-    cuts = [r[0] for r in df.select(tie).distinct().orderBy(F.xxhash64(tie)).limit(SPLITS).collect()]
-    cuts = sorted(c for c in cuts if c is not None)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        tie_range = F.size(F.filter(edges, lambda e: e < F.col(tie)))
-    else:
-        tie_range = F.lit(0)
+    cuts = [r[0] for r in df.select(tie).distinct().orderBy(F.xxhash64(tie)).limit(TIE_SPLITS).collect()]
+    tie_range = F.lit(0)
+    for cut in sorted(c for c in cuts if c is not None):
+        tie_range = tie_range + (F.col(tie) > cut).cast("int")
     rows = marked.filter(F.col("_x").isNotNull()).withColumn("_tie", tie_range)
     counts = rows.groupBy(*group, "_x", "_tie").count()
     earlier = Window.partitionBy(*group, "_x").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
