@@ -99,7 +99,7 @@ CSCV = f"""{GRID}, dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS
 bl AS (SELECT date, CASE WHEN i < (n % 10) * (n // 10 + 1) THEN i // (n // 10 + 1) ELSE n % 10 + (i - (n % 10) * (n // 10 + 1)) // (n // 10) END AS block FROM dn),
 mk AS (SELECT id FROM (SELECT unnest(generate_series(0, 1023)) AS id) WHERE bit_count(id) = 5),
 hv AS (SELECT id, config, (id >> block) & 1 = 1 AS inside, ret FROM m JOIN bl USING (date), mk),
-sr AS (SELECT id, config, avg(ret) FILTER (inside) / stddev_samp(ret) FILTER (inside) AS a, avg(ret) FILTER (NOT inside) / stddev_samp(ret) FILTER (NOT inside) AS b FROM hv GROUP BY 1, 2),
+sr AS (SELECT id, config, round(avg(ret) FILTER (inside) / stddev_samp(ret) FILTER (inside), 10) AS a, round(avg(ret) FILTER (NOT inside) / stddev_samp(ret) FILTER (NOT inside), 10) AS b FROM hv GROUP BY 1, 2),
 rk AS (SELECT *, (rank() OVER (PARTITION BY id ORDER BY b) + (count(*) OVER (PARTITION BY id, b) - 1) / 2.0) / count(*) OVER (PARTITION BY id) AS rb,
   row_number() OVER (PARTITION BY id ORDER BY a DESC, config) AS best, count(*) OVER (PARTITION BY id) AS nc FROM sr),
 w AS MATERIALIZED (SELECT id, config, nc, greatest(1.0 / (nc + 1), least(1 - 1.0 / (nc + 1), rb)) AS ro FROM rk WHERE best = 1), lg AS (SELECT *, ln(ro / (1 - ro)) AS logit FROM w)"""

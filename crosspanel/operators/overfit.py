@@ -168,7 +168,8 @@ def cscv_splits(returns: DataFrame, blocks: int = 10) -> DataFrame:
     def ratio(h):
         n, s, q = (F.col(f"{c}_{h}") for c in ("n", "s", "q"))
         var = (q - s * s / n) / (n - 1)
-        return F.coalesce(safe_div(s / n, F.sqrt(F.when(var > 0, var))), F.lit(float("-inf")))
+        # configurations with the same baskets differ only by rounding noise: make them ties
+        return F.coalesce(F.round(safe_div(s / n, F.sqrt(F.when(var > 0, var))), 10), F.lit(float("-inf")))
 
     halves = halves.select("mask", "config", ratio("in").alias("sr_in"), ratio("out").alias("sr_out"))
     halves = X.pct_rank(halves, ["mask"], {"rank_in": "sr_in", "rank_out": "sr_out"}, group_rows=0)
