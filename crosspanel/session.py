@@ -7,8 +7,10 @@ on a session somebody else created (a cluster shell, the test driver).
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,9 +28,24 @@ RUNTIME_OPTIONS = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver was started; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_crosspanel_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-package-"), "crosspanel.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._crosspanel_shipped = True
+
+
 def local_session(cpus: str | int = "*", app: str = "crosspanel", partitions: int = 8) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     builder = (

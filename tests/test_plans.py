@@ -78,3 +78,13 @@ def test_flagship_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_package_is_shipped_once(spark):
+    from crosspanel.session import ship_package, tune
+
+    tune(spark)
+    before = len(spark.sparkContext.listFiles)
+    ship_package(spark)
+    assert len(spark.sparkContext.listFiles) == before
+    assert any(f.endswith("crosspanel.zip") for f in spark.sparkContext.listFiles)
