@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import quality
+from crosspanel.llm import lines, quality
 from crosspanel.llm.common import prepare, table
 
 QUERIES: dict = {}
@@ -33,3 +33,13 @@ def op10_quality(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
     scored = quality.score(docs, quality.fit(docs, labels))
     return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    """Repeated chunks of lines removed from every document; the digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op6_line_dedup"] = lines.DIGEST_SQL
