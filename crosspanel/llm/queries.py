@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import lines, quality, simhash
+from crosspanel.llm import decontaminate, lines, quality, simhash
 from crosspanel.llm.common import prepare, table
 
 QUERIES: dict = {}
@@ -50,3 +50,10 @@ def op1_simhash(spark, sf_dir):
     """SimHash fingerprint of every document and the smallest doc_id its links reach."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    """Words of every document that lie in 13-word windows of benchmark items, and the items found."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.verdicts(decontaminate.find(docs, items)).withColumnRenamed("id", "doc_id")
