@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import decontaminate, lines, quality, simhash
+from crosspanel.llm import bpe, decontaminate, lines, quality, simhash
 from crosspanel.llm.common import prepare, table
 
 QUERIES: dict = {}
@@ -57,3 +58,13 @@ def op2_decontaminate(spark, sf_dir):
     """Words of every document that lie in 13-word windows of benchmark items, and the items found."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.verdicts(decontaminate.find(docs, items)).withColumnRenamed("id", "doc_id")
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    """Every text encoded by the ranks of a public vocabulary, and decoded again; digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, with_ids=False).withColumnRenamed("id", "doc_id")
