@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, decontaminate, lines, quality, simhash
-from crosspanel.llm.common import prepare, table
+from crosspanel.llm import bpe, chat, decontaminate, lines, quality, simhash, warc
+from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,24 @@ def op3_bpe(spark, sf_dir):
     """Every text encoded by the ranks of a public vocabulary, and decoded again; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_chat(spark, sf_dir):
+    """Every conversation formatted, and read back from the output."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = ", ".join(f"({a}L, {b}L, '{role}', '{text}')" for a, b, role, text in chat.PROBE)
+    probe = spark.sql(f"SELECT * FROM VALUES {rows} AS t(conv_id, turn, role, text)")
+    return chat.digests(chat.format_chat(chat.events_of(given.unionByName(probe))))
+
+
+SQL["op7_chat"] = chat.DIGEST_SQL
+
+
+@query
+def op8_warc(spark, sf_dir):
+    """A WARC record for every page, written and read back."""
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path, with_payload=False).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
