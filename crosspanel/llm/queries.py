@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, chat, decontaminate, lines, quality, simhash, warc
+from crosspanel.llm import bpe, chat, decontaminate, embeddings, lines, quality, simhash, warc
 from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
@@ -89,3 +89,23 @@ def op8_warc(spark, sf_dir):
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return warc.read(spark, path, with_payload=False).select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (
+  SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS holder,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM q
+"""
+
+
+@query
+def op9_embeddings(spark, sf_dir):
+    """Links between embeddings of one label at a cosine of 0.98 or more, and their components."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
