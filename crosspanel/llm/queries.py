@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, chat, decontaminate, embeddings, lines, quality, simhash, warc
+from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, quality, simhash, warc
 from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
@@ -109,3 +109,11 @@ def op9_embeddings(spark, sf_dir):
     """Links between embeddings of one label at a cosine of 0.98 or more, and their components."""
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query
+def op5_language(spark, sf_dir):
+    """The language of every document; the model learns outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.fit(docs.filter(_fold("doc_id", 4) != 2)))
+    return found.select(F.col("id").alias("doc_id"), (_fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
