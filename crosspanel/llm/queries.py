@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, quality, simhash, warc
+from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, quality, repeats, simhash, warc
 from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
@@ -117,3 +117,10 @@ def op5_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs, language.fit(docs.filter(_fold("doc_id", 4) != 2)))
     return found.select(F.col("id").alias("doc_id"), (_fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_repeats(spark, sf_dir):
+    """Bytes of every document that a repeated string of 400 bytes covers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, with_kept=False).withColumnRenamed("id", "doc_id")
