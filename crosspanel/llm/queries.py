@@ -50,7 +50,7 @@ SQL["op6_line_dedup"] = lines.DIGEST_SQL
 def op1_simhash(spark, sf_dir):
     """SimHash fingerprint of every document and the smallest doc_id its links reach."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 @query

@@ -1,10 +1,13 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints of 64 bits that differ in at most 3 agree in one of their two 32-bit halves up to one bit. In each half the anchors
-are the words of a covering code: the [31, 26] Hamming code beside one free bit, whose covering radius is 1. A
-fingerprint is replicated to every anchor within radius + threshold (1 + 1) of its half, at most 17 of 2^27, and is at
-home at the nearest one. Of two fingerprints that agree in a half up to one bit, each one's home is therefore an anchor
-of the other, so comparing every fingerprint at an anchor with those at home there finds all links, for any input.
+A fingerprint is one or more words of 64 bits. Every 32-bit half of a word is a block, and in each block the anchors are the words of a
+covering code: the [31, 26] Hamming code beside one free bit, whose covering radius is 1. A fingerprint is replicated to
+every anchor within radius + threshold (1 + 1) of its block, at most 17 of 2^27, and is at home at the nearest one. If two
+fingerprints agree in a block up to one bit, each one's home is therefore an anchor of the other. So comparing every
+fingerprint at an anchor with those at home there finds all pairs that agree in some block up to one bit.
+
+Fingerprints of one word that differ in at most 3 bits always do (3 bits over two halves): this search misses no link. Longer
+fingerprints allow more differing bits; there a pair is found if one of its blocks agrees, more surely the longer they are.
 """
 
 from __future__ import annotations
@@ -16,51 +19,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.llm.common import col, components, forest, raw_texts, runs, stored
+from crosspanel.llm.common import col, components, forest, fresh, raw_texts, runs, stored
 
-BITS = 64
 SHINGLE = 3
 MAX_DISTANCE = 3
 SEED = 42
 #: Fingerprints at home at one anchor that are compared in one block; more are dealt over pairs of blocks.
 BLOCK = 2_048
-
+#: Words of a shingle, words of 64 bits, and differing bits allowed: the exact search, and the estimate of a similarity of 0.8. With
+#: sets of one size, a Jaccard similarity of 0.8 is a cosine of 0.889, or 0.15 of the bits of a fingerprint.
+EXACT = (SHINGLE, 1, MAX_DISTANCE)
+SIMILAR = (5, 2, 19)
 
 #: Bits of every byte value; the eight bytes of a hash are counted in one histogram.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE_OFFSETS = (256 * np.arange(8)).astype(np.uint16)
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of the ASCII-lower-cased, ASCII-space-separated words of a UTF-8 text; no words give 0."""
-    words = data.lower().split()
+def _word(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of a shingle from its first one."""
+    if k == 0:
+        return h
+    h = h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(words: list[bytes], shingle: int = SHINGLE, width: int = 1) -> bytes:
+    """SimHash of a sequence of words as ``width`` big-endian numbers; no words give zeros, few of them one shingle."""
     n = len(words)
     if n == 0:
-        return 0
-    if n < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    ones, total, step = np.zeros(BITS, np.int64), n - shingle + 1, 16_384
+        return bytes(8 * width)
+    ones, total, step = np.zeros((width, 64), np.int64), max(1, n - shingle + 1), 16_384
     for at in range(0, total, step):
         part = words[at : min(at + step, total) + shingle - 1]
-        columns = [part[k : len(part) - shingle + 1 + k] for k in range(shingle)]
-        h = np.fromiter([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*columns))], np.uint64, len(part) - shingle + 1)
-        places = h.astype("<u8").view(np.uint8).reshape(-1, 8) + BYTE_OFFSETS
-        ones += (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
+        columns = [part[k : len(part) - shingle + 1 + k] for k in range(shingle)] if n >= shingle else [[w] for w in part]
+        h = np.fromiter([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*columns))], np.uint64)
+        for k in range(width):
+            places = _word(h, k).astype("<u8").view(np.uint8).reshape(-1, 8) + BYTE_OFFSETS
+            ones[k] += (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS).ravel()
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8").astype(">u8").tobytes()
+
 
+def words(data: bytes) -> list[bytes]:
+    """The ASCII-lower-cased words of a UTF-8 text between ASCII white space."""
+    return data.lower().split()
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long; a null text has none of the words and gives 0."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+
+def fingerprints(docs: DataFrame, measures=(EXACT,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0, fp1, ...): a binary fingerprint for each measure; a null text has no words and gives zeros."""
+    names = [f"fp{k}" for k in range(len(measures))]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.BinaryType()) for n in names)])
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in raw_texts(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            split = [words(t) for t in raw_texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([fingerprint(w, m[0], m[1]) for w in split], pa.binary()) for m in measures)], schema.names)
 
     return docs.select(col(id_col), col(text_col)).mapInArrow(run, schema)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Fingerprints of one length as a matrix of words."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), ">u8").astype(np.uint64).reshape(len(rows), -1)
+
+
+def _packed(matrix: np.ndarray) -> pa.Array:
+    size = 8 * matrix.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(matrix), [None, pa.py_buffer(matrix.astype(">u8").tobytes())]).cast(pa.binary())
+
+
 # -- the covering code -----------------------------------------------------------------------
 
 
@@ -95,40 +125,42 @@ def anchors(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _placed(fp: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor key, is home) over both halves; the key's bit 32 tells the half."""
-    out = []
-    for half in (0, 1):
-        v = (fp >> np.uint64(32 * half)).astype(np.uint32)
-        row, anchor = anchors(v)
-        out.append((row, anchor.astype(np.int64) | (half << 32), anchor == home(v)[row]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _blocks(fp: np.ndarray):
+    """(number, 32-bit values) of each block of a matrix of words."""
+    for word in range(fp.shape[1]):
+        for half in (0, 1):
+            yield 2 * word + half, (fp[:, word] >> np.uint64(32 * half)).astype(np.uint32)
 
 
 def home_anchors(distinct: DataFrame) -> DataFrame:
-    """(anchor): the two homes of each fingerprint."""
+    """(anchor): the homes of each fingerprint, one for each block."""
 
     def run(batches):
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            for half in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(home((fp >> np.uint64(32 * half)).astype(np.uint32)).astype(np.int64) | (half << 32))], ["anchor"])
+            for number, v in _blocks(_matrix(b.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(home(v).astype(np.int64) | (number << 32))], ["anchor"])
 
     return distinct.select("fp").mapInArrow(run, "anchor long")
 
 
 def replicas(distinct: DataFrame) -> DataFrame:
-    """(anchor, home, fp, rep) for each anchor of each (fp, rep)."""
+    """(anchor, home, fp, rep) for each anchor of each (fp, rep); the anchor's upper bits tell the block."""
 
     def run(batches):
         for b in batches:
-            fp, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for at in range(0, len(fp), 8_192):
-                f, r = fp[at : at + 8_192], rep[at : at + 8_192]
-                row, anchor, is_home = _placed(f.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(is_home), pa.array(f[row]), pa.array(r[row])], ["anchor", "home", "fp", "rep"])
+            fp, rep = _matrix(b.column(0)), b.column(1).to_numpy()
+            for at in range(0, len(fp), 4_096):
+                f, r = fp[at : at + 4_096], rep[at : at + 4_096]
+                for number, v in _blocks(f):
+                    row, anchor = anchors(v)
+                    key = anchor.astype(np.int64) | (number << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor == home(v)[row]), _packed(f[row]), pa.array(r[row])], ["anchor", "home", "fp", "rep"])
+
+    return distinct.select("fp", "rep").mapInArrow(run, "anchor long, home boolean, fp binary, rep long")
 
-    return distinct.mapInArrow(run, "anchor long, home boolean, fp long, rep long")
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def _block_links(hf, hr, of, orr, limit) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,7 +168,7 @@ def _block_links(hf, hr, of, orr, limit) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for at in range(0, len(of), 512):
         f, r = of[at : at + 512], orr[at : at + 512]
-        near = np.bitwise_count(hf[:, None] ^ f[None, :]) <= limit
+        near = sum(np.bitwise_count(hf[:, None, k] ^ f[None, :, k]).astype(np.int16) for k in range(f.shape[1])) <= limit
         i, j = np.nonzero(near & (hr[:, None] != r[None, :]))
         if len(i) == 0:
             continue
@@ -151,11 +183,11 @@ def _block_links(hf, hr, of, orr, limit) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _compared(batches, limit: int):
     """Links within sorted rows (anchor, block, home first): streams, holding only the homes of one anchor."""
-    held_key, homes_f, homes_r = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held_key, homes_f, homes_r = None, None, np.zeros(0, np.int64)
     for b in batches:
         key = np.stack([b.column(k).to_numpy() for k in (0, 1, 2)], 1)
         is_home = b.column(3).to_numpy(zero_copy_only=False)
-        fp, rep = b.column(4).to_numpy().view(np.uint64), b.column(5).to_numpy()
+        fp, rep = _matrix(b.column(4)), b.column(5).to_numpy()
         at = runs(key[:, 0], key[:, 1], key[:, 2])
         start, length = at[:-1], np.diff(at)
         n_home = np.add.reduceat(is_home.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
@@ -169,14 +201,14 @@ def _compared(batches, limit: int):
             pair_run = np.repeat(np.arange(len(s)), h * m)
             within = np.arange(len(pair_run)) - np.repeat(np.cumsum(h * m) - h * m, h * m)
             x, y = s[pair_run] + within // m[pair_run], s[pair_run] + within % m[pair_run]
-            near = (np.bitwise_count(fp[x] ^ fp[y]) <= limit) & (rep[x] != rep[y])
+            near = (_distance(fp[x], fp[y]) <= limit) & (rep[x] != rep[y])
             a_out.append(rep[x[near]])
             b_out.append(rep[y[near]])
         for k in np.flatnonzero(~small & ((length > 1) & (n_home > 0) | ~inner)):
             rows = slice(start[k], start[k] + length[k])
             this = tuple(key[start[k]])
             if this != held_key:
-                held_key, homes_f, homes_r = this, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                held_key, homes_f, homes_r = this, fp[:0], np.zeros(0, np.int64)
             mine = is_home[rows]
             homes_f, homes_r = np.concatenate([homes_f, fp[rows][mine]]), np.concatenate([homes_r, rep[rows][mine]])
             if len(homes_f):
@@ -188,13 +220,11 @@ def _compared(batches, limit: int):
 
 
 def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): ids that connect exactly the fingerprints differing in at most ``limit`` (3 or fewer) bits.
+    """(a, b): ids that connect the fingerprints which differ in at most ``limit`` bits, as far as some block agrees up to one bit.
 
     ``distinct`` has one row (fp, rep) per different fingerprint. Where more than ``block`` fingerprints are at home at one anchor,
     homes and others are dealt over a grid of blocks, so no task holds an anchor whole.
     """
-    if not 0 <= limit <= MAX_DISTANCE:
-        raise ValueError("the covering is laid out for at most 3 differing bits")
     placed = replicas(distinct)
     crowd = home_anchors(distinct).groupBy("anchor").count().filter(F.col("count") > block)
     crowd = stored(crowd.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("parts")), "crowd")
@@ -211,34 +241,40 @@ def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK) ->
     return ordered.mapInArrow(lambda batches: _compared(batches, limit), "a long, b long")
 
 
-def near_duplicates(prints: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
-    """(fp, component): for every different fingerprint the smallest id that links reach from it.
-
-    ``prints`` has (id long, fp long). Rows without an id take part through equal fingerprints only: a fingerprint that no
-    row with an id has is left out.
-    """
-    distinct = stored(prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    roots = components(stored(links(distinct, limit), "links"), "simhash")
-    return distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
+def _distinct(prints: DataFrame, k: int) -> DataFrame:
+    return stored(prints.filter("id IS NOT NULL").groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("id").alias("rep")), f"distinct{k}")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, limit: int = MAX_DISTANCE) -> DataFrame:
-    """One row (id, fp, component) per document; component is the smallest id reachable, itself included.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measure=EXACT) -> DataFrame:
+    """One row (id, fp, component) per document; component is the smallest id reachable by links, itself included.
 
-    Null, empty and blank texts have fingerprint 0 and link like any other. A null id gets the component of its fingerprint,
-    or null if no document with an id has that fingerprint. Repeated rows give repeated results, an empty table an empty one.
+    ``measure`` is (words of a shingle, words of the fingerprint, differing bits allowed). Null, empty and blank texts have a fingerprint
+    of zeros and link like any other. A null id gets the component of its fingerprint, or null if no document with an id has that one.
+    Repeated rows give repeated results, an empty table an empty one; other columns are not read.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
-    groups = near_duplicates(prints, limit)
-    return prints.join(groups, "fp", "left").select("id", "fp", "component")
+    prints = stored(fingerprints(docs, (measure,), id_col, text_col), "prints")
+    distinct = _distinct(prints, 0)
+    roots = components(stored(links(distinct, measure[2]), "links"), "simhash")
+    groups = distinct.join(roots, distinct.rep == roots.node, "left").select(F.col("fp").alias("fp0"), F.coalesce("root", "rep").alias("component"))
+    return prints.join(groups, "fp0", "left").select("id", F.col("fp0").alias("fp"), "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, limit: int = MAX_DISTANCE) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id, with all columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measures=(EXACT, SIMILAR)) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest id, with all columns.
 
-    Of several rows with that id one stays. Documents without an id cannot be told apart and all stay.
+    Documents are in one group if links of any of the measures connect them. Of several rows with that id one stays. Documents without
+    an id cannot be told apart and all stay, and link nothing. An empty table gives an empty one.
     """
-    kept = simhash_groups(docs, id_col, text_col, shingle, limit).filter("id = component").select(F.col("id").alias("kept_id")).distinct()
+    prints = stored(fingerprints(docs, measures, id_col, text_col).filter("id IS NOT NULL"), "prints")
+    found = None
+    for k, measure in enumerate(measures):
+        distinct = _distinct(prints, k)
+        near = links(distinct, measure[2])
+        # equal fingerprints: every id links to the smallest that has its fingerprint
+        equal = prints.join(distinct.withColumnRenamed("fp", f"fp{k}"), f"fp{k}").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        found = near.unionByName(equal) if found is None else found.unionByName(near).unionByName(equal)
+    gone_id = fresh(docs, "gone_id")
+    gone = components(stored(found, "links"), "simhash").select(F.col("node").alias(gone_id))
     known, rest = docs.filter(col(id_col).isNotNull()), docs.filter(col(id_col).isNull())
-    chosen = known.join(kept, col(id_col) == F.col("kept_id"), "left_semi")
+    chosen = known.join(gone, col(id_col) == col(gone_id), "left_anti")
     return chosen.dropDuplicates([id_col]).unionByName(rest)
