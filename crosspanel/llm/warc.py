@@ -89,10 +89,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, size, start) of every range of every file under a folder; the driver lists names and sizes only."""
+    """(path, size, start) of every range of every file under a folder, about one for each task; contents are not read here."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size")))
     ranges = files.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start")
+    return ranges.repartition(max(1, ranges.count()), "path", "start")
 
 
 class Member:
