@@ -123,8 +123,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
-        label_col: str = "quality", max_labelled: int = MAX_LABELLED, epochs: int = 6, seed: int = 7) -> Model:
-    """Learn from labels 0 and 1 by AdaGrad on small batches; other labels and null ids are ignored.
+        label_col: str = "quality", max_labelled: int = MAX_LABELLED, visits: int = 48_000, seed: int = 7) -> Model:
+    """Learn from labels 0 and 1 by AdaGrad on small batches, in about ``visits`` visits of an example; other labels and null ids are ignored.
 
     No labelled document at all gives the score 0.5 everywhere, a single class its smoothed share.
     """
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     value = [np.frombuffer(r.val, "<f4").astype(np.float64) for r in rows]
     gw, gv, gb = np.full(dim, 1e-6), np.full((dim, RANK), 1e-6), 1e-6
     rate, decay, size = 0.1, 1e-5, 64
-    for _ in range(epochs):
+    for _ in range(max(1, visits // len(rows))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), size):
             part = order[at : at + size]
