@@ -29,25 +29,48 @@ from crosspanel.llm.common import col, raw_texts, stored
 LENGTH = 400
 GRAM = 64
 #: Different contexts of one gram that one task sorts; and the contexts it holds at a time.
-BLOCK = 2_000
+BLOCK = 5_000
 HELD = 16_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Grams of a period up to this are no anchors; half a gram.
+PERIOD = 32
 
 
 # -- anchors -----------------------------------------------------------------------------------
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """Hash of the 64 bytes from every place on, built from 8, 16 and 32 bytes."""
+def gram_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 32 and of the 64 bytes from every place on, built from 8 and 16 bytes."""
     words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
     h = np.ascontiguousarray(words).view("<u8").ravel().astype(np.uint64) * MIX
     h ^= h >> np.uint64(32)
     h *= MIX
     for half in (8, 16, 32):
+        shorter = h
         h = h[:-half] * np.uint64(0x100000001B3) + h[half:]
         h ^= h >> np.uint64(29)
         h *= MIX
-    return h
+    return shorter, h
+
+
+def smallest_period(gram: bytes) -> int:
+    """The smallest period up to PERIOD of a gram, or 0."""
+    p = gram.find(gram[:PERIOD], 1)
+    while 0 < p <= PERIOD:
+        if gram[p:] == gram[:-p]:
+            return p
+        p = gram.find(gram[:PERIOD], p + 1)
+    return 0
+
+
+def _periodic(half: np.ndarray, n: int) -> np.ndarray:
+    """Which of the n grams have a period up to PERIOD; two equal halves at a distance cover what must be equal."""
+    out = np.zeros(n, bool)
+    for p in range(1, PERIOD + 1):
+        same = half[p:] == half[:-p]
+        out |= same[:n] & same[PERIOD - p : PERIOD - p + n]
+    return out
 
 
 def _sliding(values: np.ndarray, width: int, best, worst) -> np.ndarray:
@@ -59,30 +82,54 @@ def _sliding(values: np.ndarray, width: int, best, worst) -> np.ndarray:
     return best(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are the smallest of some window, ties included."""
-    if len(data) < length:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    h, width = gram_hashes(data), length - GRAM + 1
-    top = np.iinfo(np.uint64).max
-    low = _sliding(h, width, np.minimum, top)
+def _smallest_of_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hash of every window, and the places that are the smallest of some window, ties included."""
+    low = _sliding(h, width, np.minimum, TOP)
     # a gram is the smallest of a window if the largest of the minima around it equals it
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    around = _sliding(padded, width, np.maximum, np.uint64(0))
-    place = np.flatnonzero(around == h)
-    return place.astype(np.int32), h[place].view(np.int64)
+    return low, np.flatnonzero((_sliding(padded, width, np.maximum, np.uint64(0)) == h) & (h != TOP))
+
+
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, int, int]]]:
+    """(places, hashes, periodic windows) of a text.
+
+    The anchor of a window is the smallest of its grams that have no short period; so even in repetitive text few grams of a window
+    tie. A window without such a gram has a short period itself: such windows are told by their digest, (digest, start of the
+    first, end of the last, how many) for each phase of a run.
+    """
+    if len(data) < length:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), []
+    half, h = gram_hashes(data)
+    h = np.minimum(h, TOP - np.uint64(1))
+    width = length - GRAM + 1
+    low, place = _smallest_of_windows(h, width)
+    windows = []
+    if any(smallest_period(data[p : p + GRAM]) for p in place.tolist()):
+        h[_periodic(half, len(h))] = TOP
+        low, place = _smallest_of_windows(h, width)
+        edge = np.diff(np.concatenate([[0], (low == TOP).view(np.int8), [0]]))
+        for first, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            period = smallest_period(data[first : first + GRAM])
+            for start in range(first, min(first + period, end)):
+                n = (end - 1 - start) // period + 1
+                windows.append((xxhash.xxh3_128_digest(data[start : start + length]), start, start + (n - 1) * period + length, n))
+    return place.astype(np.int32), h[place].view(np.int64), windows
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(id, digest, n_bytes, sha256, places, grams) of every document, without its text."""
+    """(id, digest, n_bytes, sha256, places, grams, windows) of every document, without its text."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
-                           T.StructField("sha256", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+                           T.StructField("sha256", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType())),
+                           T.StructField("windows", T.ArrayType(T.StructType([T.StructField("window", T.BinaryType()), T.StructField("start", T.IntegerType()),
+                                                                              T.StructField("end", T.IntegerType()), T.StructField("n", T.LongType())])))])
+    window_type = pa.list_(pa.struct([("window", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("n", pa.int64())]))
 
     def run(batches):
         for b in batches:
             rows = [(hashlib.md5(t).digest(), len(t), hashlib.sha256(t).hexdigest(), *anchors(t, length)) for t in raw_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()),
-                                              pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], schema.names)
+                                              pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                                              pa.array([[dict(zip(("window", "start", "end", "n"), w)) for w in r[5]] for r in rows], window_type)], schema.names)
 
     return docs.select(col(id_col), col(text_col)).mapInArrow(run, schema)
 
@@ -256,10 +303,16 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"strings of fewer than {GRAM + 1} bytes hold no anchor")
     rows = stored(prepared(docs, id_col, text_col, length), "prepared")
     distinct = stored(rows.filter(F.col("n_bytes") >= length).groupBy("digest").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("places").alias("places"), F.first("grams").alias("grams")), "distinct")
+        F.count(F.lit(1)).alias("copies"), F.first("places").alias("places"), F.first("grams").alias("grams"), F.first("windows").alias("windows")), "distinct")
     every = distinct.select("digest", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("digest", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
     often = every.groupBy("gram").count().filter("count > 1").select("gram")
-    shared = every.join(often, "gram").groupBy("digest").agg(F.collect_list(F.struct("place", "gram")).alias("anchors"))
+    # windows of a short period: all their occurrences are counted by digest
+    periodic = distinct.select("digest", F.explode("windows").alias("w")).select("digest", "w.*")
+    twice = periodic.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
+    runs = stored(periodic.join(twice, "window").select("digest", F.col("start"), F.col("end")), "runs")
+    known = every.join(often, "gram").select("digest", F.struct("place", "gram").alias("a"))
+    marked = runs.select("digest", F.lit(None).cast(known.schema["a"].dataType).alias("a"))
+    shared = known.unionByName(marked).groupBy("digest").agg(F.collect_list("a").alias("anchors"))
     source = docs.select(F.unhex(F.md5(F.coalesce(col(text_col), F.lit("")).cast("binary"))).alias("digest"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     texts = stored(source.join(shared, "digest").dropDuplicates(["digest"]), "texts")
 
@@ -293,9 +346,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         reach = _sorted_extents(contexts.join(crowd, "gram", "left_anti"), length).unionByName(_counted_extents(contexts.join(crowd, "gram", "left_semi"), length))
     else:
         reach = _sorted_extents(contexts, length)
-    spans = places.join(reach, "context").groupBy("digest").agg(F.collect_set(F.struct(
-        (F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
-    documents = rows.drop("places", "grams").join(distinct.select("digest", "copies"), "digest", "left")
+    found = places.join(reach, "context").select("digest", (F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))
+    spans = found.unionByName(runs).groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    documents = rows.drop("places", "grams", "windows").join(distinct.select("digest", "copies"), "digest", "left")
     return documents, texts.select("digest", "text"), spans
 
 
