@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import base as B
 from catalog.base import AXIS, chg, lag, r, roll, rs, w
 from catalog.quality import NEWS_SQL, news
 from catalog.registry import query
+from crosspanel.operators import cross as X
 from crosspanel.operators import recurrence as E
 from crosspanel.operators import rolling as R
 from crosspanel.sources import news as N
@@ -73,7 +73,7 @@ def pair(agg: str, x: str, y: str, k: int) -> str:
 SELECT date, ticker, {r(pair('covar_samp', 'r1', 'mkt', 60), 'cov_60', 9)}, {r(roll('var_samp', 'mkt', 60), 'var_60', 9)},
   {r(pair('corr', 'r1', 'mkt', 60), 'corr_60')} FROM m""", digits=9)
 def rolling_pairs(spark, sf):
-    m = _returns(spark, sf).withColumn("mkt", F.avg("r1").over(Window.partitionBy("date")))
+    m = X.group_stats(_returns(spark, sf), X.DATE, {"mkt": F.avg("r1")}, B.universe_rows(spark, sf))
     m = m.withColumns({**R.pair_sums("p", "r1", "mkt", 60), "var_60": R.var("mkt", 60)})
     return m.select("date", "ticker", R.pair_cov("p", 60).alias("cov_60"), "var_60", F.round(R.pair_corr("p", 60), 6).alias("corr_60"))
 
@@ -87,7 +87,7 @@ def beta_sql(x: str, m: str, k: int) -> str:
 @query("W7", f"""{RET}, m AS (SELECT *, avg(r1) OVER (PARTITION BY date, category) AS peer FROM a)
 SELECT date, ticker, {r(beta_sql('r1', 'peer', 60), 'beta_60')} FROM m""")
 def rolling_moment_beta(spark, sf):
-    m = _returns(spark, sf).withColumn("peer", F.avg("r1").over(Window.partitionBy("date", "category")))
+    m = X.group_stats(_returns(spark, sf), X.PEERS, {"peer": F.avg("r1")}, B.universe_rows(spark, sf))
     return m.withColumns(R.pair_sums("p", "r1", "peer", 60)).select("date", "ticker", R.pair_beta("p", 60).alias("beta_60"))
 
 

@@ -1,30 +1,36 @@
 """Cross-sectional functions: every group is one date, or one (date, category).
 
-Each operator has two exact plans and picks one by the size of the largest
-group, which callers pass in when they know it (on a dense grid it is the
-number of tickers) and which is measured otherwise:
-
-* groups up to ``WINDOW_ROWS`` run as windows, so that all cross-sectional
-  columns of a step share a single exchange by date;
-* larger groups never meet in one task. Aggregates are combined map-side and
-  joined back, and ranks go through :func:`ladder`, which counts distinct
-  values first and splits every group into value ranges.
+Each operator has two plans and picks one by the size of the largest group, which callers pass in when they know it (on a
+dense grid it is the number of tickers) and which is measured otherwise:
+
+* groups up to ``WINDOW_ROWS`` run as windows, so that all cross-sectional columns of a step share a single exchange by date;
+* larger groups never meet in one task. Aggregates are combined map-side and joined back; ranks go through :func:`ladder`, which
+  counts distinct values first and splits every group into value ranges. The input is written once with a row number, the
+  ranking works on a narrow table of its own (row number, keys, value, tie) and comes back by row number, so nothing
+  upstream runs twice and no helper column can clash with one of the input.
+
+Both give the same rows and columns: NULL is a group key like any other, a NULL value is not ranked, a NULL tie comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.expr import col, safe_div
+from crosspanel.session import materialise
 
 WINDOW_ROWS = 1_000_000
 SPLITS = 256
 TIE_SPLITS = 64
 
+#: The column that a ``top_n`` limit may read; reserved.
+GROUP_SIZE = "_group_size"
+
 DATE = ["date"]
 PEERS = ["date", "category"]
 
@@ -43,6 +49,54 @@ def fits_window(df: DataFrame, keys: Sequence[str], group_rows: int | None) -> b
 
 # -- the split plan ---------------------------------------------------------------
 
+ROW = "_row"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The input written once, with a row number; the steps of a split plan all read this table."""
+    row = fresh(df, ROW)
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _named(keys: Sequence[str]) -> list[str]:
+    return [f"k{i}" for i in range(len(keys))] or ["k0"]
+
+
+def narrow(df: DataFrame, keys: Sequence[str], **columns) -> DataFrame:
+    """Keys as k0, k1, ... (one constant key if there are none) beside the named columns."""
+    group = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("k0")]
+    return df.select(*group, *[col(c).alias(name) for name, c in columns.items()])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match; the result has the columns of the left side, then the others of the right."""
+    other = {k: f"r_{i}_{k}" for i, k in enumerate(on)}
+    renamed = right.withColumnsRenamed(other)
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[o]) for k, o in other.items()])
+    return left.join(renamed, same, how).drop(*other.values())
+
+
+def with_results(result: DataFrame, df: DataFrame, added: Mapping[str, str]) -> DataFrame:
+    """The columns of ``df`` and the results (out -> column of ``result``), placed like ``df.withColumns`` would."""
+    own = [F.col(added[c]).alias(c) if c in added else F.col(c) for c in df.columns]
+    return result.select(*own, *[F.col(p).alias(out) for out, p in added.items() if out not in df.columns])
+
+
+def private(df: DataFrame, outs: Sequence[str]) -> dict[str, str]:
+    """out -> a column name that the table does not have."""
+    stem = fresh(df, "_result")
+    while any(c.startswith(stem) for c in df.columns):
+        stem += "_"
+    return {out: f"{stem}{i}" for i, out in enumerate(outs)}
+
 
 def value_edges(df: DataFrame, x: str, splits: int = SPLITS) -> list[float]:
     """At most ``splits - 1`` increasing cut values. They only steer balance:
@@ -52,13 +106,36 @@ def value_edges(df: DataFrame, x: str, splits: int = SPLITS) -> list[float]:
     return sorted(set(found))
 
 
-def split_by_value(df: DataFrame, x: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Tag rows with the value range they fall in; ranges ascend with x."""
+def value_range(df: DataFrame, x: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Tag rows with the value range they fall in. Ranges ascend with x; values of any ordered type keep their type."""
     if not edges:
         return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(
-        splits=[float("-inf"), *edges, float("inf")], inputCol=x, outputCol=out, handleInvalid="keep"
-    ).transform(df.withColumn(x, F.col(x).cast("double")))
+    place = "_place"
+    tagged = Bucketizer(
+        splits=[float("-inf"), *edges, float("inf")], inputCol=place, outputCol=out, handleInvalid="keep"
+    ).transform(df.withColumn(place, F.col(x).cast("double")))
+    return tagged.drop(place)
+
+
+def _steps(rows: DataFrame, group: Sequence[str], quantities: Sequence[str], edges: Sequence[float]) -> DataFrame:
+    """Distinct (group, v) of rows (group, v, quantities) with sums, running sums (``_le``) and group sums (``_all``).
+
+    Equal values collapse in the map-side combine, then the distinct values are split by value range: the running totals
+    need one window inside a range and one over the at most ``SPLITS`` range totals of a group.
+    """
+    steps = value_range(rows.groupBy(*group, "v").agg(*[F.sum(q).alias(q) for q in quantities]), "v", edges, "part")
+    totals = steps.groupBy(*group, "part").agg(*[F.sum(q).alias(q) for q in quantities])
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    offsets = totals.select(
+        *group, "part",
+        *[F.coalesce(F.sum(q).over(before), F.lit(0)).alias(f"{q}_before") for q in quantities],
+        *[F.sum(q).over(whole).alias(f"{q}_all") for q in quantities],
+    )
+    inside = Window.partitionBy(*group, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    out = join_null_safe(steps, offsets, [*group, "part"])
+    out = out.withColumns({f"{q}_le": F.sum(q).over(inside) + F.col(f"{q}_before") for q in quantities})
+    return out.drop("part", *[f"{q}_before" for q in quantities])
 
 
 def ladder(
@@ -73,35 +150,18 @@ def ladder(
     ``sums`` maps an output name to the per-row quantity to add up; ``n`` (row
     count) is always there. For every name the result carries the value's own
     total (``n``), the running total (``n_le``) and the group total (``n_all``).
-
-    Equal values collapse in the map-side combine, then the distinct values are
-    split by value range: the running totals need one window inside a range and
-    one over the at most ``SPLITS`` range totals of a group.
     """
     quantities = {"n": F.lit(1), **(sums or {})}
-    present = df.filter(F.col(x).isNotNull())
-    keys = list(keys)
-    if not keys:
-        present = present.withColumn("_all", F.lit(0))
-    group = keys or ["_all"]
+    internal = {name: f"q{i}" for i, name in enumerate(quantities)}
+    group = _named(keys)
+    rows = df.filter(F.col(x).isNotNull())
+    rows = narrow(rows, keys, v=x, **{internal[n]: q for n, q in quantities.items()})
     if edges is None:
-        edges = value_edges(present, x)
-    steps = present.groupBy(*group, x).agg(*[F.sum(q).alias(name) for name, q in quantities.items()])
-    steps = split_by_value(steps, x, edges, "_range")
-    totals = steps.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in quantities])
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    offsets = totals.select(
-        *group,
-        "_range",
-        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in quantities],
-        *[F.sum(f"_{n}").over(whole).alias(f"{n}_all") for n in quantities],
-    )
-    inside = Window.partitionBy(*group, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.join(offsets, [*group, "_range"]).withColumns(
-        {f"{n}_le": F.sum(n).over(inside) + F.col(f"_{n}_before") for n in quantities}
-    )
-    return out.drop("_range", *([] if keys else group), *[f"_{n}_before" for n in quantities])
+        rows = materialise(rows, "ladder")
+        edges = value_edges(rows, "v")
+    steps = _steps(rows, group, list(internal.values()), edges)
+    back = [F.col(g).alias(k) for g, k in zip(group, keys)]
+    return steps.select(*back, F.col("v").alias(x), *[F.col(q + end).alias(n + end) for end in ("", "_le", "_all") for n, q in internal.items()])
 
 
 # -- ranks --------------------------------------------------------------------------
@@ -128,14 +188,23 @@ def average_rank_over(x, keys: Sequence[str]) -> Column:
 def _ranks(df, keys, columns, group_rows, window_form, ladder_form):
     if fits_window(df, keys, group_rows):
         return df.withColumns({out: window_form(x, keys) for out, x in columns.items()})
+    rows, row = numbered(df)
+    group = _named(keys)
+    # columns of one type are ranked together: (row, column, value), one ladder, one way back
+    kinds: dict[str, list[tuple[str, str]]] = {}
     for out, x in columns.items():
-        steps = ladder(df, keys, x)
-        rung = steps.select(*keys, F.col(x).alias("_x"), ladder_form(steps).alias(out))
-        if not keys:
-            df = df.join(rung, F.col(x).cast("double") == F.col("_x"), "left").drop("_x")
-        else:
-            df = df.withColumn("_x", F.col(x).cast("double")).join(rung, [*keys, "_x"], "left").drop("_x")
-    return df
+        kinds.setdefault(rows.select(col(x)).schema.fields[0].dataType.simpleString(), []).append((out, x))
+    result, added = rows, private(rows, list(columns))
+    for pairs in kinds.values():
+        stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(x).alias("v")) for i, (_, x) in enumerate(pairs)]))
+        long = narrow(rows, keys, row=row, s=stacked).select(*group, "row", "s.c", "s.v").filter("v IS NOT NULL")
+        steps = _steps(long.withColumn("n", F.lit(1)), [*group, "c"], ["n"], value_edges(long, "v"))
+        ranked = join_null_safe(long, steps.select(*group, "c", "v", ladder_form(steps).alias("rank")), [*group, "c", "v"])
+        back = ranked.groupBy("row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"o{i}") for i in range(len(pairs))])
+        outs = [F.col(f"o{i}").alias(added[out]) for i, (out, _) in enumerate(pairs)]
+        key = fresh(result, "_back")
+        result = result.join(back.select(F.col("row").alias(key), *outs), F.col(row) == F.col(key), "left").drop(key)
+    return with_results(result, df, added)
 
 
 def pct_rank(
@@ -185,38 +254,31 @@ def ordinal(
 def _split_ordinal(df, keys, x, out, descending, tie, size):
     """Ordinal for groups too large for one task: the ladder places a value, and
     rows sharing a value are split by ranges of the tie column before numbering."""
-    keys = list(keys)
-    marked = df.withColumn("_x", F.col(x).cast("double"))
-    if not keys:
-        marked = marked.withColumn("_all", F.lit(0))
-    group = keys or ["_all"]
-    steps = ladder(marked, group, "_x")
-    start = steps["n_all"] - steps["n_le"] if descending else steps["n_le"] - steps["n"]
-    steps = steps.select(*group, "_x", start.alias("_start"), F.col("n_all").alias("_size"))
-    cuts = [r[0] for r in df.select(tie).distinct().orderBy(F.xxhash64(tie)).limit(TIE_SPLITS).collect()]
-    tie_range = F.lit(0)
-    for cut in sorted(c for c in cuts if c is not None):
-        tie_range = tie_range + (F.col(tie) > cut).cast("int")
-    rows = marked.filter(F.col("_x").isNotNull()).withColumn("_tie", tie_range)
-    counts = rows.groupBy(*group, "_x", "_tie").count()
-    earlier = Window.partitionBy(*group, "_x").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *group, "_x", "_tie", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_skip")
-    )
-    places = counts.join(steps, [*group, "_x"])
-    within = Window.partitionBy(*group, "_x", "_tie").orderBy(tie)
-    numbered = (
-        rows.join(places, [*group, "_x", "_tie"])
-        .withColumn(out, (F.col("_start") + F.col("_skip") + F.row_number().over(within)).cast("long"))
-    )
-    if size:
-        numbered = numbered.withColumn(size, F.col("_size"))
-    rest = marked.filter(F.col("_x").isNull()).withColumn(out, F.lit(None).cast("long"))
+    rows, row = numbered(df)
+    group = _named(keys)
+    every = narrow(rows, keys, row=row, v=x, t=tie)
+    known = every.filter("v IS NOT NULL")
+    steps = _steps(known.withColumn("n", F.lit(1)), group, ["n"], value_edges(known, "v"))
+    start = F.col("n_all") - F.col("n_le") if descending else F.col("n_le") - F.col("n")
+    cuts = [r[0] for r in known.filter("t IS NOT NULL").select("t").distinct().orderBy(F.xxhash64("t")).limit(TIE_SPLITS).collect()]
+    part = F.lit(0)
+    for cut in sorted(cuts):
+        part = part + F.coalesce((F.col("t") > cut).cast("int"), F.lit(0))
+    known = known.withColumn("part", part)
+    counts = known.groupBy(*group, "v", "part").count()
+    earlier = Window.partitionBy(*group, "v").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "v", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("skip"))
+    places = join_null_safe(counts, steps.select(*group, "v", start.alias("start")), [*group, "v"])
+    within = Window.partitionBy(*group, "v", "part").orderBy("t")
+    placed = join_null_safe(known, places, [*group, "v", "part"]).select(
+        F.col("row").alias("_back"), (F.col("start") + F.col("skip") + F.row_number().over(within)).cast("long").alias(out))
+    key, added = fresh(rows, "_back"), private(rows, [out, *([size] if size else [])])
+    result = rows.join(placed.select(F.col("_back").alias(key), F.col(out).alias(added[out])), F.col(row) == F.col(key), "left").drop(key)
     if size:
-        sizes = marked.groupBy(*group).agg(F.count("_x").alias(size))
-        rest = rest.join(sizes, group, "left")
-    keep = [*df.columns, out, *([size] if size else [])]
-    return numbered.select(*keep).unionByName(rest.select(*keep))
+        sizes = every.groupBy(*group).agg(F.count("v").alias("n"))
+        back = join_null_safe(every.select("row", *group), sizes, group).select(F.col("row").alias(key), F.col("n").alias(added[size]))
+        result = result.join(back, F.col(row) == F.col(key), "left").drop(key)
+    return with_results(result, df, added)
 
 
 def tile(rank: Column, n: Column, q: int) -> Column:
@@ -232,8 +294,9 @@ def quantile_tile(
     df: DataFrame, keys, x: str, out: str, q: int, tie="ticker", descending=False, group_rows=None
 ) -> DataFrame:
     """First-come equal-count tiles of x per group (3 = terciles, 10 = deciles)."""
-    ranked = ordinal(df, keys, x, "_ord", descending, tie, group_rows, size="_size")
-    return ranked.withColumn(out, tile(F.col("_ord"), F.col("_size"), q)).drop("_ord", "_size")
+    place, size = fresh(df, "_ord"), fresh(df, "_count")
+    ranked = ordinal(df, keys, x, place, descending, tie, group_rows, size=size)
+    return ranked.withColumn(out, tile(F.col(place), F.col(size), q)).drop(place, size)
 
 
 def tercile_of(pct) -> Column:
@@ -257,8 +320,10 @@ def group_stats(
     if fits_window(df, keys, group_rows):
         w = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(w) for name, agg in stats.items()})
-    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(totals, keys, "left")
+    rows, added = materialise(df, "rows"), private(df, list(stats))
+    totals = rows.groupBy(*keys).agg(*[agg.alias(added[name]) for name, agg in stats.items()])
+    both = join_null_safe(rows, totals, keys, "left") if keys else rows.crossJoin(totals)  # without keys: one row
+    return with_results(both, df, added)
 
 
 def loo_mean(x, total: str | Column, n: str | Column, null_self: bool = True) -> Column:
@@ -281,15 +346,12 @@ def add_loo(
     group_rows: int | None = None,
 ) -> DataFrame:
     """Add leave-one-out group means: out -> x."""
+    names = {out: (fresh(df, f"_{out}_s"), fresh(df, f"_{out}_n")) for out in columns}
     stats: dict[str, Column] = {}
     for out, x in columns.items():
-        stats[f"_{out}_s"] = F.sum(x)
-        stats[f"_{out}_n"] = F.count(x)
+        stats[names[out][0]], stats[names[out][1]] = F.sum(x), F.count(x)
     df = group_stats(df, keys, stats, group_rows)
-    df = df.withColumns(
-        {out: loo_mean(x, f"_{out}_s", f"_{out}_n", null_self) for out, x in columns.items()}
-    )
-    return df.drop(*stats)
+    return df.withColumns({out: loo_mean(x, *names[out], null_self) for out, x in columns.items()}).drop(*stats)
 
 
 def zscore(
@@ -300,16 +362,17 @@ def zscore(
 
     ``flat`` says what a zero deviation means: "null" gives NULL, "one" divides by 1.
     """
+    names = {out: (fresh(df, f"_{out}_m"), fresh(df, f"_{out}_d")) for out in columns}
     stats: dict[str, Column] = {}
     for out, x in columns.items():
-        stats[f"_{out}_m"], stats[f"_{out}_d"] = F.avg(x), F.stddev_samp(x)
+        stats[names[out][0]], stats[names[out][1]] = F.avg(x), F.stddev_samp(x)
     df = group_stats(df, keys, stats, group_rows)
     added = {}
     for out, x in columns.items():
-        sd = F.col(f"_{out}_d")
+        mean, sd = F.col(names[out][0]), F.col(names[out][1])
         if flat == "one":
             sd = F.when(sd > 0, sd).otherwise(F.lit(1.0))
-        z = safe_div(F.col(x) - F.col(f"_{out}_m"), sd)
+        z = safe_div(F.col(x) - mean, sd)
         if bound is not None:
             z = F.when(z.isNotNull(), F.greatest(F.lit(-bound), F.least(F.lit(bound), z)))
         added[out] = z
@@ -325,26 +388,27 @@ def quantiles(
     """One row per group with exact linear-interpolated quantiles."""
     keys = list(keys)
     if fits_window(df, keys, group_rows):
-        exact = [F.percentile(x, p).alias(name) for name, p in probs.items()]
-        return df.groupBy(*keys).agg(*exact) if keys else df.agg(*exact)
-    steps = ladder(df, keys, x)
-    picks: list[Column] = []
-    for name, p in probs.items():
+        # one buffer of distinct values for all probabilities
+        found = fresh(df, "_found")
+        exact = df.groupBy(*keys).agg(F.percentile(x, list(probs.values())).alias(found))
+        return exact.select(*keys, *[F.get(F.col(found), i).alias(name) for i, name in enumerate(probs)])
+    steps = narrow(ladder(df, keys, x), keys, v=x, n_le="n_le", n_all="n_all")
+    group = _named(keys)
+    value, picks = F.col("v").cast("double"), []
+    for i, p in enumerate(probs.values()):
         pos = F.lit(float(p)) * (F.col("n_all") - 1)
         lo = F.floor(pos)
         picks += [
-            F.min(F.when(F.col("n_le") > lo, F.col(x))).alias(f"_{name}_lo"),
-            F.min(F.when(F.col("n_le") > F.ceil(pos), F.col(x))).alias(f"_{name}_hi"),
-            F.max(pos - lo).alias(f"_{name}_f"),
+            F.min(F.when(F.col("n_le") > lo, value)).alias(f"lo{i}"),
+            F.min(F.when(F.col("n_le") > F.ceil(pos), value)).alias(f"hi{i}"),
+            F.max(pos - lo).alias(f"f{i}"),
         ]
-    found = steps.groupBy(*keys).agg(*picks) if keys else steps.agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n)
-            for n in probs
-        ],
-    )
+    found = steps.groupBy(*group).agg(*picks) if keys else steps.agg(*picks)
+    # groups without any value have a row as well
+    if keys:
+        found = join_null_safe(narrow(df, keys).distinct(), found, group, "left")
+    between = [(F.col(f"lo{i}") + F.col(f"f{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(n) for i, n in enumerate(probs)]
+    return found.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], *between)
 
 
 def group_median(
@@ -355,16 +419,20 @@ def group_median(
     if fits_window(df, keys, group_rows):
         w = Window.partitionBy(*keys)
         return df.withColumns({out: F.median(x).over(w) for out, x in columns.items()})
+    rows, added = materialise(df, "rows"), private(df, list(columns))
+    result = rows
     for out, x in columns.items():
-        df = df.join(quantiles(df, keys, x, {out: 0.5}, group_rows), keys, "left")
-    return df
+        medians = quantiles(rows, keys, x, {added[out]: 0.5}, group_rows)
+        result = join_null_safe(result, medians, keys, "left") if keys else result.crossJoin(medians)  # without keys: one row
+    return with_results(result, df, added)
 
 
 def top_n(
     df: DataFrame, keys: Sequence[str], x: str, n: Column | int, descending: bool = True,
     tie: str = "ticker", group_rows: int | None = None,
 ) -> DataFrame:
-    """The first n rows of every group; ``n`` may depend on ``_size``, the group's count."""
+    """The first n rows of every group; ``n`` may depend on ``GROUP_SIZE``, the group's count of values."""
     limit = F.lit(n) if isinstance(n, int) else n
-    ranked = ordinal(df, keys, x, "_ord", descending, tie, group_rows, size="_size")
-    return ranked.filter(F.col("_ord") <= limit).drop("_ord", "_size")
+    place = fresh(df, "_ord")
+    ranked = ordinal(df, keys, x, place, descending, tie, group_rows, size=GROUP_SIZE)
+    return ranked.filter(F.col(place) <= limit).drop(place, GROUP_SIZE)

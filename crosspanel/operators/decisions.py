@@ -60,7 +60,7 @@ def realised_cost(y, call, cost) -> Column:
 
 def gated_calls(df: DataFrame, conviction: str, k: float, group_rows: int | None = None) -> DataFrame:
     """Each day's most convinced share k (at least one row)."""
-    n = F.greatest(F.floor(F.col("_size") * k), F.lit(1))
+    n = F.greatest(F.floor(F.col(X.GROUP_SIZE) * k), F.lit(1))
     return X.top_n(df, X.DATE, conviction, n, group_rows=group_rows)
 
 

@@ -177,7 +177,7 @@ def newey_west(series: DataFrame, lag: int, x: str = "ic", by: Sequence[str] = (
 
 def precision_at_top(df: DataFrame, s: str, hit: str, rel: str, k: float, group_rows=None) -> DataFrame:
     """Hit rate and mean outcome of each day's best k share, averaged over days."""
-    n = F.greatest(F.floor(F.col("_size") * k), F.lit(1))
+    n = F.greatest(F.floor(F.col(X.GROUP_SIZE) * k), F.lit(1))
     picks = X.top_n(df, X.DATE, s, n, group_rows=group_rows)
     days = picks.groupBy("date").agg(F.avg(F.col(hit).cast("double")).alias("_p"), F.avg(rel).alias("_r"))
     return days.agg(F.count(F.lit(1)).alias("days"), F.avg("_p").alias("precision"), F.avg("_r").alias("mean_rel"))

@@ -1,6 +1,8 @@
 """Run registered queries against their SQL in an in-process DuckDB and report differences.
 
-    python tools/compare.py [--sf DIR] [--only substring ...] [--module name]
+    python tools/compare.py [--sf DIR] [--only substring ...] [--module name] [--split]
+
+``--split`` forces the plan for large groups in every cross-sectional operator.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from catalog.registry import load_all  # noqa: E402
+from crosspanel.operators import cross  # noqa: E402
 from crosspanel.session import local_session  # noqa: E402
 
 TABLES = (
@@ -46,11 +49,15 @@ def main():
     ap.add_argument("--only", nargs="*", default=[])
     ap.add_argument("--module")
     ap.add_argument("--show", type=int, default=3)
+    ap.add_argument("--split", action="store_true")
     args = ap.parse_args()
+    if args.split:
+        cross.WINDOW_ROWS = -1
     entries = load_all()
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{args.sf}/{t}.parquet'")
+        path = f"{args.sf}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     spark = local_session(8, "compare")
     spark.sparkContext.setLogLevel("OFF")
     bad = []
