@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from catalog import base as B
 from catalog.base import r, rs
 from catalog.evaluation import ic_sql, nw_sql
-from catalog.portfolios import H, PY, basket_sql, frame_sql, rebalance_sql, turn_sql, weight_sql
+from catalog.portfolios import H, PY, basket_sql, buffer_walk_sql, frame_sql, rebalance_sql, turn_sql, weight_sql
 from catalog.registry import query
 from catalog.scored import SCORED_SQL, scored, scored_table
+from crosspanel.functions import stats as ST
 from crosspanel.operators import overfit as O
 from crosspanel.operators import portfolio as PF
 
-# the configuration grid: liquidity floors x basket shares (x buffers)
-SCREENS = [0.0, 120000.0, 150000.0]
-TOPS = [0.1, 0.2, 0.33]
+# the configuration grid: 4 liquidity floors x 4 basket shares, x 2 buffers where these are walked: 32
+SCREENS = [0.0, 90000.0, 120000.0, 150000.0]
+TOPS = [0.1, 0.15, 0.2, 0.33]
+BUFFERS = [0.0, 0.5]
 NAMES = [f"screen{s}_top{t}_buffer0.0" for s in SCREENS for t in TOPS]
 
 
@@ -33,22 +35,31 @@ def named(df):
 
 
 BY = "screen, top, buffer"
-GRID = f"""{SCORED_SQL}, cfg AS (SELECT screen, top, 0.0::DOUBLE AS buffer FROM (SELECT unnest({SCREENS}::DOUBLE[]) AS screen), (SELECT unnest({TOPS}::DOUBLE[]) AS top)),
-tg AS MATERIALIZED (SELECT sc.*, cfg.* FROM sc, cfg WHERE adv >= screen), {rebalance_sql('tg', BY)}, {basket_sql('top', BY)}, {weight_sql('equal', BY)}, {turn_sql(BY)}, {frame_sql(5.0, BY)},
+
+
+def grid_sql(buffers, baskets, head=SCORED_SQL):
+    return f"""{head}, cfg AS (SELECT screen, top, buffer FROM (SELECT unnest({SCREENS}::DOUBLE[]) AS screen), (SELECT unnest({TOPS}::DOUBLE[]) AS top), (SELECT unnest({buffers}::DOUBLE[]) AS buffer)),
+tg AS MATERIALIZED (SELECT sc.*, cfg.* FROM sc, cfg WHERE adv >= screen), {rebalance_sql('tg', BY)}, {baskets}, {weight_sql('equal', BY)}, {turn_sql(BY)}, {frame_sql(5.0, BY)},
 g0 AS (SELECT {BY}, date, excess_net AS ret FROM pf), g1 AS (SELECT {BY} FROM g0 GROUP BY ALL HAVING count(*) >= 40), g2 AS (SELECT g0.* FROM g0 JOIN g1 USING ({BY})),
 m AS MATERIALIZED (SELECT *, 'screen' || cast(screen AS varchar) || '_top' || cast(top AS varchar) || '_buffer' || cast(buffer AS varchar) AS config FROM g2
   WHERE date IN (SELECT date FROM g2 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM g1)))"""
 
 
+GRID = grid_sql([0.0], basket_sql('top', BY))
+
+
 @query("O1 B5", f"{GRID} SELECT {BY}, date, {rs('ret')} FROM m")
 def config_returns(spark, sf):
     return returns(spark, sf)
 
 
-@query("O1 B6")
+BUFFERED = grid_sql(BUFFERS, buffer_walk_sql(BY), SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1))
+
+
+@query("O1 B6", f"{BUFFERED} SELECT {BY}, date, {rs('ret')} FROM m")
 def config_returns_buffered(spark, sf):
-    """The grid with a buffer: incumbents inside the widened band stay."""
-    return returns(spark, sf, (0.0, 0.5))
+    """The whole grid of 32: with a buffer, incumbents inside the widened band stay."""
+    return returns(spark, sf, BUFFERS)
 
 
 RATIO = f"{GRID}, rt AS (SELECT {BY}, config, count(*) AS periods, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(ret) / stddev_samp(ret) * sqrt({PY}) AS ir FROM m GROUP BY ALL)"
@@ -76,13 +87,28 @@ def effective_trials(spark, sf):
     return O.effective_trials(named(returns(spark, sf)), NAMES)
 
 
-@query("O3")
+def _squared(k):
+    return f"""sq{k} AS MATERIALIZED (SELECT a.x, b.y, sum(a.c * b.c) AS c FROM pw{k} a JOIN pw{k} b ON a.y = b.x GROUP BY 1, 2),
+pw{k + 1} AS MATERIALIZED (SELECT x, y, c / (SELECT sum(c) FROM sq{k} WHERE x = y) AS c FROM sq{k})"""
+
+
+@query("O3", f"""{GRID}, c AS (SELECT a.config AS x, b.config AS y, corr(a.ret, b.ret) AS c FROM m a JOIN m b USING (date) GROUP BY 1, 2),
+nm AS (SELECT unnest({NAMES}) AS x), pw0 AS MATERIALIZED (SELECT a.x, b.x AS y, CASE WHEN a.x = b.x THEN 1.0 ELSE coalesce(c.c, 0) END AS c FROM nm a CROSS JOIN nm b LEFT JOIN c ON c.x = a.x AND c.y = b.x),
+{", ".join(_squared(k) for k in range(O.SQUARINGS))}
+SELECT {r(f'sum(a.c * b.c) / {len(NAMES)}', 'pc1_share')} FROM pw0 a JOIN pw{O.SQUARINGS} b USING (x, y)""")
 def first_component_share(spark, sf):
     """Share of the largest eigenvalue of the configurations' correlation matrix."""
     return O.first_component_share(named(returns(spark, sf)), NAMES)
 
 
-@query("O4")
+@query("O4", f"""{GRID}, mo AS (SELECT {BY}, count(*) AS periods, avg(ret) / stddev_samp(ret) AS sr, (sum(pow(ret - mu, 3)) / count(*)) / pow(stddev_pop(ret), 3) AS skew,
+  (sum(pow(ret - mu, 4)) / count(*)) / pow(stddev_pop(ret), 4) AS kurt FROM (SELECT *, avg(ret) OVER (PARTITION BY {BY}) AS mu FROM m) GROUP BY ALL),
+t0 AS (SELECT *, count(sr) OVER () AS nt, var_samp(sr) OVER () AS v FROM mo), t1 AS (SELECT *, 1 - 1 / nt AS p1, 1 - 1 / (nt * exp(1)) AS p2 FROM t0),
+t2 AS (SELECT *, {ST.normal_ppf_start_sql('p1')} AS s1, {ST.normal_ppf_start_sql('p2')} AS s2 FROM t1),
+t3 AS (SELECT *, CASE WHEN nt >= 2 AND v > 0 THEN sqrt(v) * ({1 - O.GAMMA} * {ST.normal_ppf_step_sql('s1', 'p1')} + {O.GAMMA} * {ST.normal_ppf_step_sql('s2', 'p2')}) ELSE 0 END AS sr0,
+  1 - skew * sr + (kurt - 1) / 4 * sr * sr AS inside FROM t2),
+t4 AS (SELECT *, CASE WHEN inside > 0 THEN (sr - sr0) * sqrt(periods - 1.0) / sqrt(inside) END AS z FROM t3)
+SELECT {BY}, periods, {r('sr', 'sr')}, {r(f'sr * sqrt({PY})', 'sr_ann')}, {rs('sr0', 'skew', 'kurt')}, {r(ST.normal_cdf_sql('z'), 'dsr')} FROM t4""")
 def deflated_sharpe(spark, sf):
     """Probability that each configuration beats the best of as many zero-skill trials."""
     return O.deflated_sharpe(returns(spark, sf), PY)
@@ -124,16 +150,17 @@ def one_config(spark, sf):
 
 
 @query("O6", f"""{ONE}, dr AS (SELECT d AS draw, j, cast('0x' || substr(md5('0|' || cast(d AS varchar) || '|' || cast(j AS varchar)), 1, 12) AS bigint) % (SELECT max(n) FROM one) AS pos
-  FROM (SELECT unnest(generate_series(0, 1999)) AS d), (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM one))) AS j)),
+  FROM (SELECT unnest(generate_series(0, 19999)) AS d), (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM one))) AS j)),
 bt AS (SELECT draw, avg(ret) / stddev_samp(ret) * sqrt({PY}) AS ir FROM dr JOIN one USING (pos) GROUP BY 1)
 SELECT count(*) AS periods, {r(f'avg(ret) / stddev_samp(ret) * sqrt({PY})', 'ir')}, {r('avg(ret) / stddev_samp(ret) * sqrt(count(*))', 't')}, {r(f'sqrt({PY} / count(*))', 'ir_se')},
   {r('(SELECT quantile_cont(ir, 0.025) FROM bt)', 'low')}, {r('(SELECT quantile_cont(ir, 0.975) FROM bt)', 'high')},
   {r('(SELECT avg(CASE WHEN ir <= 0 THEN 1.0 ELSE 0 END) FROM bt)', 'share_le_0')} FROM one""")
 def bootstrap_interval(spark, sf):
-    return O.bootstrap_summary(one_config(spark, sf), PY, 2000)
+    return O.bootstrap_summary(one_config(spark, sf), PY, 20000)
 
 
-@query("O6 E8")
+@query("O6 E8", f"""{RATIO}, tt AS (SELECT {BY}, periods, ir, mean / (sd / sqrt(periods)) AS t, periods - 1 AS df FROM rt), ab AS (SELECT *, abs(t) AS size FROM tt)
+SELECT {BY}, periods, {rs('ir', 't')}, {r(f"1 - ({ST.t_cdf_sql('t', 'df')})", 'p_one_sided')}, {r(f"2 * (1 - ({ST.normal_cdf_sql('size')}))", 'p_two_sided')} FROM ab""")
 def p_values(spark, sf):
     """One-sided Student and two-sided normal p-values of every configuration's mean."""
     ratios = O.config_ratio(returns(spark, sf), PY)

@@ -259,17 +259,24 @@ def portfolio_by_year(spark, sf):
     return PF.by_year(PF.backtest(scored_table(spark, sf), H, 0.2, group_rows=n_rows(spark, sf)), "excess_net")
 
 
-def buffer_walk_sql(top, buffer):
-    """Buffered baskets as a recursion over rebalance dates, each carrying the held list."""
-    return f"""{SCORED_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, {rebalance_sql()}, rk AS MATERIALIZED (SELECT k, _size, list({{'t': ticker, 'o': rn}} ORDER BY rn) AS l,
-  greatest(cast(round_even(_size * {top}, 0) AS bigint), 3) AS n FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rn FROM rb) GROUP BY k, _size),
-wk AS (SELECT 0::BIGINT AS k, list_transform(l[:n], lambda x: x.t) AS held FROM rk WHERE k = 0 UNION ALL
-  SELECT r.k, list_concat(st, nw[:greatest(r.n - len(st), 0)])[:r.n] FROM (SELECT r.k, r.n,
-    list_transform(list_filter(r.l, lambda x: list_contains(w.held, x.t) AND x.o <= least(cast(floor(r.n * (1 + {buffer})) AS bigint), r._size)), lambda x: x.t) AS st,
-    list_transform(list_filter(r.l, lambda x: NOT list_contains(w.held, x.t)), lambda x: x.t) AS nw FROM wk w JOIN rk r ON r.k = w.k + 1) r)"""
+def buffer_walk_sql(by):
+    """Baskets ``bk`` of the rows ``rb``, which carry top and buffer, as a recursion over rebalance dates that carries the held list."""
+    same = " AND ".join(f"r.{c} = w.{c}" for c in by.split(", "))
+    r_by = ", ".join(f"r.{c}" for c in by.split(", "))
+    return f"""rk AS MATERIALIZED (SELECT {by}, k, _size, list({{'t': ticker, 'o': rn}} ORDER BY rn) AS l,
+  greatest(cast(round_even(_size * top, 0) AS bigint), 3) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {by}, date ORDER BY score DESC, ticker) AS rn FROM rb) GROUP BY {by}, k, _size),
+wk AS (SELECT {by}, 0::BIGINT AS k, list_transform(l[:n], lambda x: x.t) AS held FROM rk WHERE k = 0 UNION ALL
+  SELECT {by}, k, list_concat(st, nw[:greatest(n - len(st), 0)])[:n] FROM (SELECT {r_by}, r.k, r.n,
+    list_transform(list_filter(r.l, lambda x: r.buffer > 0 AND list_contains(w.held, x.t) AND x.o <= least(cast(floor(r.n * (1 + r.buffer)) AS bigint), r._size)), lambda x: x.t) AS st,
+    list_transform(list_filter(r.l, lambda x: r.buffer = 0 OR NOT list_contains(w.held, x.t)), lambda x: x.t) AS nw FROM wk w JOIN rk r ON r.k = w.k + 1 AND {same}) r),
+wu AS (SELECT {by}, k, unnest(held) AS ticker FROM wk), bk AS MATERIALIZED (SELECT rb.* FROM rb JOIN wu USING ({by}, k, ticker))"""
 
 
-@query("B6", f"{buffer_walk_sql(0.2, 0.5)} SELECT k, unnest(held) AS ticker FROM wk")
+WALK = "top, buffer"
+
+
+@query("B6", f"""{SCORED_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, sb AS (SELECT *, 0.2::DOUBLE AS top, 0.5::DOUBLE AS buffer FROM sc), {rebalance_sql('sb', WALK)}, {buffer_walk_sql(WALK)}
+SELECT k, ticker FROM bk""")
 def buffered_baskets(spark, sf):
     rows = PF.rebalance_rows(scored_table(spark, sf), H, min_rows=6).withColumns({"top": F.lit(0.2), "buffer": F.lit(0.5)})
     return PF.buffered_baskets(rows, "top", "buffer", ["top", "buffer"], group_rows=n_rows(spark, sf)).select("k", "ticker")

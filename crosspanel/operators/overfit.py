@@ -9,8 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +20,8 @@ from crosspanel.operators import portfolio as PF
 from crosspanel.session import materialise
 
 GAMMA = 0.5772156649015329
+#: Squarings of a correlation matrix after which only its first component is left: powers up to 2^14.
+SQUARINGS = 14
 DIMS = ["screen", "top", "buffer"]
 
 
@@ -36,12 +36,16 @@ def config_returns(
 ) -> DataFrame:
     """Net excess return of every configuration on the dates all of them have.
 
-    All configurations run in one pass: rows are tagged with every
-    configuration whose liquidity screen they meet.
+    All configurations run in one pass: rows of the rebalance dates of a screen
+    are tagged with every configuration that has it.
     """
+    # the screen alone decides which rows and dates a configuration sees; the other settings wait until the dates are thinned out
+    screens = F.array(*[F.lit(x) for x in sorted({float(c["screen"]) for c in configs})])
+    screened = scores.withColumn("screen", F.explode(screens)).filter(F.col("adv") >= F.col("screen"))
+    due = materialise(PF.rebalance_rows(screened, horizon, ["screen"], min_rows=6), "due")
     tags = F.array(*[F.struct(*[F.lit(float(c[d])).alias(d) for d in DIMS]) for c in configs])
-    tagged = scores.withColumn("_c", F.explode(tags)).select("*", "_c.*").drop("_c").filter(F.col("adv") >= F.col("screen"))
-    rows = materialise(PF.rebalance_rows(tagged, horizon, DIMS, min_rows=6), "rebalance")
+    tagged = due.withColumn("_c", F.explode(F.filter(tags, lambda c: c["screen"] == F.col("screen"))))
+    rows = materialise(tagged.withColumns({d: F.col("_c")[d] for d in DIMS[1:]}).drop("_c"), "rebalance")
     if any(c["buffer"] for c in configs):
         basket = PF.buffered_baskets(rows, "top", "buffer", DIMS, group_rows=group_rows)
     else:
@@ -79,13 +83,12 @@ def variance_shares(ratios: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     return out
 
 
-def _wide(returns: DataFrame, names: Sequence[str]) -> DataFrame:
-    return returns.groupBy("date").pivot("config", list(names)).agg(F.first("ret"))
-
-
 def correlations(returns: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pairwise correlation of the configurations' returns."""
-    return V.correlation_matrix(_wide(returns, names), [f"`{n}`" if "." in n else n for n in names])
+    """Pairwise correlation (a, b, corr) of the named configurations' returns, a <= b, over the dates both have."""
+    kept = materialise(returns.filter(F.col("config").isin(list(names))).select("date", "config", "ret"), "returns")
+    other = kept.select("date", F.col("config").alias("b"), F.col("ret").alias("y"))
+    pairs = kept.select("date", F.col("config").alias("a"), F.col("ret").alias("x")).join(other, "date").filter("a <= b")
+    return pairs.groupBy("a", "b").agg(pearson("x", "y").alias("corr"))
 
 
 def effective_trials(returns: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -101,17 +104,22 @@ def effective_trials(returns: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def first_component_share(returns: DataFrame, names: Sequence[str]) -> DataFrame:
     """Share of the largest eigenvalue of the configurations' correlation matrix."""
-    order = {(f"`{n}`" if "." in n else n): i for i, n in enumerate(names)}
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.eye(len(order))
-        for a, b, v in pdf[["a", "b", "corr"]].itertuples(index=False):
-            m[order[a], order[b]] = m[order[b], order[a]] = v
-        values = np.linalg.eigvalsh(m)
-        values = values[values > 0]
-        return pd.DataFrame({"pc1_share": [values.max() / values.sum()]})
-
-    return correlations(returns, names).groupBy().applyInPandas(share, "pc1_share double")
+    held = F.array(*[F.lit(n) for n in names])
+    known = F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b").alias("pair"), "corr")))
+    one = correlations(returns, names).filter("corr IS NOT NULL").agg(known.alias("known"))  # as large as the list of names, squared
+    of = lambda a, b: F.try_element_at("known", F.struct(a.alias("a"), b.alias("b")))
+    value = lambda a, b: F.when(a == b, 1.0).otherwise(F.coalesce(of(a, b), of(b, a), F.lit(0.0)))
+    one = one.select(F.transform(held, lambda a: F.transform(held, lambda b: value(a, b))).alias("m"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    def squared(b, _):
+        """b * b over its trace, for a symmetric b; repeated, it turns to the projection on the first component."""
+        trace = F.aggregate(b, F.lit(0.0), lambda s, r: s + dot(r, r))
+        return F.element_at(F.transform(F.array(trace), lambda t: F.transform(b, lambda x: F.transform(b, lambda y: dot(x, y) / t))), 1)
+
+    one = one.withColumn("p", F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), F.col("m"), squared))
+    first = F.aggregate(F.zip_with("m", "p", dot), F.lit(0.0), lambda s, v: s + v)
+    return one.select((first / F.size("m")).alias("pc1_share"))
 
 
 def moments(returns: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ kept rebalance dates of a portfolio 0, 1, ...
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from crosspanel.functions.expr import bankers_round, pearson, safe_div
 from crosspanel.operators import cross as X
-from crosspanel.session import materialise
 
 # -- dates and configurations -----------------------------------------------------------
 
@@ -127,70 +126,57 @@ def backtest(
     return period_frame(rows, held, cost_bps, by)
 
 
-WALK_ROWS = 1_000_000
-
-
 def buffered_baskets(
     rows: DataFrame, top: str, buffer: str, by: Sequence[str], score: str = "score", group_rows: int | None = None
 ) -> DataFrame:
     """Baskets in which incumbents inside a widened band stay.
 
-    ``top`` and ``buffer`` are columns of ``by``. Each basket depends on the one
-    before. Only a date's best ``band + n`` rows can matter: incumbents must be
-    in the band, and of the rest at most n outsiders are needed, of which at
-    most n are passed over as incumbents. Portfolios with few such candidates
-    are walked in one pandas group each; larger ones one date at a time, every
-    step a distributed job.
+    ``top`` and ``buffer`` are columns of ``by``. Each basket depends on the one before, so the dates of a portfolio are passed in order,
+    and what is carried from date to date is the basket alone. Only a date's best ``band + n`` rows can matter: incumbents must
+    be in the band, and of the rest at most n outsiders are needed, of which at most n are passed over as incumbents. These
+    rows are streamed, sorted, through the tasks; a task never holds more than one date of them.
     """
-    ranked = X.ordinal(rows, [*by, "date"], score, "_ord", True, group_rows=group_rows)
+    keys = list(by)
+    ranked = X.ordinal(rows, [*keys, "date"], score, "_ord", True, group_rows=group_rows)
     ranked = ranked.withColumn("_n", basket_size(F.col("_size"), F.col(top)))
     ranked = ranked.withColumn("_band", F.least(F.floor(F.col("_n") * (1 + F.col(buffer))), F.col("_size")))
     cand = ranked.filter(F.col("_ord") <= F.col("_band") + F.col("_n")).select(
-        *by, "k", "ticker", "_ord", "_n", "_band")
-    keys = list(by)
-    if X.largest_group(cand, keys) <= WALK_ROWS:
-        picks = _walk_in_groups(cand, buffer, keys)
-    else:
-        picks = _walk_by_date(cand, buffer, keys)
+        *keys, "k", "ticker", "_ord", "_n", F.when(F.col(buffer) > 0, F.col("_band")).otherwise(0).alias("_band"))
+    ordered = cand.repartition(*keys).sortWithinPartitions(*keys, "k", "_ord")
+    schema = T.StructType([f for f in cand.schema.fields if f.name in (*keys, "k", "ticker")])
+    picks = ordered.mapInPandas(lambda frames: _carried(frames, keys), schema)
     return rows.join(picks, [*keys, "k", "ticker"], "left_semi")
 
 
-def _walk_in_groups(cand: DataFrame, buffer: str, keys: list[str]) -> DataFrame:
-    schema = T.StructType([f for f in cand.schema.fields if f.name in (*keys, "k", "ticker")])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
-        kept = []
-        for _, day in pdf.sort_values(["k", "_ord"]).groupby("k", sort=True):
-            n = int(day["_n"].iloc[0])
-            known = day["ticker"].isin(held) if float(day[buffer].iloc[0]) > 0 else day["ticker"].isna()
-            stay = day[known & (day["_ord"] <= day["_band"])].head(n)
-            pick = pd.concat([stay, day[~known].head(n - len(stay))])
-            held = set(pick["ticker"])
-            kept.append(pick)
-        return pd.concat(kept)[[f.name for f in schema.fields]]
-
-    return cand.groupBy(*keys).applyInPandas(walk, schema)
-
-
-def _walk_by_date(cand: DataFrame, buffer: str, keys: list[str]) -> DataFrame:
-    cand = materialise(cand, "walk")
-    steps = cand.agg(F.max("k")).first()[0]
-    held = cand.select(*keys, "ticker").limit(0)
-    out = None
-    for i in range(steps + 1):
-        day = cand.filter(F.col("k") == i).join(held.withColumn("_was", F.lit(True)), [*keys, "ticker"], "left")
-        known = F.coalesce(F.col("_was"), F.lit(False)) & (F.col(buffer) > 0)
-        day = day.withColumn("_stay", F.when(known & (F.col("_ord") <= F.col("_band")), F.col("_ord")))
-        day = day.withColumn("_new", F.when(~known, F.col("_ord")))
-        day = X.ordinal(day, keys, "_stay", "_i", size="_m")
-        day = X.ordinal(day, keys, "_new", "_j")
-        kept = F.least(F.col("_m"), F.col("_n"))
-        pick = day.filter((F.col("_i") <= F.col("_n")) | (F.col("_j") <= F.col("_n") - kept))
-        pick = materialise(pick.select(*keys, "k", "ticker"), "walk")
-        held = pick.select(*keys, "ticker")
-        out = pick if out is None else out.unionByName(pick)
-    return out
+def _carried(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Pick the basket of each date from its candidates, sorted by portfolio, date and rank."""
+    names = [*keys, "k", "ticker"]
+    incumbents: dict[str, int] = {}
+    portfolio, today, pending = None, None, []
+
+    def settle():
+        # incumbents keep their place while inside the band; outsiders fill up in the order of their ranks
+        size = pending[0][2]
+        stay = [t for t, rank, _, band in pending if t in incumbents and rank <= band][:size]
+        eligible = (t for t, _, _, band in pending if not (band and t in incumbents))
+        return stay + list(itertools.islice(eligible, size - len(stay)))
+
+    out: list[tuple] = []
+    for frame in frames:
+        for *group, k, ticker, rank, size, band in frame[[*names, "_ord", "_n", "_band"]].itertuples(index=False, name=None):
+            if (group, k) != (portfolio, today) and pending:
+                basket = settle()
+                out += [(*portfolio, today, t) for t in basket]
+                incumbents, pending = dict.fromkeys(basket, 0), []
+            if group != portfolio:
+                incumbents = {}
+            portfolio, today = group, k
+            pending.append((ticker, rank, size, band))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    if pending:
+        yield pd.DataFrame([(*portfolio, today, t) for t in settle()], columns=names)
 
 
 # -- summaries --------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -64,25 +65,34 @@ def test_backtest_equals_the_loop(scores, weight):
     np.testing.assert_allclose(got["cost"], want["turn"] * 5 / 1e4, rtol=1e-9)
 
 
-@pytest.mark.parametrize("limit", [PF.WALK_ROWS, 0])
+@pytest.mark.parametrize("batch", [10_000, 7])
 @pytest.mark.parametrize("buffer", [0.0, 0.5, 1.5])
-def test_buffered_baskets_equal_the_loop(scores, limit, buffer, monkeypatch):
-    if limit == 0 and buffer != 0.5:
-        pytest.skip("one setting shows the date-by-date walk")
-    monkeypatch.setattr(PF, "WALK_ROWS", limit)
+def test_buffered_baskets_equal_the_loop(spark, scores, batch, buffer):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # dates run over batches
     pdf, df = scores
     rows = PF.rebalance_rows(df, 5, min_rows=6).withColumns({"top": F.lit(0.2), "buffer": F.lit(buffer)})
     got = PF.buffered_baskets(rows, "top", "buffer", ["top", "buffer"], group_rows=30).select("date", "ticker").toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = got.groupby("date")["ticker"].apply(sorted)
     want = loop(pdf, 5, 0.2, 5.0, buffer=buffer).set_index("date")["names"]
     assert got.tolist() == want.tolist()
 
 
-def test_distribution_functions():
-    assert ST.normal_cdf_value(1.959963984540054) == pytest.approx(0.975, abs=1e-12)
-    assert ST.normal_ppf_value(0.975) == pytest.approx(1.959963984540054, abs=1e-9)
-    assert ST.t_cdf_value(2.2281388519649385, 10) == pytest.approx(0.975, abs=1e-9)
-    assert ST.t_cdf_value(-1.0, 1) == pytest.approx(0.25, abs=1e-12)
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_distribution_functions(spark):
+    c = F.lit
+    assert value(spark, ST.normal_cdf(c(1.959963984540054))) == pytest.approx(0.975, abs=1e-12)
+    assert value(spark, ST.normal_cdf(c(-9.0))) == pytest.approx(1.1285884059538e-19, rel=1e-4)
+    for p in (1e-9, 0.01, 0.3, 0.5, 0.975, 1 - 1e-9):
+        assert value(spark, ST.normal_ppf(c(p))) == pytest.approx(NormalDist().inv_cdf(p), abs=1e-9)
+    assert value(spark, ST.normal_ppf(c(1.0))) is None and value(spark, ST.normal_cdf(c(None).cast("double"))) is None
+    assert value(spark, ST.t_cdf(c(2.2281388519649385), c(10))) == pytest.approx(0.975, abs=1e-9)
+    assert value(spark, ST.t_cdf(c(-1.0), c(1))) == pytest.approx(0.25, abs=1e-12)
+    assert value(spark, ST.t_cdf(c(3.182446305284263), c(3))) == pytest.approx(0.975, abs=1e-9)
+    assert value(spark, ST.t_cdf(c(4.302652729911275), c(2))) == pytest.approx(0.975, abs=1e-9)
 
 
 @pytest.fixture(scope="module")
@@ -126,10 +136,10 @@ def test_deflated_sharpe_formula(matrix):
     m, df = matrix
     got = O.deflated_sharpe(df, 12.6, ["config"]).toPandas().set_index("config").loc["c0"]
     sr = (m.mean() / m.std())
-    z1, z2 = ST.normal_ppf_value(1 - 1 / 5), ST.normal_ppf_value(1 - 1 / (5 * math.e))
+    z1, z2 = NormalDist().inv_cdf(1 - 1 / 5), NormalDist().inv_cdf(1 - 1 / (5 * math.e))
     sr0 = sr.std() * ((1 - O.GAMMA) * z1 + O.GAMMA * z2)
     x = m["c0"] - m["c0"].mean()
     skew, kurt = (x**3).mean() / (x**2).mean() ** 1.5, (x**4).mean() / (x**2).mean() ** 2
     z = (sr["c0"] - sr0) * math.sqrt(59) / math.sqrt(1 - skew * sr["c0"] + (kurt - 1) / 4 * sr["c0"] ** 2)
     assert got["sr0"] == pytest.approx(sr0, rel=1e-9)
-    assert got["dsr"] == pytest.approx(ST.normal_cdf_value(z), rel=1e-9)
+    assert got["dsr"] == pytest.approx(NormalDist().cdf(z), rel=1e-9)
