@@ -45,10 +45,10 @@ def scored_day(spark, sf):
   AND NOT coalesce(is_leveraged, false) AND score >= -0.5 AND score <= 0.9 AND confidence >= 0.334
   AND (contains(lower(ticker), 'nation') OR contains(lower(coalesce(name, '')), 'nation') OR contains(lower(coalesce(family, '')), 'nation') OR contains(lower(coalesce(category, '')), 'nation'))""")
 def filtered_day(spark, sf):
-    out, ignored = S.apply_filters(
-        day(spark, sf), "Nation", {"category": ["ASIA", "MIDDLE EAST", "EUROPE"], "no_such_field": ["x"]},
-        ["outperform", "neutral"], True, -0.5, 0.9, 0.334)
-    assert ignored == ["no_such_field"]
+    out, missing = S.select_rows(day(spark, sf), [
+        *S.one_of("category", ["ASIA", "MIDDLE EAST", "EUROPE"]), *S.one_of("no_such_field", ["x"]), *S.one_of("prediction", ["outperform", "neutral"]),
+        *S.unset("is_leveraged"), *S.within("score", -0.5, 0.9), *S.within("confidence", 0.334)], "Nation")
+    assert missing == ["no_such_field"]
     return out.select("ticker", "score", "prediction")
 
 
