@@ -11,7 +11,7 @@ from catalog import base as B
 from catalog.base import r, rs
 from catalog.registry import query
 from crosspanel.operators import rolling as R
-from crosspanel.session import shared_folder
+from crosspanel.session import materialise, shared_folder
 from crosspanel.sources import news as N
 from crosspanel.sources import panel as P
 from crosspanel.sources import uploads as U
@@ -28,6 +28,31 @@ def ohlcv_long_fields(spark, sf):
     return B.ohlcv(spark, sf).unpivot(["date", "ticker"], P.FIELDS, "field", "value")
 
 
+def _wide_tickers(spark, sf):
+    """A few tickers that always exist, as columns of the wide exchange format; real files have one column for each."""
+    return [f"F{i:09d}" for i in range(4)]
+
+
+@query("S1 S4", f"""{B.OHLCV_SQL}, t AS (SELECT unnest(['F000000000', 'F000000001', 'F000000002', 'F000000003']) AS ticker), d AS (SELECT DISTINCT date FROM ohlcv WHERE ticker IN (FROM t))
+SELECT date, ticker, {r('close')} FROM d CROSS JOIN t LEFT JOIN ohlcv USING (date, ticker)""")
+def wide_round_trip(spark, sf):
+    """Long prices to the wide format and back; missing cells stay as rows."""
+    tickers = _wide_tickers(spark, sf)
+    bars = B.ohlcv(spark, sf).select("date", "ticker", "close").filter(F.col("ticker").isin(tickers))
+    return P.unpivot_wide(P.pivot_wide(bars, "close", tickers), "close")
+
+
+@query("S14", f"{B.OHLCV_SQL} SELECT year(date) AS year, count(*) AS n, {r('sum(close)', 'total', 2)} FROM ohlcv GROUP BY 1")
+def resumed_ingest(spark, sf):
+    """Years loaded in two runs, the second of which finds some done; each is there once."""
+    bars = materialise(B.ohlcv(spark, sf), "bars").withColumn("year", F.year("date"))
+    years, status, data = bars.select("year").distinct(), scratch(spark, "status"), scratch(spark, "data")
+    load = lambda todo: bars.join(todo, "year", "left_semi")
+    I.ingest(years.filter("year % 2 = 0"), status, data, load)
+    I.ingest(years, status, data, load)
+    return spark.read.parquet(data).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 2).alias("total"))
+
+
 @query("S2 U6", f"""{B.META.replace('meta AS', 'WITH meta AS', 1)}
 SELECT ticker, name, coalesce(category_group, 'Uncategorized') AS category_group,
        coalesce(category, 'Uncategorized') AS category, family, currency, exchange, is_leveraged FROM meta""")
@@ -125,6 +150,22 @@ def report_sink(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
+@query("S10", f"""{B.META.replace('meta AS', 'WITH meta AS', 1)}
+SELECT category, count(*) AS members FROM meta GROUP BY 1""")
+def json_report(spark, sf):
+    path = scratch(spark, "report")
+    P.write_report(B.metadata(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("members")), path)
+    return spark.read.schema("category string, members long").json(path)
+
+
+@query("S10", f"""{B.META.replace('meta AS', 'WITH meta AS', 1)}
+SELECT '| ' || category || ' | ' || count(*) || ' |' AS value FROM meta GROUP BY category""")
+def markdown_report(spark, sf):
+    path = scratch(spark, "report")
+    P.markdown_table(B.metadata(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("members")), path)
+    return spark.read.text(f"{path}/part=1")
+
+
 @query("S12 J14", f"{B.OHLCV_SQL} SELECT date, ticker, {rs('close', 'volume')} FROM ohlcv")
 def combined_batches(spark, sf):
     b = B.ohlcv(spark, sf).select("date", "ticker", "close", "volume")

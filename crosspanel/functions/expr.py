@@ -73,7 +73,8 @@ def pearson(a, b, over=None) -> Column:
     """Correlation over the rows where both are present; NULL when a side is flat.
 
     Built from covariance and deviations because the built-in raises on a flat
-    side under ANSI mode. ``over`` makes it a window expression.
+    side under ANSI mode. A side is flat if its deviation is within rounding of
+    its largest value. ``over`` makes it a window expression.
     """
     both = col(a).isNotNull() & col(b).isNotNull()
     x, y = F.when(both, col(a)), F.when(both, col(b))
@@ -81,4 +82,5 @@ def pearson(a, b, over=None) -> Column:
     if over is not None:
         parts = [p.over(over) for p in parts]
     cov, sx, sy = parts
-    return F.when((sx > FLAT) & (sy > FLAT), F.try_divide(cov, sx * sy))
+    size = [F.max(F.abs(v)) if over is None else F.max(F.abs(v)).over(over) for v in (x, y)]
+    return F.when((sx > FLAT * size[0]) & (sy > FLAT * size[1]), F.try_divide(cov, sx * sy))

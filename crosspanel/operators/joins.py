@@ -29,10 +29,10 @@ def next_key_table(keys: DataFrame, key: str, dates: DataFrame, out: str) -> Dat
 def next_date(rows: DataFrame, key: str, dates: DataFrame, out: str) -> DataFrame:
     """Forward as-of join onto a calendar: add the first listed date on or after ``key``.
 
-    The search runs once per distinct day; rows then take an equi-join.
+    The search runs once per distinct day; rows then take an equi-join. Rows without a key stay, without a date.
     """
     days = next_key_table(rows.filter(F.col(key).isNotNull()), key, dates, out)
-    return rows.join(days, key)
+    return rows.join(days, key, "left")
 
 
 def forward_asof(rows: DataFrame, key: str, series: DataFrame, values: Sequence[str], date: str = "date") -> DataFrame:

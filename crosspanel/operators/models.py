@@ -64,7 +64,7 @@ def _prepare(features: Sequence[str], scale: bool) -> list:
     """Fill missing values with the training median, collect into a vector, maybe standardise."""
     filled = [f"_i_{f}" for f in features]
     stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="_raw" if scale else "features", handleInvalid="error"),
     ]
     if scale:

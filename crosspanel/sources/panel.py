@@ -122,9 +122,11 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
         writer.json(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 100) -> str:
-    """A small result table as Markdown text (at most ``limit`` report lines)."""
-    rows = df.limit(limit).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    return "\n".join(lines)
+def markdown_table(df: DataFrame, path: str) -> None:
+    """A result table as Markdown lines, every row of it, written by Spark; the header stands in a file of its own that sorts first."""
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    spark = df.sparkSession
+    header = spark.range(1).select(F.explode(F.array(*map(F.lit, head))).alias("value"))
+    header.coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    df.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value")).write.mode("overwrite").text(f"{path}/part=1")

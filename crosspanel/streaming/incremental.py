@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ def ingest(work: DataFrame, status_path: str, data_path: str, load: Callable[[Da
     try:
         done = spark.read.parquet(status_path)
         todo = work.join(done.select(*work.columns), work.columns, "left_anti")
-    except Exception as e:  # no status table yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        todo = work
+        todo = work  # no status table yet
     load(todo).write.mode("append").parquet(data_path)
     todo.write.mode("append").parquet(status_path)
