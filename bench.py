@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog.registry import load_all  # noqa: E402
-from crosspanel.session import local_session  # noqa: E402
+from crosspanel.session import drop_tables, local_session  # noqa: E402
 
 WARM_UP = "raw_floor"
 HEADLINE = [
@@ -38,6 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         sink(name)
         times[name] = round(time.perf_counter() - start, 3)
+        drop_tables(spark)
     label = os.path.basename(os.path.normpath(sf)).removeprefix("sf")
     print(json.dumps({
         "metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog import base as B
 from catalog.base import r, rs
 from catalog.registry import query
 from crosspanel.operators import rolling as R
-from crosspanel.session import materialise, shared_folder
+from crosspanel.session import materialise, scratch_path
 from crosspanel.sources import news as N
 from crosspanel.sources import panel as P
 from crosspanel.sources import uploads as U
 from crosspanel.streaming import incremental as I
 
 
-def scratch(spark, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+scratch = scratch_path
 
 
 @query("S1", f"""{B.OHLCV_SQL}

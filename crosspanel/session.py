@@ -6,6 +6,7 @@ on a session somebody else created (a cluster shell, the test driver).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import pathlib
 import tempfile
@@ -76,12 +77,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table, below one folder for each application."""
+    return os.path.join(shared_folder(spark), f"crosspanel-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
 def materialise(df, name: str = "step"):
     """Write an intermediate table to the shared folder and read it back.
 
     For tables several later steps read: they are computed once, survive the
     loss of any executor, and the scan after it prunes columns and knows its size.
+    They live until ``drop_tables`` or the end of a ``tables`` block.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"crosspanel-{name}-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written; frames that read them are of no use any more."""
+    folder = os.path.dirname(scratch_path(spark, "any"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tables(spark: SparkSession):
+    """Results must be written or collected inside the block; its intermediate tables go at the end."""
+    try:
+        yield spark
+    finally:
+        drop_tables(spark)

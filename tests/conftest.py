@@ -9,13 +9,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from crosspanel.session import local_session  # noqa: E402
+from crosspanel.session import drop_tables, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", "tests", partitions=4)
     yield s
+    drop_tables(s)
     s.stop()
 
 

@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from catalog.registry import load_all  # noqa: E402
 from crosspanel.operators import cross  # noqa: E402
-from crosspanel.session import local_session  # noqa: E402
+from crosspanel.session import drop_tables, local_session  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -72,6 +72,7 @@ def main():
             df = e.run(spark, args.sf)
             got = df.collect()
             took = time.time() - start
+            drop_tables(spark)
             slow.append((took, name))
             if e.sql is None:
                 print(f"rows-only {name}: {len(got)} rows {took:.1f}s", flush=True)
