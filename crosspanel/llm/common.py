@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.session import shared_folder, tune
+from crosspanel.session import scratch_path, tune
 
 #: Bytes of one Arrow batch given to Python; a worker holds a few of them at a time.
 BATCH_BYTES = "16m"
@@ -32,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return os.path.join(shared_folder(spark), f"llm-{name}-{uuid.uuid4().hex}")
+    return scratch_path(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

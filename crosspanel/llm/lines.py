@@ -56,7 +56,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         j.alias("k"), (e - _start(ends, j) + 1).alias("n"), F.unhex(F.md5(_chunk_text(lines, ends, e, j))).alias("digest"),
         F.xxhash64(_chunk_text(lines, ends, e, j)).alias("check"))), lambda c: c["n"] >= min_lines)).alias("c"))
     occurrences = stored(parts.select("id", "key", "c.k", "c.digest", "c.check"), "chunks")
-    often = occurrences.groupBy("digest").count().filter("count > 1").select("digest")
+    # written first, so that a join with a hot digest can be split
+    often = stored(occurrences.groupBy("digest").count().filter("count > 1").select("digest"), "often")
     # candidates by document, then their bytes, which are compared by grouping on them
     wanted = occurrences.join(often, "digest").groupBy("id", "key").agg(F.collect_set("k").alias("ks"))
     text = chunked(docs.filter(col(text_col).isNotNull()), id_col, text_col).alias("d").join(

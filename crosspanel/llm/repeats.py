@@ -305,7 +305,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = stored(rows.filter(F.col("n_bytes") >= length).groupBy("digest").agg(
         F.count(F.lit(1)).alias("copies"), F.first("places").alias("places"), F.first("grams").alias("grams"), F.first("windows").alias("windows")), "distinct")
     every = distinct.select("digest", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("digest", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
-    often = every.groupBy("gram").count().filter("count > 1").select("gram")
+    # written first, so that a join with a hot gram can be split
+    often = stored(every.groupBy("gram").count().filter("count > 1").select("gram"), "often")
     # windows of a short period: all their occurrences are counted by digest
     periodic = distinct.select("digest", F.explode("windows").alias("w")).select("digest", "w.*")
     twice = periodic.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
