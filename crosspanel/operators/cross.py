@@ -90,6 +90,13 @@ def with_results(result: DataFrame, df: DataFrame, added: Mapping[str, str]) ->
     return result.select(*own, *[F.col(p).alias(out) for out, p in added.items() if out not in df.columns])
 
 
+def _with_group_rows(rows: DataFrame, groups: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group; the one row there is without keys comes in as scalar subqueries."""
+    if keys:
+        return join_null_safe(rows, groups, keys, "left")
+    return rows.withColumns({c: groups.select(c).scalar() for c in columns})
+
+
 def private(df: DataFrame, outs: Sequence[str]) -> dict[str, str]:
     """out -> a column name that the table does not have."""
     stem = fresh(df, "_result")
@@ -322,8 +329,7 @@ def group_stats(
         return df.withColumns({name: agg.over(w) for name, agg in stats.items()})
     rows, added = materialise(df, "rows"), private(df, list(stats))
     totals = rows.groupBy(*keys).agg(*[agg.alias(added[name]) for name, agg in stats.items()])
-    both = join_null_safe(rows, totals, keys, "left") if keys else rows.crossJoin(totals)  # without keys: one row
-    return with_results(both, df, added)
+    return with_results(_with_group_rows(rows, totals, keys, list(added.values())), df, added)
 
 
 def loo_mean(x, total: str | Column, n: str | Column, null_self: bool = True) -> Column:
@@ -423,7 +429,7 @@ def group_median(
     result = rows
     for out, x in columns.items():
         medians = quantiles(rows, keys, x, {added[out]: 0.5}, group_rows)
-        result = join_null_safe(result, medians, keys, "left") if keys else result.crossJoin(medians)  # without keys: one row
+        result = _with_group_rows(result, medians, keys, [added[out]])
     return with_results(result, df, added)
 
 
