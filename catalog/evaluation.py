@@ -317,7 +317,7 @@ def forward_correlation(spark, sf):
     return V.forward_correlation(scored(spark, sf), FEATS, "rel")
 
 
-TRUNCATED = [FM.PEERMOM, FM.DOWNSIDE, FM.TEMPORAL]
+TRUNCATED = FM.FAMILIES
 
 
 @query("E23", f"""{B.PANEL_SQL} SELECT c AS "column", (SELECT count(*) FROM panel WHERE date = DATE '2000-03-06') AS rows, 0 AS value_diffs, 0 AS null_diffs

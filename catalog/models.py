@@ -9,11 +9,13 @@ from catalog.base import ar, r, rs
 from catalog.evaluation import CARD, corr_sql, metrics_sql
 from catalog.registry import query
 from catalog.scored import SCORED_SQL, scored, scored_table
+from catalog.splits import FOLDS, YEARS
 from crosspanel.operators import cross as X
 from crosspanel.operators import decisions as D
 from crosspanel.operators import evaluate as V
 from crosspanel.operators import labels as L
 from crosspanel.operators import models as M
+from crosspanel.operators import splits as S
 from crosspanel.sources import panel as P
 
 FEATS = ["ret_1d", "ret_5d", "ret_20d", "vol_20d"]
@@ -205,7 +207,7 @@ def rescaled_score(spark, sf):
 @query("M1 M5 P3")
 def logistic_walk_forward(spark, sf):
     """Per-fold and pooled metrics of purged expanding folds with a multinomial logistic model."""
-    out = M.walk_forward(training(spark, sf), FEATS, lambda t, f: M.logistic(t, f, max_iter=15), cal(spark, sf), [1999, 2000], H)
+    out = M.walk_forward(training(spark, sf), FEATS, lambda t, f: M.logistic(t, f, max_iter=50), cal(spark, sf), YEARS, H)
     return M.fold_report(out, horizon=H)
 
 
@@ -213,7 +215,7 @@ def logistic_walk_forward(spark, sf):
 def forest_scores(spark, sf):
     """Scores of a three-class tree ensemble on held-out dates."""
     train, test = halves(spark, sf)
-    scored_rows = M.forest(train, FEATS, trees=10, depth=5).score(test)
+    scored_rows = M.forest(train, FEATS, trees=20, depth=6).score(test)
     return scored_rows.select("date", "ticker", "score", "prediction", "confidence")
 
 
@@ -221,7 +223,7 @@ def forest_scores(spark, sf):
 def two_stage_scores(spark, sf):
     """Scores of the extreme gate times the direction model on held-out dates."""
     train, test = halves(spark, sf)
-    return M.two_stage(train, FEATS, rounds=4).score(test).select("date", "ticker", "p_ext", "p_dir", "score")
+    return M.two_stage(train, FEATS, rounds=10).score(test).select("date", "ticker", "p_ext", "p_dir", "score")
 
 
 @query("M14")
@@ -235,7 +237,7 @@ def ordinal_regression(spark, sf):
 @query("M15")
 def grid_search(spark, sf):
     train, test = halves(spark, sf)
-    return M.grid_search(train, test, FEATS, M.forest, {"trees": [5], "depth": [3, 5]})
+    return M.grid_search(train, test, FEATS, M.forest, {"trees": [5, 20], "depth": [3, 6]})
 
 
 @query("M15 M16")
@@ -260,3 +262,63 @@ def leak_checks(spark, sf):
     train, test = halves(spark, sf)
     fit = lambda t, f: M.forest(t, f, trees=5, depth=5)
     return M.shuffled_label_accuracy(train, test, FEATS, fit).unionByName(M.planted_leak_accuracy(train, test, FEATS, fit))
+
+
+# -- what must hold for any fit, with SQL ---------------------------------------------------------
+
+TEST = f"{SCORED_SQL}, te AS (SELECT date, ticker FROM sc WHERE date >= DATE '2000-01-01' + 35)"
+
+
+@query("M3 M6 M7", f"{TEST} SELECT date, ticker, 1.0 AS total, true AS score_is_difference, true AS call_is_largest, true AS in_range FROM te")
+def forest_score_rules(spark, sf):
+    """Held-out rows are scored once each, by probabilities that sum to one."""
+    train, test = halves(spark, sf)
+    out = M.forest(train, FEATS, trees=10, depth=5).score(test)
+    p = [F.col(c) for c in D.P]
+    return out.select(
+        "date", "ticker", F.round(p[0] + p[1] + p[2], 6).alias("total"), (F.abs(F.col("score") - (p[2] - p[0])) < 1e-9).alias("score_is_difference"),
+        (F.greatest(*p) == F.when(F.col("prediction") == 0, p[0]).when(F.col("prediction") == 1, p[1]).otherwise(p[2])).alias("call_is_largest"),
+        ((F.least(*p) >= 0) & (F.col("confidence") >= 1 / 3 - 1e-9)).alias("in_range"))
+
+
+@query("M4", f"{TEST} SELECT date, ticker, true AS score_is_product, true AS in_range FROM te")
+def two_stage_score_rules(spark, sf):
+    train, test = halves(spark, sf)
+    out = M.two_stage(train, FEATS, rounds=4).score(test)
+    gate, up = F.col("p_ext"), F.col("p_dir")
+    return out.select("date", "ticker", (F.abs(F.col("score") - gate * (2 * up - 1)) < 1e-9).alias("score_is_product"),
+                      (gate.between(0, 1) & up.between(0, 1)).alias("in_range"))
+
+
+@query("M14", f"{TEST} SELECT date, ticker, true AS call_fits FROM te")
+def ordinal_call_rules(spark, sf):
+    train, test = halves(spark, sf)
+    pred = M.ordinal_regression(train, FEATS).transform(test)
+    return pred.withColumn("call", M.bucket()).select(
+        "date", "ticker", ((F.abs(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(2.0)) - F.col("call"))) <= 0.5).alias("call_fits"))
+
+
+@query("M1 M5 P3", f"""{SCORED_SQL}{FOLDS[FOLDS.index(", f0 AS"):]}
+SELECT fold::BIGINT AS fold, count(*) AS n, 0 AS trained_late FROM sc JOIN folds ON date BETWEEN test_start AND test_end GROUP BY 1""")
+def fold_rows(spark, sf):
+    """Rows scored in every fold; none of them may have trained the fold's model."""
+    df, c = training(spark, sf), cal(spark, sf)
+    out = M.walk_forward(df, FEATS, lambda t, f: M.logistic(t, f, max_iter=5), c, YEARS, H)
+    cuts = S.folds(c, YEARS, H).select(F.col("fold").alias("f"), "cut")
+    late = out.join(cuts, out.fold == cuts.f).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("date") <= F.col("cut"), 1)).alias("trained_late"))
+    return late.select(F.col("fold").cast("long").alias("fold"), "n", "trained_late")
+
+
+@query("M15 M16", f"SELECT {len(FEATS)} AS features, 1.0 AS total, {len(FEATS) - 1} AS without_top, true AS sorted")
+def importance_rules(spark, sf):
+    train, _ = halves(spark, sf)
+    model = M.forest(train, FEATS, trees=10, depth=5)
+    table = M.importance_table(spark, model)
+    return table.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("share"), 6).alias("total")).withColumns(
+        {"without_top": F.lit(len(M.drop_top(FEATS, model, 1))), "sorted": F.lit(M.drop_top(FEATS, model, 1) == [f for f in FEATS if f != model.importance()[0][0]])})
+
+
+@query("E24 P13", "SELECT 'planted_leak' AS check, true AS stands_out UNION ALL SELECT 'shuffled_label', false")
+def leak_verdicts(spark, sf):
+    """A planted outcome column lifts the accuracy far above the honest one; a permuted label does not lift it above the majority share."""
+    return leak_checks(spark, sf).select("check", (F.col("accuracy") > F.col("reference") + 0.2).alias("stands_out"))
