@@ -11,6 +11,7 @@ from catalog.scored import ARMS_SQL, SCORED_SQL, arms, scored_table
 from crosspanel.operators import cross as X
 from crosspanel.operators import joins as J
 from crosspanel.operators import portfolio as PF
+from crosspanel.session import materialise
 
 H = 5
 PY = 52 / H
@@ -129,7 +130,7 @@ def breakeven_grid(spark, sf):
     sc = scored_table(spark, sf)
     bps = sc.agg(F.avg(PF.spread_of("adv", TIERS))).scalar()
     tops = F.explode(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.33)))
-    rows = PF.rebalance_rows(sc.withColumn("top", tops), H, ["top"], min_rows=6)
+    rows = materialise(PF.rebalance_rows(sc, H, min_rows=6).withColumn("top", tops), "rebalance")  # the dates are the same for every share
     basket = PF.top_basket(rows, F.col("top"), ["top"], group_rows=n)
     out = None
     for kind in ("equal", "score"):

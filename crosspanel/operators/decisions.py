@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.functions.expr import clip, safe_div
+from crosspanel.functions.expr import clip, pearson, safe_div
 from crosspanel.operators import cross as X
 from crosspanel.operators import evaluate as V
 
@@ -122,9 +122,13 @@ def blend_weights(
 ) -> DataFrame:
     """Mean daily rank IC of w * z(a) + (1 - w) * z(b) for every weight."""
     z = X.zscore(df, X.DATE, {"_za": a, "_zb": b}, flat="one", group_rows=group_rows)
-    z = z.select("date", rel, "_za", "_zb", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("weight"))
+    # which rows are known, and the ranks of the outcome, do not depend on the weight
+    z = z.select("date", rel, "_za", "_zb").dropna()
+    z = X.average_rank(z, X.DATE, {"_rr": rel}, group_rows)
+    z = z.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     z = z.withColumn("_s", F.col("weight") * F.col("_za") + (1 - F.col("weight")) * F.col("_zb"))
-    ic = V.daily_rank_ic(z, "_s", rel, ["weight"], group_rows=group_rows)
+    ranked = X.average_rank(z.select("weight", "date", "_s", "_rr"), ["weight", "date"], {"_rs": "_s"}, group_rows)
+    ic = ranked.groupBy("weight", "date").agg(pearson("_rs", "_rr").alias("ic"))
     return ic.groupBy("weight").agg(F.avg("ic").alias("mean_ic"))
 
 
