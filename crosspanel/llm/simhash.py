@@ -8,10 +8,14 @@ fingerprint at an anchor with those at home there finds all pairs that agree in
 
 Fingerprints of one word that differ in at most 3 bits always do (3 bits over two halves): this search misses no link. Longer
 fingerprints allow more differing bits; there a pair is found if one of its blocks agrees, more surely the longer they are.
+
+``keep_one`` does not link by fingerprints: candidates share a band of a MinHash sketch, and their shingles decide.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +34,12 @@ BLOCK = 2_048
 #: sets of one size, a Jaccard similarity of 0.8 is a cosine of 0.889, or 0.15 of the bits of a fingerprint.
 EXACT = (SHINGLE, 1, MAX_DISTANCE)
 SIMILAR = (5, 2, 19)
+#: Near copies: words of a shingle, and the Jaccard similarity of the sets of shingles from which documents link.
+NEAR_SHINGLE, NEAR = 5, 0.8
+#: Candidates agree in one of BANDS bands of ROWS values, and in AGREE of all values: 0.9999 of the pairs at 0.8, more above.
+BANDS, ROWS, AGREE = 20, 4, 46
+NEAR_BLOCK = 1_024
+FACTORS, TERMS = (np.random.default_rng(SEED + k).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1 - k) for k in (0, 1))
 
 #: Bits of every byte value; the eight bytes of a hash are counted in one histogram.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -259,22 +269,199 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(groups, "fp0", "left").select("id", F.col("fp0").alias("fp"), "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measures=(EXACT, SIMILAR)) -> DataFrame:
+# -- near copies by their shingles ---------------------------------------------------------------
+
+
+def shingles(split: list[bytes], shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The different shingles of a sequence of words as sorted 64-bit hashes; no words give none, few of them one."""
+    if not split:
+        return np.zeros(0, np.uint64)
+    rows = zip(*(split[k : len(split) - shingle + 1 + k] for k in range(shingle))) if len(split) >= shingle else [split]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, rows)), np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of the least value under each of BANDS x ROWS hash functions; zeros for no hashes."""
+    if len(hashes) == 0:
+        return bytes(BANDS * ROWS)
+    least = np.array([(hashes * m + a).min() for m, a in zip(FACTORS, TERMS)], np.uint64)
+    return ((least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _text_key(text_col: str):
+    """A digest of a text, empty for null: with its id it tells a document."""
+    return F.coalesce(F.md5(col(text_col)), F.lit(""))
+
+
+def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, same, sketch): ``same`` is a digest of the set of shingles."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.StringType()), T.StructField("same", T.BinaryType()),
+                           T.StructField("sketch", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(words(t)) for t in raw_texts(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
+                                              pa.array([sketch(s) for s in sets], pa.binary())], schema.names)
+
+    return docs.select(col(id_col), _text_key(text_col), col(text_col)).mapInArrow(run, schema)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def banded(distinct: DataFrame) -> DataFrame:
+    """(band, node, root, sketch): a row for each band of each (node, root, sketch); the band's number is in its upper bits."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                keys = np.ascontiguousarray(_sketches(b.column(2))).view("<u4")
+                for k in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].astype(np.int64) | (k << 32)), *b.columns], ["band", "node", "root", "sketch"])
+
+    return distinct.select("node", "root", "sketch").mapInArrow(run, "band long, node long, root long, sketch binary")
+
+
+def _neighbours(batches):
+    """Pairs of rows (band, part, node, sketch) that follow each other in one part of a band and have like sketches."""
+    key, node, last = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint8)
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        key = np.concatenate([key[-1:], np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)])
+        node, last = np.concatenate([node[-1:], b.column(2).to_numpy()]), np.concatenate([last[-1:], _sketches(b.column(3))])
+        at = np.flatnonzero((key[1:] == key[:-1]).all(1) & ((last[1:] == last[:-1]).sum(1) >= AGREE))
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], ["a", "b"])
+
+
+def _cell_pairs(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, sketches: np.ndarray, cross: bool):
+    """Pairs (smaller node first) of one cell that are not connected yet, have like sketches, and share no band before this one."""
+    bands = np.ascontiguousarray(sketches).view("<u4")
+    for at in range(0, len(node), 64):
+        part = slice(at, at + 64)
+        like = root[part, None] != root[None, :]
+        like &= (side[part, None] < side[None, :]) if cross else (node[part, None] < node[None, :])
+        i, j = np.nonzero(like)
+        i += at
+        for step in range(0, len(i), 100_000):
+            x, y = i[step : step + 100_000], j[step : step + 100_000]
+            use = (sketches[x] == sketches[y]).sum(1) >= AGREE
+            x, y = x[use], y[use]
+            use = np.argmax(bands[x] == bands[y], axis=1) == band >> 32
+            x, y = node[x[use]], node[y[use]]
+            if len(x):
+                yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _other_pairs(batches):
+    """Pairs within sorted rows (band, lo, hi, side, node, root, sketch); holds one cell at a time."""
+    names = ["a", "b"]
+
+    def cells(table: pa.Table, at: np.ndarray):
+        keys = [table.column(k).to_numpy() for k in range(6)]
+        sketches = _sketches(table.column(6))
+        for s, e in zip(at[:-1], at[1:]):
+            if e - s > 1 and (keys[5][s:e] != keys[5][s]).any():
+                for a, b in _cell_pairs(int(keys[0][s]), keys[3][s:e], keys[4][s:e], keys[5][s:e], sketches[s:e], keys[1][s] != keys[2][s]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
+
+    held = None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        now = pa.Table.from_batches([b])
+        held = now if held is None else pa.concat_tables([held, now])
+        at = runs(*(held.column(k).to_numpy() for k in range(3)))
+        yield from cells(held.slice(0, at[-2]), at[:-1])
+        held = held.slice(at[-2])
+    if held is not None:
+        yield from cells(held, np.array([0, held.num_rows]))
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes) of every node of the pairs."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keyed = nodes.select("id", "key", "node").join(wanted, "node")
+    texts = docs.select(col(id_col).alias("id"), _text_key(text_col).alias("key"), col(text_col).alias("text")).join(keyed, ["id", "key"]).select("node", "text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(words(t)).tobytes() for t in raw_texts(b.column(1))], pa.binary())], ["node", "hashes"])
+
+    return stored(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, hashes binary"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``threshold`` or more."""
+    first = pairs.select("a").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "hashes")
+    other = pairs.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
+
+    def run(batches):
+        mine = None
+        for batch in batches:
+            a_out, b_out = [], []
+            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                now = np.frombuffer(raw.as_py(), np.uint64)
+                if b is None:
+                    mine = now
+                    continue
+                both = len(np.intersect1d(mine, now, assume_unique=True))
+                if both and both / (len(mine) + len(now) - both) >= threshold:
+                    a_out.append(a)
+                    b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    rows = first.unionByName(other).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float = NEAR, block: int = NEAR_BLOCK) -> DataFrame:
+    """(a, b): links that connect the nodes whose sets of shingles have a Jaccard similarity of ``threshold`` or more.
+
+    Candidates share a band of their sketches, and each is verified by its sets. First, only neighbours within a band are; what these
+    links connect is not compared again, so a large group of near copies does not cost the square of its size. Then all other
+    pairs of a band are. Bands of more than ``block`` rows are dealt over a grid, so no task holds one whole.
+    """
+    distinct = stored(nodes.groupBy("same").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch")), "distinct")
+    equal = nodes.join(distinct.select("same", F.col("node").alias("rep")), "same").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    rows = banded(distinct.withColumn("root", F.col("node")))
+    parts = F.ceil(F.col("count") / block).cast("int").alias("parts")
+    crowd = stored(rows.groupBy("band").count().filter(F.col("count") > block).select("band", parts), "crowd")
+    dealt = rows.withColumn("parts", F.lit(1))
+    if crowd.limit(1).count():
+        dealt = rows.join(crowd, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    chain = dealt.select("band", part.cast("long").alias("part"), "node", "sketch").repartition("band", "part").sortWithinPartitions("band", "part", "node")
+    beside = stored(chain.mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    near = stored(verified(beside, _shingle_sets(docs, nodes, beside, id_col, text_col), threshold), "near")
+
+    roots = components(near, "simhash").withColumnRenamed("root", "low")
+    rows = banded(stored(distinct.join(roots, "node", "left").select("node", F.coalesce("low", "node").alias("root"), "sketch"), "rooted"))
+    mixed = rows.groupBy("band").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    mixed = stored(mixed.select("band", parts), "mixed")
+    cells = rows.join(mixed, "band").withColumn("side", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root", "sketch")
+    ordered = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    rest = stored(ordered.mapInArrow(_other_pairs, "a long, b long").join(beside, ["a", "b"], "left_anti"), "pairs")
+    further = verified(rest, _shingle_sets(docs, nodes, rest, id_col, text_col), threshold)
+    return near.unionByName(further).unionByName(equal)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR, block: int = NEAR_BLOCK) -> DataFrame:
     """The documents that stay: of each group the one with the smallest id, with all columns.
 
-    Documents are in one group if links of any of the measures connect them. Of several rows with that id one stays. Documents without
-    an id cannot be told apart and all stay, and link nothing. An empty table gives an empty one.
+    Documents link if the Jaccard similarity of their five-word shingles is ``threshold`` or more, and a group is what links connect.
+    A document is told by its id and text: of rows that agree in both one stays, and texts that share an id link like any others.
+    Documents without an id cannot be told apart and all stay, and link nothing. An empty table gives an empty one.
     """
-    prints = stored(fingerprints(docs, measures, id_col, text_col).filter("id IS NOT NULL"), "prints")
-    found = None
-    for k, measure in enumerate(measures):
-        distinct = _distinct(prints, k)
-        near = links(distinct, measure[2])
-        # equal fingerprints: every id links to the smallest that has its fingerprint
-        equal = prints.join(distinct.withColumnRenamed("fp", f"fp{k}"), f"fp{k}").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        found = near.unionByName(equal) if found is None else found.unionByName(near).unionByName(equal)
-    gone_id = fresh(docs, "gone_id")
-    gone = components(stored(found, "links"), "simhash").select(F.col("node").alias(gone_id))
     known, rest = docs.filter(col(id_col).isNotNull()), docs.filter(col(id_col).isNull())
-    chosen = known.join(gone, col(id_col) == col(gone_id), "left_anti")
-    return chosen.dropDuplicates([id_col]).unionByName(rest)
+    each = described(known, id_col, text_col).groupBy("id", "key").agg(F.first("same").alias("same"), F.first("sketch").alias("sketch"))
+    # numbers that grow with the id, so the smallest of a group is the document with the smallest id
+    nodes = stored(each.orderBy("id", "key").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = stored(near_copies(known, nodes, id_col, text_col, threshold, block), "links")
+    gone_id, gone_key, key = fresh(docs, "gone_id"), fresh(docs, "gone_key"), fresh(docs, "key")
+    gone = components(found, "simhash").join(nodes, "node").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key))
+    chosen = known.withColumn(key, _text_key(text_col)).join(gone, (col(id_col) == col(gone_id)) & (col(key) == col(gone_key)), "left_anti")
+    return chosen.dropDuplicates([id_col, key]).select(*[col(c) for c in docs.columns]).unionByName(rest)
