@@ -23,6 +23,8 @@ NEAREST = 6
 SHARED = 3
 #: Reference points: from MIN_PIVOTS for small tables up to MAX_PIVOTS, half the square root of the vectors between.
 MIN_PIVOTS, MAX_PIVOTS = 128, 1_024
+#: Vectors looked at for each reference point.
+SAMPLE = 4
 #: Entries of one list compared in one block; longer lists are dealt over pairs of blocks.
 BLOCK = 1_024
 
@@ -53,15 +55,23 @@ def prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return vectors.select(col(id_col).cast("long"), col(label_col).cast("string"), col(vector_col)).mapInArrow(run, "id long, label string, key binary, vector binary")
 
 
-def choose_pivots(distinct: DataFrame, n_pivots: int | None = None) -> dict[int, np.ndarray]:
-    """Reference points of each dimension: the vectors with the smallest digests, at most ``n_pivots`` of all."""
+def choose_pivots(distinct: DataFrame, n_pivots: int | None = None, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
+    """Reference points of each dimension, at most ``n_pivots`` of all: in the order of their digests, vectors that are far apart.
+
+    A vector within twice the angle of the threshold of a chosen one is left out, so a dense group of near copies holds a few at most.
+    """
     if n_pivots is None:
         n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, distinct.count() ** 0.5 / 2)))
-    rows = distinct.groupBy("key").agg(F.first("vector").alias("vector")).orderBy("key").limit(n_pivots).collect()
+    rows = distinct.groupBy("key").agg(F.first("vector").alias("vector")).orderBy("key").limit(SAMPLE * n_pivots).collect()
     by_size: dict[int, list] = {}
+    left = n_pivots
     for r in rows:
         v = np.frombuffer(r.vector)
-        by_size.setdefault(len(v), []).append(v / np.linalg.norm(v))
+        v = v / np.linalg.norm(v)
+        chosen = by_size.setdefault(len(v), [])
+        if left and (not chosen or (np.array(chosen) @ v).max() < 2 * threshold * threshold - 1):
+            chosen.append(v)
+            left -= 1
     return {size: np.array(v) for size, v in by_size.items()}
 
 
@@ -169,7 +179,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = stored(prepared(vectors, id_col, vector_col, label_col), "vectors")
     distinct = stored(rows.filter("key IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "distinct")
-    posted = stored(postings(distinct, choose_pivots(distinct, n_pivots), nearest, shared), "postings")
+    posted = stored(postings(distinct, choose_pivots(distinct, n_pivots, threshold), nearest, shared), "postings")
     crowd = stored(posted.groupBy("label", "list").count().filter(F.col("count") > block)
                    .select("label", "list", F.ceil(F.col("count") / block).cast("int").alias("parts")), "crowd")
     dealt = posted.withColumn("parts", F.lit(1))
