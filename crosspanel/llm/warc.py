@@ -28,8 +28,6 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 RANGE_BYTES = 16 << 20
 READ_BYTES = 1 << 20
-#: Bytes of decoded header within which a WARC record must show itself.
-HEADER_BYTES = 1 << 16
 #: Times and types are fixed, so the same table gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,7 +121,7 @@ def _header(member: Member) -> tuple[dict[str, str], bytes] | None:
     """The WARC header of a member and the bytes behind it; None if it has none."""
     data = b""
     while b"\r\n\r\n" not in data:
-        if len(data) > HEADER_BYTES or (len(data) >= 5 and not data.startswith(b"WARC/")):
+        if len(data) >= 5 and not data.startswith(b"WARC/"):
             return None
         more = member.read(8192)
         if not more:
