@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline as P
 import pytest
 from test_duplicates import closure, prose
 
@@ -48,3 +49,12 @@ def test_all_copies_from_eight_tenths_go_and_none_below(spark, block):
     want = {i for i in sets if roots.get(i, i) == i}
     assert stay >= want
     assert len(sets) - len(stay) >= 0.99 * (len(sets) - len(want))
+
+
+def test_stage_against_brute_force(spark):
+    rows = list(enumerate(planted(random.Random(32), 40)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    roots = closure([(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    want = {i for i in sets if roots.get(i, i) == i}
+    stay = {r.doc_id for r in P.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert stay >= want and len(sets) - len(stay) >= 0.99 * (len(sets) - len(want))
