@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, quality, repeats, simhash, warc
+from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, prefix_trie, quality, repeats, resampling, simhash, warc
 from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
@@ -124,3 +124,24 @@ def op4_repeats(spark, sf_dir):
     """Bytes of every document that a repeated string of 400 bytes covers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs, with_kept=False).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_resampling(spark, sf_dir):
+    """Documents drawn towards the benchmark's distribution of words: weight, score and rank of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+SQL["op11_resampling"] = resampling.SQL
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of all rebuilt conversations, one row for each node."""
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
+SQL["op12_prefix_trie"] = prefix_trie.SQL
