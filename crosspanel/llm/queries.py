@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, prefix_trie, quality, repeats, resampling, simhash, warc
+from crosspanel.llm import bpe, chat, decontaminate, embeddings, language, lines, main_text, prefix_trie, quality, repeats, resampling, simhash, warc
 from crosspanel.llm.common import prepare, scratch, table
 
 QUERIES: dict = {}
@@ -145,3 +145,10 @@ def op12_prefix_trie(spark, sf_dir):
 
 
 SQL["op12_prefix_trie"] = prefix_trie.SQL
+
+
+@query
+def op13_main_text(spark, sf_dir):
+    """The main text of every page, found by trees fitted on pages made of the table's own fragments."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
