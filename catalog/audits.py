@@ -1,4 +1,4 @@
-"""Overfitting and significance statistics of a small configuration grid."""
+"""Overfitting and significance statistics of the configuration grid."""
 
 from __future__ import annotations
 
@@ -14,18 +14,18 @@ from crosspanel.functions import stats as ST
 from crosspanel.operators import overfit as O
 from crosspanel.operators import portfolio as PF
 
-# the configuration grid: 4 liquidity floors x 4 basket shares, x 2 buffers where these are walked: 32
+# the configuration grid: 4 liquidity floors x 4 basket shares x 2 buffers
 SCREENS = [0.0, 90000.0, 120000.0, 150000.0]
 TOPS = [0.1, 0.15, 0.2, 0.33]
 BUFFERS = [0.0, 0.5]
-NAMES = [f"screen{s}_top{t}_buffer0.0" for s in SCREENS for t in TOPS]
+NAMES = [f"screen{s}_top{t}_buffer{b}" for s in SCREENS for t in TOPS for b in BUFFERS]
 
 
-def configs(spark, buffers=(0.0,)):
+def configs(spark, buffers):
     return PF.config_grid(spark, screen=SCREENS, top=TOPS, buffer=list(buffers))
 
 
-def returns(spark, sf, buffers=(0.0,)):
+def returns(spark, sf, buffers=tuple(BUFFERS)):
     sc = scored_table(spark, sf).select("date", "ticker", "score", "fwd_ret", "adv", "rel")
     return O.config_returns(sc, configs(spark, buffers), H, group_rows=B.universe_rows(spark, sf))
 
@@ -45,21 +45,22 @@ m AS MATERIALIZED (SELECT *, 'screen' || cast(screen AS varchar) || '_top' || ca
   WHERE date IN (SELECT date FROM g2 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM g1)))"""
 
 
-GRID = grid_sql([0.0], basket_sql('top', BY))
+PLAIN = grid_sql([0.0], basket_sql('top', BY))
 
 
-@query("O1 B5", f"{GRID} SELECT {BY}, date, {rs('ret')} FROM m")
+@query("O1 B5", f"{PLAIN} SELECT {BY}, date, {rs('ret')} FROM m")
 def config_returns(spark, sf):
-    return returns(spark, sf)
+    """The half of the grid without a buffer, whose baskets need no walk."""
+    return returns(spark, sf, (0.0,))
 
 
-BUFFERED = grid_sql(BUFFERS, buffer_walk_sql(BY), SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1))
+GRID = grid_sql(BUFFERS, buffer_walk_sql(BY), SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1))
 
 
-@query("O1 B6", f"{BUFFERED} SELECT {BY}, date, {rs('ret')} FROM m")
+@query("O1 B6", f"{GRID} SELECT {BY}, date, {rs('ret')} FROM m")
 def config_returns_buffered(spark, sf):
     """The whole grid of 32: with a buffer, incumbents inside the widened band stay."""
-    return returns(spark, sf, BUFFERS)
+    return returns(spark, sf)
 
 
 RATIO = f"{GRID}, rt AS (SELECT {BY}, config, count(*) AS periods, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(ret) / stddev_samp(ret) * sqrt({PY}) AS ir FROM m GROUP BY ALL)"
@@ -75,9 +76,9 @@ def _share(d):
             f"(SELECT ir, avg(ir) OVER (PARTITION BY {d}) AS m, avg(ir) OVER () AS g FROM rt)")
 
 
-@query("O2", f"{RATIO} {_share('screen')} UNION ALL {_share('top')}")
+@query("O2", f"{RATIO} {' UNION ALL '.join(_share(d) for d in O.DIMS)}")
 def variance_shares(spark, sf):
-    return O.variance_shares(O.config_ratio(returns(spark, sf), PY), ["screen", "top"])
+    return O.variance_shares(O.config_ratio(returns(spark, sf), PY))
 
 
 @query("O3", f"""{GRID}, c AS (SELECT a.config AS x, b.config AS y, corr(a.ret, b.ret) AS c FROM m a JOIN m b USING (date) GROUP BY 1, 2)
@@ -126,9 +127,9 @@ bl AS (SELECT date, CASE WHEN i < (n % 10) * (n // 10 + 1) THEN i // (n // 10 +
 mk AS (SELECT id FROM (SELECT unnest(generate_series(0, 1023)) AS id) WHERE bit_count(id) = 5),
 hv AS (SELECT id, config, (id >> block) & 1 = 1 AS inside, ret FROM m JOIN bl USING (date), mk),
 sr AS (SELECT id, config, round(avg(ret) FILTER (inside) / stddev_samp(ret) FILTER (inside), 10) AS a, round(avg(ret) FILTER (NOT inside) / stddev_samp(ret) FILTER (NOT inside), 10) AS b FROM hv GROUP BY 1, 2),
-rk AS (SELECT *, (rank() OVER (PARTITION BY id ORDER BY b) + (count(*) OVER (PARTITION BY id, b) - 1) / 2.0) / count(*) OVER (PARTITION BY id) AS rb,
+ranked AS (SELECT *, (rank() OVER (PARTITION BY id ORDER BY b) + (count(*) OVER (PARTITION BY id, b) - 1) / 2.0) / count(*) OVER (PARTITION BY id) AS rb,
   row_number() OVER (PARTITION BY id ORDER BY a DESC, config) AS best, count(*) OVER (PARTITION BY id) AS nc FROM sr),
-w AS MATERIALIZED (SELECT id, config, nc, greatest(1.0 / (nc + 1), least(1 - 1.0 / (nc + 1), rb)) AS ro FROM rk WHERE best = 1), lg AS (SELECT *, ln(ro / (1 - ro)) AS logit FROM w)"""
+w AS MATERIALIZED (SELECT id, config, nc, greatest(1.0 / (nc + 1), least(1 - 1.0 / (nc + 1), rb)) AS ro FROM ranked WHERE best = 1), lg AS (SELECT *, ln(ro / (1 - ro)) AS logit FROM w)"""
 
 
 @query("O5", f"{CSCV} SELECT id AS mask, config AS winner, {r('ro', 'rank_out')}, {rs('logit')} FROM lg")
@@ -146,7 +147,7 @@ ONE = f"{GRID}, one AS (SELECT date, ret, row_number() OVER (ORDER BY date) - 1
 
 
 def one_config(spark, sf):
-    return returns(spark, sf).filter((F.col("screen") == SCREENS[0]) & (F.col("top") == TOPS[1])).select("date", "ret")
+    return returns(spark, sf).filter((F.col("screen") == SCREENS[0]) & (F.col("top") == TOPS[0]) & (F.col("buffer") == BUFFERS[1])).select("date", "ret")
 
 
 @query("O6", f"""{ONE}, dr AS (SELECT d AS draw, j, cast('0x' || substr(md5('0|' || cast(d AS varchar) || '|' || cast(j AS varchar)), 1, 12) AS bigint) % (SELECT max(n) FROM one) AS pos
@@ -168,7 +169,7 @@ def p_values(spark, sf):
 
 
 @query("O7", f"""{GRID}, dn AS (SELECT date, row_number() OVER (ORDER BY date) <= count(*) OVER () // 2 AS fst FROM (SELECT DISTINCT date FROM m)),
-p AS (SELECT config, avg(ret) FILTER (fst) / stddev_samp(ret) FILTER (fst) * sqrt({PY}) AS a, avg(ret) FILTER (NOT fst) / stddev_samp(ret) FILTER (NOT fst) * sqrt({PY}) AS b FROM m JOIN dn USING (date) GROUP BY 1),
+p AS (SELECT config, round(avg(ret) FILTER (fst) / stddev_samp(ret) FILTER (fst) * sqrt({PY}), 10) AS a, round(avg(ret) FILTER (NOT fst) / stddev_samp(ret) FILTER (NOT fst) * sqrt({PY}), 10) AS b FROM m JOIN dn USING (date) GROUP BY 1),
 k AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM p)
 SELECT {r('corr(ra, rb)', 'spearman')}, {r('regr_slope(b, a)', 'slope')}, {r('regr_intercept(b, a)', 'intercept')}, arg_max(config, row(a, config)) AS best_config,
   {r('max(a)', 'best_first')}, {r('arg_max(b, row(a, config))', 'its_second')}, {r('max(b)', 'best_second')} FROM k""")

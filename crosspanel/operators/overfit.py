@@ -244,8 +244,9 @@ def half_degradation(returns: DataFrame, per_year: float) -> DataFrame:
     place = F.row_number().over(Window.orderBy("date"))
     half = dates.withColumn("_i", place).withColumn("_first", F.col("_i") <= F.floor(F.lit(dates.count()) / 2))
     r = returns.join(half, "date")
-    ratio = lambda cond: safe_div(
-        F.avg(F.when(cond, F.col("ret"))), F.stddev_samp(F.when(cond, F.col("ret")))) * math.sqrt(per_year)
+    # configurations with the same baskets differ only by rounding noise: make them ties
+    ratio = lambda cond: F.round(safe_div(
+        F.avg(F.when(cond, F.col("ret"))), F.stddev_samp(F.when(cond, F.col("ret")))) * math.sqrt(per_year), 10)
     per = r.groupBy("config").agg(ratio(F.col("_first")).alias("a"), ratio(~F.col("_first")).alias("b"))
     per = X.average_rank(per, [], {"ra": "a", "rb": "b"}, group_rows=0)
     best = F.struct("a", F.col("config"))
