@@ -94,6 +94,16 @@ def materialise(df, name: str = "step"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df) -> None:
+    """Delete a table written by ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    own = os.path.dirname(scratch_path(spark, "any"))
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(own).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete every intermediate table this application has written; frames that read them are of no use any more."""
     folder = os.path.dirname(scratch_path(spark, "any"))
