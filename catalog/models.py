@@ -204,13 +204,6 @@ def rescaled_score(spark, sf):
 # -- fits -------------------------------------------------------------------------------------
 
 
-@query("M1 M5 P3")
-def logistic_walk_forward(spark, sf):
-    """Per-fold and pooled metrics of purged expanding folds with a multinomial logistic model."""
-    out = M.walk_forward(training(spark, sf), FEATS, lambda t, f: M.logistic(t, f, max_iter=50), cal(spark, sf), YEARS, H)
-    return M.fold_report(out, horizon=H)
-
-
 @query("M3 M6 M7")
 def forest_scores(spark, sf):
     """Scores of a three-class tree ensemble on held-out dates."""
@@ -226,14 +219,6 @@ def two_stage_scores(spark, sf):
     return M.two_stage(train, FEATS, rounds=10).score(test).select("date", "ticker", "p_ext", "p_dir", "score")
 
 
-@query("M14")
-def ordinal_regression(spark, sf):
-    """Confusion counts of regressed class numbers cut at 0.5 and 1.5."""
-    train, test = halves(spark, sf)
-    pred = M.ordinal_regression(train, FEATS).transform(test).withColumn("call", M.bucket())
-    return V.confusion(pred, "target", "call")
-
-
 @query("M15")
 def grid_search(spark, sf):
     train, test = halves(spark, sf)
