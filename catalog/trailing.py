@@ -11,6 +11,7 @@ from catalog.registry import query
 from crosspanel.operators import cross as X
 from crosspanel.operators import recurrence as E
 from crosspanel.operators import rolling as R
+from crosspanel.operators import scan as SC
 from crosspanel.sources import news as N
 
 
@@ -106,8 +107,7 @@ def own_rank_sql(x: str, k: int) -> str:
 
 @query("W9", f"{B.PANEL_SQL} SELECT date, ticker, {r(own_rank_sql('volume', 252), 'own_rank')} FROM panel")
 def own_history_rank(spark, sf):
-    g = _close(spark, sf, "volume").withColumn("past", R.history("volume", 252))
-    return g.select("date", "ticker", R.rank_in("past", "volume", 252).alias("own_rank"))
+    return E.own_rank(_close(spark, sf, "volume"), {"own_rank": ("volume", 252)}).select("date", "ticker", "own_rank")
 
 
 @query("W10 W11", f"""{B.PANEL_SQL},
@@ -162,8 +162,9 @@ def ewm_cte(name: str, src: str, series: dict[str, tuple[str, float]], derived:
 {ewm_cte('e', 'panel', {'fast': ('close', E.span(12)), 'wilder': ('close', 1 / 14)})}
 SELECT p.date, p.ticker, {rs('fast', 'wilder')} FROM panel p JOIN e ON e.ticker = p.ticker AND e.t = p.t""")
 def exponential_means(spark, sf):
+    """Smoothed means of the gappy daily panel; a ticker's rows are split over segments."""
     g = B.panel(spark, sf, B.daily(spark, sf)).select("date", "t", "ticker", "close")
-    e = E.ewm(g, {"fast": ("close", E.span(12)), "wilder": ("close", 1 / 14)})
+    e = SC.ewm(g, {"fast": ("close", E.span(12)), "wilder": ("close", 1 / 14)})
     return e.select("date", "ticker", "fast", "wilder")
 
 

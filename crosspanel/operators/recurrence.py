@@ -1,6 +1,7 @@
-"""Exponential recurrences: the one place where rows of a ticker depend on each other.
+"""Passes over whole tickers: recurrences, and order statistics of sliding windows.
 
-No window aggregate expresses an exponentially weighted mean with gaps. The rows
+No window aggregate expresses an exponentially weighted mean with gaps or, without a copy of the window on every row, the
+rank of a value among the rows before it. The rows
 are clustered and ordered by a ticker window, and Arrow batches of whole tickers
 are walked calendar row by calendar row, all tickers and series of a block at
 once. Only numbers the recurrences read are converted; carried columns stay in
@@ -130,6 +131,36 @@ def ewm(df: DataFrame, columns: Mapping[str, tuple[str, float]], carry: Sequence
     return per_ticker(df, carry or df.columns, [x for x, _ in plan.values()], list(plan), fn)
 
 
+#: Numbers of the windows compared at a time.
+COMPARED = 4_000_000
+
+
+def rank_of_last(x: np.ndarray, k: int) -> np.ndarray:
+    """Average-tie percentile rank of every value among the k rows that end with it, down the rows of a matrix (whole windows only)."""
+    out = np.full(x.shape, np.nan)
+    if len(x) < k or not x.shape[1]:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(x, k, axis=0)
+    step = max(1, COMPARED // (x.shape[1] * k))
+    for at in range(0, len(windows), step):
+        w = windows[at : at + step]
+        last = w[..., -1:]
+        out[at + k - 1 : at + k - 1 + len(w)] = ((w < last).sum(-1) + ((w == last).sum(-1) + 1) / 2) / k
+    known = np.concatenate([np.zeros((1, x.shape[1]), int), np.cumsum(~np.isnan(x), axis=0)])
+    out[k - 1 :][known[k:] - known[:-k] < k] = np.nan
+    return out
+
+
+def own_rank(df: DataFrame, columns: Mapping[str, tuple[str, int]], carry: Sequence[str] | None = None) -> DataFrame:
+    """Add percentile ranks of columns among their own last rows: out -> (x, rows). No window is ever a column."""
+    plan = dict(columns)
+
+    def fn(m):
+        return {out: rank_of_last(m[x], k) for out, (x, k) in plan.items()}
+
+    return per_ticker(df, carry or df.columns, list(dict.fromkeys(x for x, _ in plan.values())), list(plan), fn)
+
+
 def fisher(price: np.ndarray, k: int) -> np.ndarray:
     """Fisher transform of a price's place in its own k-row range.
 

@@ -171,19 +171,6 @@ def kurt_of(tag: str, need: int) -> Column:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
 
 
-def history(x, k: int) -> Column:
-    """The last k known values as an array."""
-    return F.collect_list(col(x)).over(frame(k))
-
-
-def rank_in(past, x, k: int) -> Column:
-    """Average-tie percentile rank of x inside its full :func:`history` of k values."""
-    values, c = col(past), col(x)
-    below = F.size(F.filter(values, lambda v: v < c))
-    equal = F.size(F.filter(values, lambda v: v == c))
-    return F.when(F.size(values) == k, (below + (equal + 1) / F.lit(2.0)) / F.lit(float(k)))
-
-
 def rows_since_high(filled, x, k) -> Column:
     """Calendar rows since the highest of the last k forward-filled values.
 

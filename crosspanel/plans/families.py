@@ -26,11 +26,7 @@ def _voltail():
             "vol_spike": safe_div(R.std("r1", 5), R.std("r1", 60)),
             "hl_spike": safe_div(R.mean("hl", 5), R.mean("hl", 60)),
         },
-        {
-            "vol_past": R.history("vol_20d", 252),
-            "vol_of_vol_60d": safe_div(R.std("vol_20d", 60), R.mean("vol_20d", 60)),
-        },
-        {"vol_pctile_1y": R.rank_in("vol_past", "vol_20d", 252), "vol_past": F.lit(None)},
+        {"vol_of_vol_60d": safe_div(R.std("vol_20d", 60), R.mean("vol_20d", 60))},
     ]
 
 
@@ -38,6 +34,7 @@ VOLTAIL = FeatureSet(
     "voltail",
     ["vol_20d", "vol_pctile_1y", "vol_of_vol_60d", "vol_spike", "vol_cat_rank", "vol_top_decile", "hl_spike"],
     trail=_voltail,
+    own_ranks={"vol_pctile_1y": ("vol_20d", 252)},
     ranks={"vol_cat_rank": "vol_20d"},
     final=lambda: {"vol_top_decile": null_flag(F.col("vol_cat_rank") >= 0.9)},
 )

@@ -3,6 +3,8 @@
 Phases of a build, each phase one layout of the data:
 
     trail    ticker windows on the raw grid          (exchange by ticker)
+             and then ranks among a ticker's own
+             last rows                               (same partitioning)
     peers    leave-one-out means, group statistics,
              percentile ranks per date               (exchange by date)
     trail2   ticker windows on peer columns          (exchange by ticker, only if used)
@@ -21,6 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from crosspanel.operators import cross as X
+from crosspanel.operators import recurrence as E
 
 Stage = dict[str, Column]
 
@@ -30,6 +33,7 @@ class FeatureSet:
     name: str
     columns: Sequence[str]
     trail: Callable[[], list[Stage]]
+    own_ranks: Mapping[str, tuple[str, int]] = field(default_factory=dict)
     loo: Mapping[str, str] = field(default_factory=dict)
     stats: Callable[[], Stage] = dict
     ranks: Mapping[str, str] = field(default_factory=dict)
@@ -68,6 +72,9 @@ def build(grid: DataFrame, sets: Sequence[FeatureSet], group_rows: int | None =
     df = grid
     for stage in _merge([s.trail() for s in sets]):
         df = df.withColumns(stage)
+    own = _union([s.own_ranks for s in sets])
+    if own:  # after the last window by ticker: what follows is dealt by date anyway
+        df = E.own_rank(df, own)
     loo = _union([s.loo for s in sets])
     stats = _union([s.stats() for s in sets])
     ranks = _union([s.ranks for s in sets])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.operators import recurrence as E
 from crosspanel.operators import rolling as R
+from crosspanel.operators import scan as SC
 from crosspanel.plans import families as FM
 from crosspanel.plans import indicators as I
 from crosspanel.plans.featureset import build
@@ -48,7 +49,7 @@ def test_flat_window_has_no_correlation(spark):
 
 
 def test_rank_in_own_history(grid, wide):
-    df = grid.withColumn("past", R.history("volume", 50)).withColumn("r", R.rank_in("past", "volume", 50))
+    df = E.own_rank(grid.select("date", "ticker", "t", "volume"), {"r": ("volume", 50)})
     volume = pivot(grid, "volume", wide)
     close_to(df, "r", wide, volume.rolling(50).rank(pct=True))
 
@@ -132,3 +133,40 @@ def test_no_family_looks_ahead(grid):
     cutoff = F.lit("2023-02-01").cast("date")
     check = V.truncation_check(grid, lambda g: build(g, FM.FAMILIES, 12), cutoff, columns).toPandas()
     assert check["value_diffs"].sum() == 0 and check["null_diffs"].sum() == 0 and (check["rows"] == 12).all()
+
+
+@pytest.mark.parametrize("segment", [2, 5, 64])
+def test_scanned_means_equal_walked_ones(grid, wide, segment):
+    columns = {"fast": ("close", E.span(12)), "slow": ("volume", 1 / 14), "gappy": ("g", 0.3)}
+    df = grid.select("date", "ticker", "t", "close", "volume").withColumn("g", F.when((F.col("t") % 97 == 11) | (F.col("t") % 31 == 3), F.col("close")))
+    got, want = SC.ewm(df, columns, segment), E.ewm(df, columns)
+    for c in columns:
+        close_to(got, c, wide, pivot(want, c, wide))
+
+
+def test_scanned_recurrence(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(i), float(rng.uniform(-1, 1)), float(rng.normal())) for k in "xy" for i in np.cumsum(rng.integers(1, 4, 200)) - 50]
+    rows.append(("z", 7, None, 2.0))
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double").repartition(3)
+    got = {(r.k, r.i): r.v for r in SC.affine(df, ["k"], "i", {"v": ("a", "b")}, 4).collect()}
+    assert len(got) == len(rows)
+    for key in "xyz":
+        v = 0.0
+        for _, i, a, b in sorted(r for r in rows if r[0] == key):
+            v = (1 if a is None else a) * v + b
+            assert abs(got[key, i] - v) < 1e-9
+
+
+def test_scans_stay_in_spark_and_windows_out_of_rows(grid):
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    means = text(SC.ewm(grid.select("date", "ticker", "t", "close"), {"e": ("close", 0.1)}))
+    assert "InArrow" not in means and "Python" not in means
+    assert "collect_list" not in text(build(grid, [FM.VOLTAIL], 12))
+
+
+def test_ranks_of_short_and_tied_histories():
+    x = np.array([[1.0, 2.0], [1.0, np.nan], [0.0, 3.0], [1.0, 3.0]])
+    got = E.rank_of_last(x, 3)
+    np.testing.assert_allclose(got, [[np.nan, np.nan], [np.nan, np.nan], [1 / 3, np.nan], [2.5 / 3, np.nan]])
+    assert np.isnan(E.rank_of_last(x, 9)).all()
