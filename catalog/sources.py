@@ -12,6 +12,7 @@ from crosspanel.session import materialise, scratch_path
 from crosspanel.sources import news as N
 from crosspanel.sources import panel as P
 from crosspanel.sources import uploads as U
+from crosspanel.sources import wide as W
 from crosspanel.streaming import incremental as I
 
 
@@ -24,18 +25,25 @@ def ohlcv_long_fields(spark, sf):
     return B.ohlcv(spark, sf).unpivot(["date", "ticker"], P.FIELDS, "field", "value")
 
 
-def _wide_tickers(spark, sf):
-    """A few tickers that always exist, as columns of the wide exchange format; real files have one column for each."""
-    return [f"F{i:09d}" for i in range(4)]
+WIDE_GRID = f"{B.OHLCV_SQL}, g AS (SELECT date, ticker FROM (SELECT DISTINCT date FROM ohlcv) CROSS JOIN (SELECT DISTINCT ticker FROM ohlcv))"
 
 
-@query("S1 S4", f"""{B.OHLCV_SQL}, t AS (SELECT unnest(['F000000000', 'F000000001', 'F000000002', 'F000000003']) AS ticker), d AS (SELECT DISTINCT date FROM ohlcv WHERE ticker IN (FROM t))
-SELECT date, ticker, {r('close')} FROM d CROSS JOIN t LEFT JOIN ohlcv USING (date, ticker)""")
+def wide_file(spark, sf):
+    path = scratch(spark, "wide")
+    W.write_wide(B.ohlcv(spark, sf), path)
+    return path
+
+
+@query("S1 S4", f"{WIDE_GRID} SELECT date, ticker, {rs(*P.FIELDS)} FROM g LEFT JOIN ohlcv USING (date, ticker)")
 def wide_round_trip(spark, sf):
-    """Long prices to the wide format and back; missing cells stay as rows."""
-    tickers = _wide_tickers(spark, sf)
-    bars = B.ohlcv(spark, sf).select("date", "ticker", "close").filter(F.col("ticker").isin(tickers))
-    return P.unpivot_wide(P.pivot_wide(bars, "close", tickers), "close")
+    """All prices to a wide file, a column for each field and ticker, and back; missing cells stay as rows."""
+    return W.read_wide(spark, wide_file(spark, sf), keep_missing=True, group=7)
+
+
+@query("S1", f"{B.OHLCV_SQL} SELECT date, ticker, {rs('close', 'volume')} FROM ohlcv")
+def wide_file_rows(spark, sf):
+    """Two fields of a wide file as long rows, without the missing cells."""
+    return W.read_wide(spark, wide_file(spark, sf), ["close", "volume"])
 
 
 @query("S14", f"{B.OHLCV_SQL} SELECT year(date) AS year, count(*) AS n, {r('sum(close)', 'total', 2)} FROM ohlcv GROUP BY 1")

@@ -23,6 +23,8 @@ RUNTIME_OPTIONS = {
     # window stages are heavy per byte: merge shuffle partitions only when they are tiny
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # data frame libraries write times in nanoseconds, which Spark has no type for
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
 
