@@ -9,7 +9,9 @@ fingerprint at an anchor with those at home there finds all pairs that agree in
 Fingerprints of one word that differ in at most 3 bits always do (3 bits over two halves): this search misses no link. Longer
 fingerprints allow more differing bits; there a pair is found if one of its blocks agrees, more surely the longer they are.
 
-``keep_one`` does not link by fingerprints: candidates share a band of a MinHash sketch, and their shingles decide.
+``keep_one`` does not link by fingerprints. Sets of shingles with a Jaccard similarity of 0.8 differ in about 15 of 100 bits, so a 32-bit
+block of two such fingerprints agrees up to one bit with probability 0.037, and 124 blocks (2,108 replicas of each document)
+would be needed to find 99 % of them. There candidates share a band of a MinHash sketch, and their shingles decide.
 """
 
 from __future__ import annotations
@@ -30,15 +32,18 @@ MAX_DISTANCE = 3
 SEED = 42
 #: Fingerprints at home at one anchor that are compared in one block; more are dealt over pairs of blocks.
 BLOCK = 2_048
-#: Words of a shingle, words of 64 bits, and differing bits allowed: the exact search, and the estimate of a similarity of 0.8. With
-#: sets of one size, a Jaccard similarity of 0.8 is a cosine of 0.889, or 0.15 of the bits of a fingerprint.
+#: Words of a shingle, words of 64 bits, and differing bits allowed.
 EXACT = (SHINGLE, 1, MAX_DISTANCE)
-SIMILAR = (5, 2, 19)
 #: Near copies: words of a shingle, and the Jaccard similarity of the sets of shingles from which documents link.
 NEAR_SHINGLE, NEAR = 5, 0.8
 #: Candidates agree in one of BANDS bands of ROWS values, and in AGREE of all values: 0.9999 of the pairs at 0.8, more above.
 BANDS, ROWS, AGREE = 20, 4, 46
-NEAR_BLOCK = 1_024
+#: Rows of a band that meet in one task, and the least rows of a part of a band for which its centre is sought.
+NEAR_BLOCK, CENTRE_ROWS = 1_024, 4
+#: Candidate pairs that a cell passes on, times its rows; a cell with more is verified whole, in place.
+DENSE = 2
+#: Shingles in more than so many documents of a cell are compared as columns of a matrix, others pair by pair.
+COMMON, COLUMNS = 32, 4_096
 FACTORS, TERMS = (np.random.default_rng(SEED + k).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1 - k) for k in (0, 1))
 
 #: Bits of every byte value; the eight bytes of a hash are counted in one histogram.
@@ -324,16 +329,54 @@ def banded(distinct: DataFrame) -> DataFrame:
     return distinct.select("node", "root", "sketch").mapInArrow(run, "band long, node long, root long, sketch binary")
 
 
-def _neighbours(batches):
-    """Pairs of rows (band, part, node, sketch) that follow each other in one part of a band and have like sketches."""
-    key, node, last = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint8)
+def _groups(batches, keys: int):
+    """The rows of each value of the first ``keys`` columns of sorted batches, as tables; holds one group and one batch."""
+    held = None
     for b in batches:
         if b.num_rows == 0:
             continue
-        key = np.concatenate([key[-1:], np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)])
-        node, last = np.concatenate([node[-1:], b.column(2).to_numpy()]), np.concatenate([last[-1:], _sketches(b.column(3))])
-        at = np.flatnonzero((key[1:] == key[:-1]).all(1) & ((last[1:] == last[:-1]).sum(1) >= AGREE))
-        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], ["a", "b"])
+        now = pa.Table.from_batches([b])
+        held = now if held is None else pa.concat_tables([held, now])
+        at = runs(*(held.column(k).to_numpy() for k in range(keys)))
+        for s, e in zip(at[:-2], at[1:-1]):
+            yield held.slice(s, e - s)
+        held = held.slice(at[-2])
+    if held is not None:
+        yield held
+
+
+FOUND = "a long, b long, band long, score int"
+
+
+def _near_in_parts(batches):
+    """From sorted rows (band, part, node, sketch, parts): pairs (a, b) of neighbours, and of each row with the centre of its part.
+
+    The centre is the row that agrees best with the commonest value in every place of the sketches: where texts are edited copies of one,
+    that one. A part of a larger band also gives (centre, band, agreement) with a null b, so the band's own centre can be chosen.
+    """
+    for group in _groups(batches, 2):
+        if group.num_rows < 2 and group.column(4)[0].as_py() < 2:
+            continue
+        band, node, sketches = group.column(0)[0].as_py(), group.column(2).to_numpy(), _sketches(group.column(3).combine_chunks())
+        at = np.flatnonzero((sketches[1:] == sketches[:-1]).sum(1) >= AGREE)
+        a, b, bands, scores = [node[at]], [node[at + 1]], [np.full(len(at), -1)], [np.zeros(len(at), int)]
+        if len(node) >= CENTRE_ROWS or group.column(4)[0].as_py() > 1:
+            places = sketches + (256 * np.arange(sketches.shape[1], dtype=np.int32))
+            common = np.bincount(places.ravel(), minlength=256 * sketches.shape[1]).reshape(-1, 256).argmax(1)
+            fit = (sketches == common).sum(1)
+            centre = int(fit.argmax())
+            others = np.flatnonzero(((sketches == sketches[centre]).sum(1) >= AGREE) & (node != node[centre]))
+            a.append(node[others])
+            b.append(np.full(len(others), node[centre]))
+            bands.append(np.full(len(others), -1))
+            scores.append(np.zeros(len(others), int))
+            if group.column(4)[0].as_py() > 1:
+                a.append(node[[centre]])
+                b.append(np.array([-1]))
+                bands.append(np.array([band]))
+                scores.append(fit[[centre]])
+        a, b, bands, scores = (np.concatenate(x) for x in (a, b, bands, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bands), pa.array(scores.astype(np.int32))], ["a", "b", "band", "score"])
 
 
 def _cell_pairs(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, sketches: np.ndarray, cross: bool):
@@ -350,39 +393,92 @@ def _cell_pairs(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray,
             use = (sketches[x] == sketches[y]).sum(1) >= AGREE
             x, y = x[use], y[use]
             use = np.argmax(bands[x] == bands[y], axis=1) == band >> 32
-            x, y = node[x[use]], node[y[use]]
-            if len(x):
-                yield np.minimum(x, y), np.maximum(x, y)
+            if use.any():
+                yield x[use], y[use]
 
 
-def _other_pairs(batches):
-    """Pairs within sorted rows (band, lo, hi, side, node, root, sketch); holds one cell at a time."""
-    names = ["a", "b"]
+CANDIDATES = "a long, b long, band long, lo int, hi int, side int"
 
-    def cells(table: pa.Table, at: np.ndarray):
-        keys = [table.column(k).to_numpy() for k in range(6)]
-        sketches = _sketches(table.column(6))
-        for s, e in zip(at[:-1], at[1:]):
-            if e - s > 1 and (keys[5][s:e] != keys[5][s]).any():
-                for a, b in _cell_pairs(int(keys[0][s]), keys[3][s:e], keys[4][s:e], keys[5][s:e], sketches[s:e], keys[1][s] != keys[2][s]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
 
-    held = None
-    for b in batches:
-        if b.num_rows == 0:
+def _other_pairs(batches):
+    """Candidates within sorted cells (band, lo, hi, side, node, root, sketch).
+
+    A cell with at most ``DENSE`` pairs for each row gives these, (a, b); another gives its rows that are in a pair, (a, band, lo, hi, side).
+    """
+    names = ["a", "b", "band", "lo", "hi", "side"]
+    for cell in _groups(batches, 3):
+        side, node, root = (cell.column(k).to_numpy() for k in (3, 4, 5))
+        if len(node) < 2 or (root == root[0]).all():
             continue
-        now = pa.Table.from_batches([b])
-        held = now if held is None else pa.concat_tables([held, now])
-        at = runs(*(held.column(k).to_numpy() for k in range(3)))
-        yield from cells(held.slice(0, at[-2]), at[:-1])
-        held = held.slice(at[-2])
-    if held is not None:
-        yield from cells(held, np.array([0, held.num_rows]))
+        band, lo, hi = (cell.column(k)[0].as_py() for k in range(3))
+        sketches = _sketches(cell.column(6).combine_chunks())
+        x, y, n = [], [], 0
+        for i, j in _cell_pairs(band, side, node, root, sketches, lo != hi):
+            n += len(i)
+            if n <= DENSE * len(node):
+                x.append(i)
+                y.append(j)
+            else:  # only who is in a pair is of interest from here on
+                x, y = [np.unique(np.concatenate([*x, *y, i, j]))], []
+        if n > DENSE * len(node):
+            k = np.unique(np.concatenate(x))
+            columns = [node[k], None, band, lo, hi, side[k]]
+        elif n:
+            i, j = node[np.concatenate(x)], node[np.concatenate(y)]
+            columns = [np.minimum(i, j), np.maximum(i, j), None, None, None, None]
+        else:
+            continue
+        size = len(columns[0])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(np.broadcast_to(c, size), t) for c, t in zip(columns, kinds)], names)
+
+
+def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets (sorted hashes without repeats) whose Jaccard similarity reaches the threshold, exactly.
+
+    Shingles of many sets are columns of a matrix, multiplied a block of columns at a time; the others are counted pair by pair.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(inverse, kind="stable")
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    for d in np.unique(count[(count > 1) & (count <= COMMON)]):
+        rows = row[order[first[count == d][:, None] + np.arange(d)]]
+        for i, j in zip(*np.triu_indices(d, 1)):
+            np.add.at(both, (rows[:, i], rows[:, j]), 1)
+    common = np.flatnonzero(count > COMMON)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        m = np.zeros((n, len(part)), np.float32)
+        for k, t in enumerate(part):
+            m[row[order[first[t] : first[t] + count[t]]], k] = 1
+        both += np.triu(m @ m.T, 1)
+    size = np.array([len(s) for s in sets], np.float64)
+    i, j = np.nonzero(both)
+    shared = both[i, j].astype(np.float64)
+    use = shared / (size[i] + size[j] - shared) >= threshold
+    return i[use], j[use]
+
+
+def _verified_cells(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) within cells (band, lo, hi) of many candidates, which are verified where they lie; few that connect the same."""
+
+    def run(batches):
+        for cell in _groups(batches, 3):
+            node = cell.column(4).to_numpy()
+            i, j = similar_pairs([np.frombuffer(x.as_py(), np.uint64) for x in cell.column(5)], threshold)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(node[i], node[j])], ["a", "b"])
+
+    rows = members.select("band", "lo", "hi", "side", F.col("a").alias("node")).join(sets, "node").select("band", "lo", "hi", "side", "node", "hashes")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node").mapInArrow(run, "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, hashes) of every node of the pairs."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).filter("node IS NOT NULL").distinct()
     keyed = nodes.select("id", "key", "node").join(wanted, "node")
     texts = docs.select(col(id_col).alias("id"), _text_key(text_col).alias("key"), col(text_col).alias("text")).join(keyed, ["id", "key"]).select("node", "text")
 
@@ -394,7 +490,15 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: s
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``threshold`` or more."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``threshold`` or more.
+
+    A pair goes to the task of that end which is in fewer pairs, so the centre of a large group is sent to its members, not they to it.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    degree = stored(ends.groupBy("node").count(), "degree")
+    both = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("nb")), "b")
+    swap = F.col("nb") < F.col("na")
+    pairs = stored(both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "turned")
     first = pairs.select("a").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "hashes")
     other = pairs.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
 
@@ -420,9 +524,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float = NEAR, block: int = NEAR_BLOCK) -> DataFrame:
     """(a, b): links that connect the nodes whose sets of shingles have a Jaccard similarity of ``threshold`` or more.
 
-    Candidates share a band of their sketches, and each is verified by its sets. First, only neighbours within a band are; what these
-    links connect is not compared again, so a large group of near copies does not cost the square of its size. Then all other
-    pairs of a band are. Bands of more than ``block`` rows are dealt over a grid, so no task holds one whole.
+    Candidates share a band of their sketches, and each is verified by its sets. First, rows are only paired with their neighbours in a band and
+    with its centre, a few pairs for each row. What these links connect is not compared again. Then all other pairs of a band are: bands
+    of more than ``block`` rows are dealt over a grid of cells, and a cell passes on few pairs for each of its rows or is verified whole
+    in its task, so the pairs of a large group never become rows.
     """
     distinct = stored(nodes.groupBy("same").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch")), "distinct")
     equal = nodes.join(distinct.select("same", F.col("node").alias("rep")), "same").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -430,11 +535,18 @@ def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, t
     parts = F.ceil(F.col("count") / block).cast("int").alias("parts")
     crowd = stored(rows.groupBy("band").count().filter(F.col("count") > block).select("band", parts), "crowd")
     dealt = rows.withColumn("parts", F.lit(1))
-    if crowd.limit(1).count():
+    crowded = crowd.limit(1).count()
+    if crowded:
         dealt = rows.join(crowd, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    chain = dealt.select("band", part.cast("long").alias("part"), "node", "sketch").repartition("band", "part").sortWithinPartitions("band", "part", "node")
-    beside = stored(chain.mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    chain = dealt.select("band", part.cast("long").alias("part"), "node", "sketch", "parts").repartition("band", "part").sortWithinPartitions("band", "part", "node")
+    found = stored(chain.mapInArrow(_near_in_parts, FOUND), "found")
+    beside = found.filter("b >= 0").select("a", "b")
+    if crowded:
+        centre = found.filter("b < 0").groupBy("band").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("b"))
+        near_centre = rows.join(centre, "band").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+        beside = beside.unionByName(near_centre)
+    beside = stored(beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     near = stored(verified(beside, _shingle_sets(docs, nodes, beside, id_col, text_col), threshold), "near")
 
     roots = components(near, "simhash").withColumnRenamed("root", "low")
@@ -444,9 +556,11 @@ def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, t
     cells = rows.join(mixed, "band").withColumn("side", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root", "sketch")
     ordered = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    rest = stored(ordered.mapInArrow(_other_pairs, "a long, b long").join(beside, ["a", "b"], "left_anti"), "pairs")
-    further = verified(rest, _shingle_sets(docs, nodes, rest, id_col, text_col), threshold)
-    return near.unionByName(further).unionByName(equal)
+    rest = stored(ordered.mapInArrow(_other_pairs, CANDIDATES), "candidates")
+    sets = _shingle_sets(docs, nodes, rest, id_col, text_col)
+    pairs = rest.filter("b IS NOT NULL").select("a", "b").join(beside, ["a", "b"], "left_anti")
+    further = verified(stored(pairs, "pairs"), sets, threshold)
+    return near.unionByName(further).unionByName(_verified_cells(rest.filter("b IS NULL"), sets, threshold)).unionByName(equal)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR, block: int = NEAR_BLOCK) -> DataFrame:

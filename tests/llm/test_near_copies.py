@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from test_duplicates import closure, prose
 
@@ -58,3 +59,36 @@ def test_stage_against_brute_force(spark):
     want = {i for i in sets if roots.get(i, i) == i}
     stay = {r.doc_id for r in P.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert stay >= want and len(sets) - len(stay) >= 0.99 * (len(sets) - len(want))
+
+
+@pytest.mark.parametrize("centre", [True, False])
+def test_a_large_group_of_copies_of_one_text(spark, monkeypatch, centre):
+    """Copies that are alike to 0.7 link only through their common source; without it they all stay, and no pair of them becomes a row."""
+    rng, n = random.Random(33), 700
+    words = prose(rng, 300).split()
+    texts = []
+    for _ in range(n):
+        copy = list(words)
+        for at in rng.sample(range(10, 290, 6), 5):
+            copy[at] = f"edit{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts)) + ([(n, " ".join(words))] if centre else []) + [(n + 1 + k, t) for k, t in enumerate(planted(rng, 3))]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = []
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    stay = {r.doc_id for r in simhash.keep_one(docs, block=128).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    roots = closure(pairs)
+    assert stay == {i for i in sets if roots.get(i, i) == i}
+    sizes = [(name, df.count()) for name, df in written]
+    assert max(c for name, c in sizes if name in ("found", "pairs", "candidates", "turned")) < 40 * n
+
+
+def test_similar_pairs_are_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(90)] + [np.arange(50, dtype=np.uint64)] * 40
+    i, j = simhash.similar_pairs(sets, 0.6)
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if len(x := np.intersect1d(sets[a], sets[b])) / (len(sets[a]) + len(sets[b]) - len(x)) >= 0.6}
+    assert {(max(a, b), min(a, b)) for a, b in zip(i, j)} == want and len(i) == len(want)

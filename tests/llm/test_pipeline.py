@@ -11,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from test_duplicates import closure, plain_fingerprint, plain_lines, prose
+from test_duplicates import closure, plain_lines, prose
+from test_near_copies import jaccard, shingle_set
 from test_texts import plain_hits
 
-from crosspanel.llm import bpe, quality, simhash
+from crosspanel.llm import bpe, quality
 from crosspanel.llm.common import prepare
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_removed int"
@@ -79,13 +80,10 @@ def test_every_stage(spark, folder):
     rows, left = collected(unique), collected(one)
     ids = sorted({r[0] for r in rows if r[0] is not None})
     text = {r[0]: r[1] for r in rows}
-    exact = {i: plain_fingerprint(text[i]) for i in ids}
-    similar = {i: int.from_bytes(simhash.fingerprint(simhash.words((text[i] or "").encode()), *simhash.SIMILAR[:2]), "big") for i in ids}
-    near = lambda a, b, limit: bin(a ^ b).count("1") <= limit
-    certain = closure([(a, b) for a in ids for b in ids if a < b and near(exact[a], exact[b], 3)])
-    possible = closure([(a, b) for a in ids for b in ids if a < b and (near(exact[a], exact[b], 3) or near(similar[a], similar[b], simhash.SIMILAR[2]))])
+    sets = {i: shingle_set(text[i]) for i in ids}
+    linked = closure([(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.8])
     stay = {r[0] for r in left if r[0] is not None}
-    assert {i for i in ids if possible.get(i, i) == i} <= stay <= {i for i in ids if certain.get(i, i) == i}
+    assert stay == {i for i in ids if linked.get(i, i) == i}
     assert len(left) == len(stay) + sum(r[0] is None for r in rows) and len(stay) < len(ids)
 
     clean = stages["decontaminate"](spark, one, folder)
