@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk wherever it is a multiple of ``DIVISOR``, so equal
-passages fall into equal chunks wherever they stand in a text. Chunks of several lines that occur more than once in
-the whole table are compared byte by byte; all but the first occurrence (smallest id, then place) go.
+A rolling hash over the hashes of ``WINDOW`` neighbouring lines (blank ones are passed over) runs along every text. A chunk goes on as long as its
+rolling hash occurs elsewhere in the whole table, and ends where it does not, so its boundaries depend on the lines alone and
+lie alike wherever a passage stands. Windows with equal hashes are compared byte by byte, and all lines of a repeated window go but
+those of its first occurrence (smallest id, then place): every passage of two or more lines is found, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -12,109 +13,106 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm.common import col, fresh, stored
 
-WINDOW = 3
-DIVISOR = 4
-MIN_LINES = 2
+WINDOW = 2
+#: Code points that the lines of a window have together; shorter ones repeat by chance.
+MIN_CHARS = 40
 MODULUS = 2_147_483_647
-BASE = 1_000_003
+BASES = (1_000_003, 998_244_353)
+#: What a blank line consists of.
+BLANK = " \t\r"
 
 
-def _rolling(h, x, i):
-    """Rolling hash of the lines up to i; 28-bit line hashes keep every product within 64 bits."""
-    total = x
-    for back in range(1, WINDOW):
-        total = total + F.coalesce(F.get(h, i - back), F.lit(0)) * F.lit(pow(BASE, back, MODULUS))
-    return total % MODULUS
+def _places(lines):
+    """Indices of the lines that are not blank."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (hash of the text), lines, ends: the last line of every chunk."""
-    rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("key"), F.split(col(text_col), "\n", -1).alias("lines"))
-    return _with_ends(rows, "lines", "h", "ends").drop("h")
+def _body(lines, places, p):
+    """The bytes of the window that begins with the p-th line."""
+    return F.concat_ws("\n", *[F.get(lines, F.get(places, p + k)) for k in range(WINDOW)])
 
 
-def _with_ends(rows: DataFrame, lines: str, hashes: str, ends: str) -> DataFrame:
-    line_hash = lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")
-    rows = rows.withColumn(hashes, F.transform(col(lines), line_hash))
-    h = col(hashes)
-    return rows.withColumn(ends, F.array_compact(F.transform(h, lambda x, i: F.when((i == F.size(h) - 1) | (_rolling(h, x, i) % DIVISOR == 0), i))))
+def lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), lines, places of the lines that are not blank."""
+    rows = docs.filter(col(text_col).isNotNull()).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("key"), F.split(col(text_col), "\n", -1).alias("lines"))
+    return rows.withColumn("places", _places(F.col("lines")))
 
 
-def _start(ends, j):
-    return F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+def windows(rows: DataFrame) -> DataFrame:
+    """(id, key, p, code): the rolling hash of every window of enough code points."""
+    digests = F.transform("places", lambda i: F.struct(F.md5(F.get(F.col("lines"), i)).alias("m"), F.length(F.get(F.col("lines"), i)).alias("n")))
+    # 28-bit line hashes keep every product within 64 bits
+    hashed = F.transform(digests, lambda x: F.struct(*[F.conv(F.substring(x["m"], 1 + 7 * k, 7), 16, 10).cast("long").alias(f"h{k}") for k in range(2)], x["n"].alias("n")))
+    rows = rows.select("id", "key", hashed.alias("h"))
 
+    def window(x, p):
+        parts = [F.get(F.col("h"), p + k) for k in range(WINDOW)]
+        rolling = [sum((parts[k][f"h{b}"] * F.lit(pow(BASES[b], WINDOW - 1 - k, MODULUS)) for k in range(WINDOW)), F.lit(0).cast("long")) % MODULUS for b in range(2)]
+        return F.struct(p.alias("p"), (rolling[0] * F.lit(2**31) + rolling[1]).alias("code"), sum((y["n"] for y in parts), F.lit(0)).alias("n"))
 
-def _chunk_text(lines, ends, e, j):
-    start = _start(ends, j)
-    return F.array_join(F.slice(lines, start + 1, e - start + 1), "\n")
+    found = F.explode(F.filter(F.transform("h", window), lambda w: w["code"].isNotNull() & (w["n"] >= MIN_CHARS)))
+    return rows.select("id", "key", found.alias("w")).select("id", "key", "w.p", "w.code")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, key, ks): the numbers of the chunks to remove from the document with this id and text hash."""
-    ends, lines = F.col("ends"), F.col("lines")
-    parts = chunked(docs.filter(col(text_col).isNotNull()), id_col, text_col).select("id", "key", F.explode(F.filter(F.transform(ends, lambda e, j: F.struct(
-        j.alias("k"), (e - _start(ends, j) + 1).alias("n"), F.unhex(F.md5(_chunk_text(lines, ends, e, j))).alias("digest"),
-        F.xxhash64(_chunk_text(lines, ends, e, j)).alias("check"))), lambda c: c["n"] >= min_lines)).alias("c"))
-    occurrences = stored(parts.select("id", "key", "c.k", "c.digest", "c.check"), "chunks")
-    # written first, so that a join with a hot digest can be split
-    often = stored(occurrences.groupBy("digest").count().filter("count > 1").select("digest"), "often")
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, joined, gone): the windows of a document that occur elsewhere too, and those among them that stand elsewhere before."""
+    rows = lined(docs, id_col, text_col)
+    occurrences = stored(windows(rows), "windows")
+    # written first, so that a join with a hot code can be split
+    often = stored(occurrences.groupBy("code").count().filter("count > 1").select("code"), "often")
     # candidates by document, then their bytes, which are compared by grouping on them
-    wanted = occurrences.join(often, "digest").groupBy("id", "key").agg(F.collect_set("k").alias("ks"))
-    text = chunked(docs.filter(col(text_col).isNotNull()), id_col, text_col).alias("d").join(
-        wanted.alias("w"), F.expr("d.id <=> w.id AND d.key = w.key")).select("d.id", "d.key", "d.lines", "d.ends", "w.ks")
-    bodies = text.select("id", "key", "lines", "ends", F.explode("ks").alias("k")).select(
-        "id", "key", "k", _chunk_text(lines, ends, F.get(ends, F.col("k")), F.col("k")).alias("body"))
-    equal = bodies.groupBy(F.md5("body").alias("hex"), "body").agg(F.min(F.struct("id", "key", "k")).alias("first"), F.count(F.lit(1)).alias("n"))
-    equal = equal.filter("n > 1").select(F.unhex("hex").alias("digest"), F.xxhash64("body").alias("check"), "first")
-    later = occurrences.join(equal, ["digest", "check"]).filter("NOT (struct(id, key, k) <=> first)")
-    return later.groupBy("id", "key").agg(F.collect_set("k").alias("ks"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """The table with repeated chunks of at least ``min_lines`` lines removed from its texts.
-
-    Adds n_lines, n_chunks and n_removed (lines), under names the table does not have yet (a taken name gets an underscore).
-    A null text stays null with zeros; an empty text is one empty line. Of equal chunks the one with the smallest id
-    stays, then the one standing first; rows that agree in id and text are one document and share its result, and a null id
-    counts as smaller than any other. A text of repeated chunks alone becomes empty; no row is dropped.
+    wanted = occurrences.join(often, "code").groupBy("id", "key").agg(F.collect_set("p").alias("ps"))
+    text = rows.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.key = w.key")).select("d.id", "d.key", "d.lines", "d.places", "w.ps")
+    bodies = text.select("id", "key", "lines", "places", F.explode("ps").alias("p")).select("id", "key", "p", _body(F.col("lines"), F.col("places"), F.col("p")).alias("body"))
+    # equal bytes have equal digests: the digest stands for the bytes only after these have been grouped
+    place = F.struct("id", "key", "p")
+    equal = bodies.groupBy(F.md5("body").alias("hex"), "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    equal = stored(equal.filter("NOT (first <=> last)").select(F.unhex("hex").alias("digest"), F.xxhash64("body").alias("check"), "first"), "repeated")
+    told = stored(bodies.select("id", "key", "p", F.unhex(F.md5("body")).alias("digest"), F.xxhash64("body").alias("check")), "told")
+    later = told.join(equal, ["digest", "check"])
+    return later.groupBy("id", "key").agg(F.collect_set("p").alias("joined"), F.collect_set(F.when(~place.eqNullSafe(F.col("first")), F.col("p"))).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with repeated chunks of lines removed from its texts.
+
+    Adds n_lines, n_chunks (runs of lines that are not blank, joined by repeated windows) and n_removed (lines), under names the table does not have
+    yet (a taken name gets an underscore). A null text stays null with zeros; an empty text is one empty line. Of equal windows the one
+    with the smallest id stays, then the one standing first; blank lines stay. Rows that agree in id and text are one document and share
+    its result, and a null id counts as smaller than any other. A text of repeated lines alone becomes empty; no row is dropped.
     """
-    names = {n: fresh(docs, n) for n in ("n_lines", "n_chunks", "n_removed", "gone_", "key_", "lines_", "ends_")}
-    gone = repeated_chunks(docs, id_col, text_col, min_lines)
+    names = {n: fresh(docs, n) for n in ("n_lines", "n_chunks", "n_removed", "joined_", "gone_", "key_", "lines_", "places_")}
+    found = repeated_windows(docs, id_col, text_col)
     left = docs.withColumn(names["key_"], F.xxhash64(col(text_col))).alias("d")
-    gone = gone.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.col("ks").alias("r_ks")).alias("r")
-    both = left.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.r_id")) & (F.col(f"d.`{names['key_']}`") == F.col("r.r_key")), "left")
-    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("r.r_ks").alias(names["gone_"]))
-    rows = _with_ends(both.withColumn(names["lines_"], F.split(col(text_col), "\n", -1)), names["lines_"], names["key_"], names["ends_"])
-    ends, lines, ks = col(names["ends_"]), col(names["lines_"]), col(names["gone_"])
-    removed = F.coalesce(F.aggregate(ks, F.lit(0), lambda s, k: s + F.get(ends, k) - _start(ends, k) + 1), F.lit(0))
-    kept = F.array_join(F.filter(F.transform(ends, lambda e, j: F.when(~F.array_contains(ks, j), _chunk_text(lines, ends, e, j))), lambda c: c.isNotNull()), "\n")
-    new = {text_col: F.when(ks.isNull(), col(text_col)).otherwise(kept)}
+    found = found.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.col("joined").alias("r_joined"), F.col("gone").alias("r_gone")).alias("r")
+    both = left.join(found, F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.r_id")) & (F.col(f"d.`{names['key_']}`") == F.col("r.r_key")), "left")
+    both = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("r.r_joined").alias(names["joined_"]), F.col("r.r_gone").alias(names["gone_"]))
+    rows = both.withColumn(names["lines_"], F.split(col(text_col), "\n", -1))
+    rows = rows.withColumn(names["places_"], _places(col(names["lines_"])))
+    lines, places, gone = col(names["lines_"]), col(names["places_"]), col(names["gone_"])
+    removed = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.array(*[F.get(places, p + k) for k in range(WINDOW)]))))
+    rows = rows.withColumn(names["key_"], removed)
+    removed = col(names["key_"])
+    left = F.array_except(F.transform(lines, lambda x, i: i), removed)
+    new = {text_col: F.when(F.size(gone) > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).otherwise(col(text_col))}
     out = [new.get(c, col(c)).alias(c) for c in docs.columns]
     size = lambda a: F.coalesce(F.when(a.isNotNull(), F.size(a)), F.lit(0)).cast("long")
-    return rows.select(*out, size(lines).alias(names["n_lines"]), size(ends).alias(names["n_chunks"]), removed.cast("long").alias(names["n_removed"]))
+    return rows.select(*out, size(lines).alias(names["n_lines"]), (size(places) - size(col(names["joined_"]))).alias(names["n_chunks"]), size(removed).alias(names["n_removed"]))
 
 
 #: The digest of the result in DuckDB; ids are unique in the given tables.
 DIGEST_SQL = f"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM l),
-e AS (
-  SELECT doc_id, lines, list_filter(list_transform(h, lambda x, i: CASE WHEN i = len(h)
-    OR ((x + coalesce(CASE WHEN i > 1 THEN h[i - 1] END, 0) * {BASE} + coalesce(CASE WHEN i > 2 THEN h[i - 2] END, 0) * {pow(BASE, 2, MODULUS)})
-        % {MODULUS}) % {DIVISOR} = 0 THEN i END), lambda x: x IS NOT NULL) AS ends
-  FROM h),
-c AS (
-  SELECT doc_id, unnest(list_transform(ends, lambda e, j: struct_pack(k := j, n := e - coalesce(CASE WHEN j > 1 THEN ends[j - 1] END, 0),
-    body := array_to_string(lines[coalesce(CASE WHEN j > 1 THEN ends[j - 1] END, 0) + 1 : e], chr(10))))) AS c
-  FROM e),
-m AS (
-  SELECT doc_id, c.k AS k, c.n AS n, c.body AS body,
-         c.n >= {MIN_LINES} AND row_number() OVER (PARTITION BY c.n >= {MIN_LINES}, c.body ORDER BY doc_id, c.k) > 1 AS gone
-  FROM c)
-SELECT d.doc_id, coalesce(s.n_lines, 0)::BIGINT AS n_lines, coalesce(s.n_chunks, 0)::BIGINT AS n_chunks, coalesce(s.n_removed, 0)::BIGINT AS n_removed,
-       sha256(coalesce(s.kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN (
-  SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed,
-         string_agg(CASE WHEN NOT gone THEN body END, chr(10) ORDER BY k) AS kept
-  FROM m GROUP BY doc_id) s USING (doc_id)
+x AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
+n AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j
+      FROM x WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+w AS (SELECT doc_id, i, j, p, count(*) OVER (PARTITION BY line, after) AS n, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, p) AS k
+      FROM n WHERE after IS NOT NULL AND length(line) + length(after) >= {MIN_CHARS}),
+g AS (SELECT doc_id, i FROM w WHERE k > 1 UNION SELECT doc_id, j FROM w WHERE k > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, (coalesce(a.n, 0) - coalesce(b.n, 0))::BIGINT AS n_chunks, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id) a USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM w WHERE n > 1 GROUP BY doc_id) b USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) c USING (doc_id)
 """

@@ -214,30 +214,21 @@ def test_interval_tree_and_repeat_groups():
 
 
 def plain_lines(rows):
-    """Kept text by document, by the same boundaries, comparing whole chunks."""
+    """Kept text by document: lines of windows that stand before go, comparing whole windows; rows come in the order of ids."""
     seen, out = set(), []
     for i, t in rows:
         if t is None:
             out.append((i, None, 0, 0))
             continue
         ls = t.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
-        chunks, start = [], 0
-        for k in range(len(ls)):
-            r = sum((h[k - b] if k >= b else 0) * pow(lines.BASE, b, lines.MODULUS) for b in range(lines.WINDOW)) % lines.MODULUS
-            if k == len(ls) - 1 or r % lines.DIVISOR == 0:
-                chunks.append(ls[start : k + 1])
-                start = k + 1
-        kept, gone = [], 0
-        for c in chunks:
-            body = "\n".join(c)
-            if len(c) >= 2 and body in seen:
-                gone += len(c)
-                continue
-            kept.append(body)
-            if len(c) >= 2:
-                seen.add(body)
-        out.append((i, "\n".join(kept), len(ls), gone))
+        places = [k for k, x in enumerate(ls) if x.strip(lines.BLANK)]
+        gone = set()
+        for a, b in zip(places, places[1:]):
+            if len(ls[a]) + len(ls[b]) >= lines.MIN_CHARS:
+                if (ls[a], ls[b]) in seen:
+                    gone |= {a, b}
+                seen.add((ls[a], ls[b]))
+        out.append((i, "\n".join(x for k, x in enumerate(ls) if k not in gone), len(ls), len(gone)))
     return out
 
 
@@ -256,8 +247,35 @@ def test_line_dedup_equals_a_plain_pass(session):
     assert {r.n_lines for r in out.collect()} == {7}
 
 
+def test_passages_of_two_and_more_lines_go(session):
+    """Runs of lines (60 code points or more) that stand in an earlier document, by brute force: each goes, whatever surrounds it."""
+    docs = [(r.doc_id, r.text) for r in session.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rng = random.Random(8)
+    passages = ["\n".join(prose(rng, rng.randrange(6, 12)) for _ in range(n)) for n in (2, 2, 3, 4, 6)]
+    docs += [(10_000 + k, f"{prose(rng, 7)}\n{passages[k % 5]}\n{prose(rng, 9)}") for k in range(60)]
+    df = session.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id: (r.text or "").split("\n") for r in lines.dedup_lines(df).collect()}
+    before, want, hit, clean = set(), 0, 0, 0
+    texts = set()
+    for i, t in docs:
+        ls = [x for x in (t or "").split("\n") if x.strip()]
+        pairs = list(zip(ls, ls[1:]))
+        if t not in texts:
+            for a, b in pairs:
+                if len(a) + len(b) >= 60 and (a, b) in before:
+                    want += 2
+                    hit += (a not in kept[i]) + (b not in kept[i])
+            if not any(p in before for p in pairs) and len(set(pairs)) == len(pairs):
+                clean += 1
+                assert [x for x in kept[i] if x.strip()] == ls
+        texts.add(t)
+        before |= set(pairs)
+    assert want > 200 and hit >= 0.95 * want and clean > 500
+
+
 def test_line_dedup_of_repeated_rows_and_null_ids(session):
-    text = "\n".join(prose(random.Random(6), 4) for _ in range(12))
+    rng = random.Random(6)
+    text = "\n".join(prose(rng, 6) for _ in range(12))
     df = session.createDataFrame([(5, text), (5, text), (None, text), (2, None), (2, "")], "doc_id long, text string")
     rows = lines.dedup_lines(df).collect()
     assert len(rows) == 5
