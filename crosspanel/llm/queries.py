@@ -123,7 +123,8 @@ def op5_language(spark, sf_dir):
 def op4_repeats(spark, sf_dir):
     """Bytes of every document that a repeated string of 400 bytes covers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats.remove_repeats(docs, with_kept=False).withColumnRenamed("id", "doc_id")
+    found = repeats.remove_repeats(docs, with_kept=False).withColumnRenamed("id", "doc_id")
+    return found.withColumn("kept_bytes", F.col("n_bytes") - F.col("n_removed"))
 
 
 @query
