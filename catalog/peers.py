@@ -177,11 +177,10 @@ def attention_pool(spark, sf):
     return G.softmax_pool(g, "score", ["r5", "volume"], B.universe_rows(spark, sf)).select("date", "ticker", "pool_r5", "pool_volume")
 
 
-@query("X17", f"""{RET}, o AS (SELECT date, ticker, category, r5, row_number() OVER (PARTITION BY date ORDER BY r5, ticker) AS pos,
-  count(*) OVER (PARTITION BY date) AS n FROM a WHERE r5 IS NOT NULL),
-d AS (SELECT *, (pos * {G.STEP} + draw * {G.SHIFT}) % n + 1 AS partner FROM (SELECT *, unnest(generate_series(1, 4)) AS draw FROM o))
+@query("X17", f"""{RET}, o AS (SELECT date, ticker, category, r5, row_number() OVER (PARTITION BY date, category ORDER BY ('0x' || substr(md5(concat_ws('|', date::VARCHAR, category, ticker)), 1, 15))::BIGINT, ticker) AS pos,
+  count(*) OVER (PARTITION BY date, category) AS n FROM a WHERE r5 IS NOT NULL),
+d AS (SELECT *, (pos - 1 + draw) % n + 1 AS partner FROM (SELECT *, unnest(generate_series(1, 4)) AS draw FROM o) WHERE draw < n)
 SELECT d.date, d.category, d.draw, d.ticker, o.ticker AS other, {r('d.r5', 'r5')}, {r('o.r5', 'other_rel')}
-FROM d JOIN o ON o.date = d.date AND o.pos = d.partner
-WHERE o.category = d.category AND o.r5 <> d.r5 AND o.ticker <> d.ticker""")
+FROM d JOIN o ON o.date = d.date AND o.category = d.category AND o.pos = d.partner WHERE o.r5 <> d.r5""")
 def peer_pairs(spark, sf):
     return G.sample_pairs(returns(spark, sf), "r5", 4, B.universe_rows(spark, sf))

@@ -13,7 +13,7 @@ from crosspanel.session import tune
 
 MODULES = [
     "sources", "quality", "trailing", "peers", "families", "indicators", "labels", "splits", "joins",
-    "evaluation", "portfolios", "audits", "screens", "models", "boosted", "linear",
+    "evaluation", "portfolios", "audits", "screens", "models", "boosted", "linear", "streams",
 ]
 
 

@@ -16,6 +16,7 @@ from crosspanel.operators import quality as Q
 from crosspanel.operators import screen as S
 from crosspanel.plans import families as FM
 from crosspanel.plans import indicators as I
+from crosspanel.session import scratch_path
 from crosspanel.sources import panel as P
 from crosspanel.sources import uploads as U
 
@@ -63,6 +64,23 @@ def sorted_page(spark, sf):
     return S.sort_page(B.metadata(spark, sf), "category", False, 5, 10).select("ticker", "name", "category")
 
 
+@query("Q5", f"{META} SELECT ticker, name, category FROM meta ORDER BY category DESC NULLS LAST, ticker LIMIT 4 OFFSET 8")
+def keyset_page(spark, sf):
+    """The third page, each page found by the last key of the one before."""
+    meta, after = B.metadata(spark, sf), None
+    for _ in range(2):
+        last = S.page_after(meta, "category", False, after, 4).select("category", "ticker").collect()[-1]  # one page
+        after = tuple(last)
+    return S.page_after(meta, "category", False, after, 4).select("ticker", "name", "category")
+
+
+@query("Q5", f"""{META}, n AS (SELECT category, ticker, row_number() OVER (ORDER BY category DESC NULLS LAST, ticker) AS k, count(*) OVER () AS n FROM meta)
+SELECT k // 4 + 1 AS page, category AS value, ticker FROM n WHERE k % 4 = 0 AND k < n""")
+def page_starts(spark, sf):
+    """The key before every page of four."""
+    return S.page_starts(B.metadata(spark, sf), "category", False, 4)
+
+
 @query("Q6", f"""{DAY} SELECT count(*) AS n, {r('avg(score)', 'mean_score')}, {r('avg(confidence)', 'mean_confidence')}, count(*) FILTER (prediction = 'underperform') AS underperform,
   count(*) FILTER (prediction = 'neutral') AS neutral, count(*) FILTER (prediction = 'outperform') AS outperform FROM dy""")
 def day_summary(spark, sf):
@@ -128,6 +146,21 @@ for _name, _q, _n in (("search_word", "Ring", 50), ("search_ticker", "p12", 40),
     query("Q10", search_sql(_q, _n))(_fn)
 
 
+def _indexed(q, limit):
+    def run(spark, sf):
+        meta, path = search_universe(spark, sf), scratch_path(spark, "search-index")
+        S.write_search_index(meta, path)
+        return S.search_indexed(meta, spark.read.parquet(path), q, limit, liquidity=part_liquidity(spark, sf)).select(
+            "ticker", "name", "bucket", "position", "liquidity")
+    return run
+
+
+for _name, _q, _n in (("search_word", "Ring", 50), ("search_ticker", "p12", 40), ("search_literal", "d#1", 30), ("search_part", "ol", 60)):
+    _fn = _indexed(_q, _n)
+    _fn.__name__ = f"{_name}_indexed"
+    query("Q10", search_sql(_q, _n))(_fn)
+
+
 @query("Q11 J4", f"""{DAY} SELECT m.ticker, m.name, {r('d.score', 'score')}, d.score IS NOT NULL AS scored FROM meta m LEFT JOIN dy d ON d.ticker = m.ticker
 WHERE contains(lower(m.name), 'bond') ORDER BY m.ticker""")
 def search_with_scores(spark, sf):

@@ -100,28 +100,18 @@ def softmax_pool(df: DataFrame, score: str, values: Sequence[str], group_rows: i
     return df.withColumns({f"pool_{v}": safe_div(f"pool_{v}", "_den") for v in values}).drop("_top", "_w", "_den")
 
 
-# fixed values: multipliers that spread the drawn partners over a date
-STEP, SHIFT = 7919, 104729
-
-
 def sample_pairs(df: DataFrame, rel: str, draws: int, group_rows: int | None = None) -> DataFrame:
     """Pairs of same-category members of a date with different outcomes.
 
-    Every member draws ``draws`` partner positions among the date's members by a
-    fixed formula; drawn pairs of different categories, equal outcomes or the
-    same member are left out. At most draws x members rows, through an equi-join.
+    Members are put in an order that depends on date, category and ticker alone, and each is paired with the next ``draws`` of its category,
+    around the end: partners are distinct, none is drawn in vain, and every member of a category of two or more has some. Pairs of
+    equal outcomes are left out. At most draws x members rows, through an equi-join.
     """
-    numbered = X.ordinal(df.select("date", "ticker", "category", rel), X.DATE, rel, "_pos", size="_n", group_rows=group_rows)
-    numbered = numbered.filter(F.col("_pos").isNotNull())
-    drawn = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
-        "_partner", (F.col("_pos") * STEP + F.col("draw") * SHIFT) % F.col("_n") + 1
-    )
-    other = numbered.select(
-        "date", F.col("_pos").alias("_partner"), F.col("ticker").alias("other"),
-        F.col("category").alias("_cat"), F.col(rel).alias("other_rel"),
-    )
-    return (
-        drawn.join(other, ["date", "_partner"])
-        .filter((F.col("category") == F.col("_cat")) & (F.col(rel) != F.col("other_rel")) & (F.col("ticker") != F.col("other")))
-        .select("date", "category", "draw", "ticker", "other", rel, "other_rel")
-    )
+    named = F.concat_ws("|", F.col("date").cast("string"), "category", "ticker")
+    known = df.filter(F.col(rel).isNotNull()).select("date", "ticker", "category", rel, F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long").alias("_key"))
+    placed = X.ordinal(known, X.PEERS, "_key", "_pos", size="_n", group_rows=group_rows).drop("_key")
+    steps = F.filter(F.sequence(F.lit(1), F.lit(draws)), lambda d: d < F.col("_n"))
+    drawn = placed.withColumn("draw", F.explode(steps)).withColumn("_partner", (F.col("_pos") - 1 + F.col("draw")) % F.col("_n") + 1)
+    other = placed.select("date", "category", F.col("_pos").alias("_partner"), F.col("ticker").alias("other"), F.col(rel).alias("other_rel"))
+    pairs = drawn.join(other, ["date", "category", "_partner"]).filter(F.col(rel) != F.col("other_rel"))
+    return pairs.select("date", "category", "draw", "ticker", "other", rel, "other_rel")
