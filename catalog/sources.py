@@ -184,11 +184,13 @@ def markdown_report(spark, sf):
     return spark.read.text(f"{path}/part=1")
 
 
-@query("S12 J14", f"{B.OHLCV_SQL} SELECT date, ticker, {rs('close', 'volume')} FROM ohlcv")
+@query("S12 J14", f"""{B.OHLCV_SQL} SELECT date, ticker, {r('CASE WHEN year(date) % 2 = 0 AND month(date) > 6 THEN close + 1 ELSE close END', 'close')}, {rs('volume')} FROM ohlcv""")
 def combined_batches(spark, sf):
+    """Three batches that overlap; of clashing rows the last batch's stays."""
     b = B.ohlcv(spark, sf).select("date", "ticker", "close", "volume")
-    odd, even = F.year("date") % 2 == 1, F.year("date") % 2 == 0
-    return P.combine_batches([b.filter(odd), b.filter(even), b.filter(even & (F.month("date") > 6))])
+    odd, even, late = F.year("date") % 2 == 1, F.year("date") % 2 == 0, F.month("date") > 6
+    corrected = b.filter(even & late).withColumn("close", F.col("close") + 1)
+    return P.combine_batches([b.filter(odd | late), b.filter(even), corrected])
 
 
 @query("S13", f"""{B.PANEL_SQL}, a AS (SELECT *, {B.chg('close')} AS r1 FROM panel)

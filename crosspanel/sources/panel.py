@@ -46,11 +46,17 @@ def fill_category(meta: DataFrame, columns: Sequence[str] = ("category", "catego
 
 
 def combine_batches(batches: Sequence[DataFrame]) -> DataFrame:
-    """Stack downloaded batches and keep one row per (date, ticker)."""
-    out = batches[0]
-    for b in batches[1:]:
-        out = out.unionByName(b)
-    return out.dropDuplicates(["date", "ticker"])
+    """Stack downloaded batches and keep one row per (date, ticker): that of the last batch that has one.
+
+    Rows of one batch that clash are told apart by their values, the greatest staying, so the result does not depend on partitioning.
+    """
+    out = None
+    for i, b in enumerate(batches):
+        b = b.withColumn("_batch", F.lit(i))
+        out = b if out is None else out.unionByName(b)
+    columns = [c for c in batches[0].columns if c not in ("date", "ticker")]
+    row = F.struct("_batch", *columns)
+    return out.groupBy("date", "ticker").agg(F.max(row).alias("_r")).select("date", "ticker", *[F.col("_r")[c].alias(c) for c in columns]).select(*batches[0].columns)
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -114,8 +120,8 @@ def write_panel(df: DataFrame, path: str, mode: str = "overwrite", as_float: boo
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write a small result table as one CSV or JSON file."""
-    writer = df.coalesce(1).write.mode("overwrite")
+    """Write a result table as CSV or JSON, a file for each of its partitions."""
+    writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
