@@ -212,38 +212,14 @@ def forest_scores(spark, sf):
     return scored_rows.select("date", "ticker", "score", "prediction", "confidence")
 
 
-@query("M4")
-def two_stage_scores(spark, sf):
-    """Scores of the extreme gate times the direction model on held-out dates."""
-    train, test = halves(spark, sf)
-    return M.two_stage(train, FEATS, rounds=10).score(test).select("date", "ticker", "p_ext", "p_dir", "score")
-
-
-@query("M15")
-def grid_search(spark, sf):
-    train, test = halves(spark, sf)
-    return M.grid_search(train, test, FEATS, M.forest, {"trees": [5, 20], "depth": [3, 6]})
-
-
-@query("M15 M16")
-def feature_ablation(spark, sf):
-    """Validation metrics without the most important features."""
-    train, test = halves(spark, sf)
-    fit = lambda t, f: M.forest(t, f, trees=5, depth=4)
-    full = fit(train, FEATS)
-    sets = {"all": FEATS, "without_top_1": M.drop_top(FEATS, full, 1), "without_top_2": M.drop_top(FEATS, full, 2)}
-    return M.ablation(train, test, sets, fit)
-
-
 @query("M16")
 def feature_importance(spark, sf):
     train, _ = halves(spark, sf)
     return M.importance_table(spark, M.forest(train, FEATS, trees=10, depth=5))
 
 
-@query("E24 P13")
 def leak_checks(spark, sf):
-    """A permuted label must score like the majority class; a planted outcome column must stand out."""
+    """Both checks with a small forest."""
     train, test = halves(spark, sf)
     fit = lambda t, f: M.forest(t, f, trees=5, depth=5)
     return M.shuffled_label_accuracy(train, test, FEATS, fit).unionByName(M.planted_leak_accuracy(train, test, FEATS, fit))

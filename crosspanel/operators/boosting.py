@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crosspanel.operators import decisions as D
+from crosspanel.operators import splits as S
 from crosspanel.operators.models import MissingColumns
 from crosspanel.session import discard, materialise
 
@@ -284,6 +285,27 @@ def fit(
     return Boosted(features, cuts, tuple(trees), depth, classes, tuple(gains.tolist()))
 
 
+@dataclass(frozen=True)
+class TwoStage:
+    """An extreme-or-not gate and a direction model trained on extremes only."""
+
+    gate: Boosted
+    direction: Boosted
+
+    def score(self, df: DataFrame) -> DataFrame:
+        out = self.gate.probabilities(df, ("_p_calm", "p_ext"))
+        out = self.direction.probabilities(out, ("_p_down", "p_dir")).drop("_p_calm", "_p_down")
+        return out.withColumns(D.two_stage("p_ext", "p_dir"))
+
+
+def two_stage(train: DataFrame, features: Sequence[str], extreme: str = "y_ext", top: str = "y_top", **settings) -> TwoStage:
+    """Both models with the same settings. A positive of the gate weighs as much as negatives come to one positive."""
+    weight = S.positive_weight(train, extreme).first()["weight"]
+    weighted = train.withColumn("_w", F.when(F.col(extreme) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
+    gate = fit(weighted, features, extreme, "_w", 2, **settings)
+    return TwoStage(gate, fit(train.filter(F.col(extreme) == 1), features, top, None, 2, **settings))
+
+
 def _advanced(rows: DataFrame, recent, width: int, classes: int, depth: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(recent)
 
