@@ -59,6 +59,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_ids(df: DataFrame, name: str) -> None:
+    """Raise unless ids are whole numbers: components are told by the smallest."""
+    if not isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{name} must hold whole numbers, not {df.schema[name].dataType.simpleString()}")
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import col, components, forest, runs, stored
+from crosspanel.llm.common import col, components, forest, runs, stored, whole_ids
 
 THRESHOLD = 0.98
 NEAREST = 6
 SHARED = 3
-#: Reference points: from MIN_PIVOTS for small tables up to MAX_PIVOTS, half the square root of the vectors between.
-MIN_PIVOTS, MAX_PIVOTS = 128, 1_024
+#: Reference points, at most; the same at every size of the table.
+PIVOTS = 512
 #: Vectors looked at for each reference point.
 SAMPLE = 4
 #: Entries of one list compared in one block; longer lists are dealt over pairs of blocks.
@@ -55,13 +55,11 @@ def prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return vectors.select(col(id_col).cast("long"), col(label_col).cast("string"), col(vector_col)).mapInArrow(run, "id long, label string, key binary, vector binary")
 
 
-def choose_pivots(distinct: DataFrame, n_pivots: int | None = None, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
+def choose_pivots(distinct: DataFrame, n_pivots: int = PIVOTS, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
     """Reference points of each dimension, at most ``n_pivots`` of all: in the order of their digests, vectors that are far apart.
 
     A vector within twice the angle of the threshold of a chosen one is left out, so a dense group of near copies holds a few at most.
     """
-    if n_pivots is None:
-        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, distinct.count() ** 0.5 / 2)))
     rows = distinct.groupBy("key").agg(F.first("vector").alias("vector")).orderBy("key").limit(SAMPLE * n_pivots).collect()
     by_size: dict[int, list] = {}
     left = n_pivots
@@ -170,13 +168,14 @@ def _compared(batches, threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD,
-                    nearest: int = NEAREST, shared: int = SHARED, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+                    nearest: int = NEAREST, shared: int = SHARED, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component (smallest id reachable), kept (id is that).
 
     Vectors link if their labels are equal and not null, they have one length, and their cosine reaches ``threshold``. Vectors without an
     id, null or zero ones and those with a null or non-finite component link with nothing and are kept. Rows that repeat an id are vectors
-    of their own. An empty table gives an empty result; other columns are not read.
+    of their own. An empty table gives an empty result; other columns are not read. Ids must be whole numbers.
     """
+    whole_ids(vectors, id_col)
     rows = stored(prepared(vectors, id_col, vector_col, label_col), "vectors")
     distinct = stored(rows.filter("key IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "distinct")
     posted = stored(postings(distinct, choose_pivots(distinct, n_pivots, threshold), nearest, shared), "postings")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,12 +100,19 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(rows: DataFrame, per_language: int) -> list:
-    """Counts of a bounded sample (id, lang, bucket, n) per language, chosen by a hash of the id."""
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0)
+    """Counts of a sample (id, lang, bucket, n): ``per_language`` rows of each language, or all it has if these are fewer.
+
+    Rows are drawn by a hash of id, text and place in the table, so ids may be null or repeated; a first draw leaves about half
+    as many again, of which those with the smallest hashes stay.
+    """
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one number for each language
+    share = F.lit(0.0)
     for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, per_language / size))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / size))).otherwise(share)
+    drawn = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("draw", F.xxhash64("id", "text", "place"))
+    drawn = drawn.filter(F.pmod("draw", F.lit(2**53)) / F.lit(float(2**53)) < share)
+    order = Window.partitionBy("lang").orderBy("draw", "place")
+    chosen = drawn.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
 
     def run(batches):
         for b in batches:
@@ -153,11 +160,14 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, epochs: int = 4,
         alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 5) -> Model:
-    """Learn from the rows with a language and a text; every fifth sampled document calibrates. No such row gives a model that knows no language."""
+    """Learn from the rows with a language and a text; every fifth sampled document calibrates. No such row gives a model that knows no language.
+
+    Ids only order the sample: they may be null, repeated, or of any type.
+    """
     rows = train.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     frequency, total = document_frequencies(rows.select("text"))
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
-    found = sorted(sample(rows, per_language), key=lambda r: (r.lang, r.id, r.bucket))
+    found = sorted(sample(rows, per_language), key=lambda r: (r.lang, r.id or "", r.bucket))
     languages = sorted({r.lang for r in found})
     place = {lang: k for k, lang in enumerate(languages)}
     examples = [(b := np.frombuffer(r.bucket, "<i4"), tf_idf(idf, b, np.frombuffer(r.n, "<i4")), place[r.lang]) for r in found if len(r.bucket)]

@@ -96,30 +96,34 @@ def _chars_column(docs: DataFrame, chars_col: str | None):
 
 def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, chars_col: str | None, label_col: str,
                       max_labelled: int) -> list:
-    """Features of a sample of labelled documents, chosen by a hash of the id; about ``max_labelled`` at most."""
+    """Features of a sample of labelled documents, chosen by a hash of the id: ``max_labelled`` at most.
+
+    Of several labels of an id the greatest counts, and of several texts the one with the smallest hash.
+    """
     usable = labels.filter(col(label_col).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(
         F.max(col(label_col)).cast("int").alias("y"))
     n = usable.count()
     if n > max_labelled:
-        share = int(1_000_000 * max_labelled / n)
-        usable = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
-    # the sample is bounded by max_labelled rows of two numbers
+        draw = F.xxhash64("id")
+        near = usable.filter(F.pmod(draw, F.lit(2**53)) / F.lit(float(2**53)) < F.lit(1.5 * max_labelled / n))
+        usable = near.orderBy(draw, "id").limit(max_labelled)
+    # the sample is bounded by max_labelled rows of two values
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), _chars_column(docs, chars_col).alias("chars"))
-    sample = texts.join(F.broadcast(usable), "id").select("id", "y", "text", "chars")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "chars")).alias("d")
+    sample = texts.join(F.broadcast(usable), "id").groupBy("id", "y").agg(one).select("id", "y", "d.text", "d.chars")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            ids, ys, index, value = [], [], [], []
-            for i, y, data, chars in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3).to_pylist()):
+            index, value = [], []
+            for data, chars in zip(raw_texts(b.column(2)), b.column(3).to_pylist()):
                 f = features(data, chars)
-                ids.append(i)
-                ys.append(y)
                 index.append(f[0].astype("<i4").tobytes())
                 value.append(f[1].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(index, pa.binary()), pa.array(value, pa.binary())],
                                              ["id", "y", "idx", "val"])
 
-    return sample.mapInArrow(run, "id long, y int, idx binary, val binary").collect()
+    return sample.mapInArrow(run, f"id {kind}, y int, idx binary, val binary").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",

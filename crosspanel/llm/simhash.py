@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.llm.common import col, components, forest, fresh, raw_texts, runs, stored
+from crosspanel.llm.common import col, components, forest, fresh, raw_texts, runs, stored, whole_ids
 
 SHINGLE = 3
 MAX_DISTANCE = 3
@@ -265,8 +265,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``measure`` is (words of a shingle, words of the fingerprint, differing bits allowed). Null, empty and blank texts have a fingerprint
     of zeros and link like any other. A null id gets the component of its fingerprint, or null if no document with an id has that one.
-    Repeated rows give repeated results, an empty table an empty one; other columns are not read.
+    Repeated rows give repeated results, an empty table an empty one; other columns are not read. Ids must be whole numbers.
     """
+    whole_ids(docs, id_col)
     prints = stored(fingerprints(docs, (measure,), id_col, text_col), "prints")
     distinct = _distinct(prints, 0)
     roots = components(stored(links(distinct, measure[2]), "links"), "simhash")

@@ -293,7 +293,7 @@ def test_line_dedup_runs_no_python(session):
 # -- embeddings --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block,n_pivots", [(1_024, None), (3, None), (1_024, 2)])
+@pytest.mark.parametrize("block,n_pivots", [(1_024, 512), (3, 512), (1_024, 2)])
 def test_embeddings_equal_brute_force(session, block, n_pivots):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
@@ -314,3 +314,28 @@ def test_embeddings_equal_brute_force(session, block, n_pivots):
         assert got == want
     assert [(r.n_links, r.component, r.kept) for r in out if r.id is None] == [(0, None, True)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_must_be_whole_numbers(session):
+    with pytest.raises(TypeError, match="whole numbers"):
+        simhash.simhash_groups(session.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="whole numbers"):
+        embeddings.near_duplicates(session.createDataFrame([("a", [1.0], 1)], "vec_id string, embedding array<double>, label int"))
+
+
+@pytest.mark.parametrize("n_pivots", [512, 1_024])
+def test_recall_of_links(session, n_pivots):
+    """2,000 vectors of the given table with four noisy copies each: thousands of links, found against all pairs of a label."""
+    rng = np.random.default_rng(7)
+    given = [r for r in session.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(1_500).collect() if r.label is not None and r.embedding is not None]
+    base = np.array([r.embedding for r in given], np.float64)
+    noise = lambda: base + 0.07 * np.linalg.norm(base, axis=1, keepdims=True) / np.sqrt(base.shape[1]) * rng.normal(size=base.shape)
+    vectors = np.concatenate([base, *(noise() for _ in range(4))])
+    labels = [r.label for r in given] * 5
+    df = session.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    want = near.sum(1) - 1
+    got = {r.id: r.n_links for r in embeddings.near_duplicates(df, n_pivots=n_pivots).select("id", "n_links").collect()}
+    assert want.sum() > 10_000 and all(got[k] <= n for k, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()

@@ -10,6 +10,7 @@ import os
 import random
 import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -171,6 +172,63 @@ def test_n_grams_do_not_depend_on_chunks(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
 
 
+def test_sample_of_a_language_is_never_empty_and_never_more(session):
+    one = session.range(3_000).select(F.lit(7).cast("long").alias("id"), F.lit("xx").alias("lang"), F.lit("kar tor").alias("text"))
+    none = session.range(2_000).select(F.lit(None).cast("long").alias("id"), F.lit("yy").alias("lang"), F.concat(F.lit("ba"), F.col("id").cast("string")).alias("text"))
+    few = session.range(5).select("id", F.lit("zz").alias("lang"), F.lit("zu").alias("text"))
+    rows = one.unionByName(none).unionByName(few)
+    found = Counter(r.lang for r in language.sample(rows, 100))
+    assert found == {"xx": 100, "yy": 100, "zz": 5}
+    model = language.fit(rows.withColumnsRenamed({"id": "doc_id"}), per_language=20)
+    assert model.languages == ["xx", "yy", "zz"]
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    examples = [(np.unique(rng.integers(0, 12, 4)), None, int(rng.integers(0, 3))) for _ in range(40)]
+    examples = [(b, rng.uniform(0.1, 1, len(b)), y) for b, _, y in examples]
+    alpha, beta, l1, l2, seed = 0.5, 1.0, 0.05, 0.2, 9
+    got, bias = language.ftrl(examples, 3, 3, alpha, beta, l1, l2, seed)
+    z, n = {}, {}
+    order = np.random.default_rng(seed)
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        a, b = (0.0, 0.0) if i == "bias" else (l1, l2)
+        if abs(v) <= a:
+            return 0.0
+        return -(v - (a if v > 0 else -a)) / ((beta + n.get((i, k), 0.0) ** 0.5) / alpha + b)
+
+    for _ in range(3):
+        for at in order.permutation(len(examples)):
+            buckets, x, y = examples[at]
+            terms = [*zip(buckets.tolist(), x.tolist()), ("bias", 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in terms for k in range(3)}
+            s = [sum(w[i, k] * v for i, v in terms) for k in range(3)]
+            p = [np.exp(v - max(s)) for v in s]
+            p = [v / sum(p) for v in p]
+            for i, v in terms:
+                for k in range(3):
+                    g = v * (p[k] - (k == y))
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[i, k]
+                    n[i, k] = old + g * g
+    for i in range(12):
+        assert np.allclose(got[i], [weight(i, k) for k in range(3)])
+    assert np.allclose(bias, [weight("bias", k) for k in range(3)]) and (got[12:] == 0).all()
+
+
+def test_quality_sample_is_bounded_whatever_the_ids(session):
+    docs = session.range(4_000).select(F.when(F.col("id") < 3_000, F.lit("same")).otherwise(F.concat(F.lit("d"), F.col("id").cast("string"))).alias("doc_id"),
+                                       F.concat(F.lit("word "), (F.col("id") % 7).cast("string")).alias("text"), F.lit(5).alias("n_chars"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") == "same", 1).otherwise(0).alias("quality")).unionByName(session.createDataFrame([(None, 1), ("gone", 1)], "doc_id string, quality int"))
+    rows = quality.labelled_features(docs, labels, "doc_id", "text", "n_chars", "quality", 5_000)
+    assert len(rows) == 1_001 and len({r.id for r in rows}) == 1_001
+    assert len(quality.labelled_features(docs, labels, "doc_id", "text", "n_chars", "quality", 100)) <= 100
+    scores = quality.score(docs.limit(3), quality.fit(docs, labels, max_labelled=50, visits=200)).collect()
+    assert len(scores) == 3 and all(0 <= r.score <= 1 for r in scores)
+
+
 def test_ftrl_is_sparse_and_calibrated():
     z = np.array([[4.0, 0.0], [0.0, 4.0], [4.0, 0.0]])
     assert language.calibrate(z, np.array([0, 1, 1])) > 1  # over-confident scores are softened
