@@ -95,13 +95,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as an event log: each row is a message of its own.
+    """A table of turns (conv_id, turn, role, text) as the event log that leads to it.
 
-    Rows with one turn number stay apart: they are numbered by role and text within it.
+    A user's turn is sent reversed and then edited. An assistant's is streamed in two pieces if it has an even number of characters; if not, a first
+    answer is thrown away and generated anew. Other turns, and null texts, are one message each. Rows with one turn number stay apart:
+    they are numbered by role and text within it.
     """
-    return conversations.groupBy("conv_id", "turn", "role", "text").count().select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"),
-        F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("count")), lambda k: F.struct("turn", "role", "text", k.alias("copy")))).alias("message_id"), "role", "text")
+    size, text = F.length("text"), F.col("text")
+    event = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("text"))
+    half = F.floor(size / 2).cast("int")
+    streamed = F.array(event("message", F.substring(text, F.lit(1), half)), event("delta", F.substring(text, half + 1, size)))
+    again = F.array(event("message", F.reverse(text)), event("delta", F.lit(" and so on")), event("regenerate", text))
+    edited = F.array(event("message", F.reverse(text)), event("edit", text))
+    events = F.when(text.isNull(), F.array(event("message", text))).when((F.col("role") == LOSS_ROLE) & (size % 2 == 0), streamed).when(
+        F.col("role") == LOSS_ROLE, again).when(F.col("role") == "user", edited).otherwise(F.array(event("message", text)))
+    rows = conversations.groupBy("conv_id", "turn", "role", "text").count().select(
+        "conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+    rows = rows.select("conv_id", "turn", "role", F.struct("turn", "role", F.md5("text").alias("digest"), "copy").alias("message_id"), F.explode(events).alias("e"))
+    return rows.select("conv_id", F.col("turn").alias("seq"), "e.kind", "message_id", "role", "e.text")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.llm.common import col, raw_texts
+from crosspanel.llm.common import col, raw_texts, stored
 
 WINDOW = 13
 #: Indexed words of one shard, words of one benchmark block, distance of sampled suffix positions.
 SHARD_WORDS = 1_000_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 SAMPLE = 8
 #: Contaminated from this share of hit words on, as 1 / SHARE.
 SHARE = 20
@@ -303,15 +303,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    With several benchmark blocks the hits of all blocks are gathered per row first, in passes that carry them in a column.
+    With several benchmark blocks the hits of all blocks are gathered per row first, in passes that carry them in a column and are written.
     """
     context = docs.sparkSession.sparkContext
     text, n = docs.columns.index(text_col), len(docs.columns)
     state = "_".join(["hits", *docs.columns])  # longer than any column: cannot clash
     rows = docs.withColumn(state, F.lit(None).cast("binary"))
-    blocks = [context.broadcast(known) for known in benchmark_blocks(benchmark, item_id_col, item_text_col, window, block_words)]
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = benchmark_blocks(benchmark, item_id_col, item_text_col, window, block_words)
+    known, following = next(blocks), None
+    while known is not None:
+        following = next(blocks, None)
+        shared, last = context.broadcast(known), following is None
 
         def run(batches, shared=shared, last=last):
             def build(batch, shard, hits):
@@ -326,4 +328,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             return _searched(batches, text, shared.value, build)
 
         rows = rows.mapInArrow(run, rows.schema)
+        if not last:  # so that tasks hold one block at a time
+            rows = stored(rows, "hits")
+            shared.unpersist()
+        known = following
     return rows.drop(state)

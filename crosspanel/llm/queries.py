@@ -60,6 +60,23 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(decontaminate.find(docs, items)).withColumnRenamed("id", "doc_id")
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+iw AS (SELECT DISTINCT item_id::VARCHAR AS item, n, array_to_string(words[i : i + n - 1], ' ') AS phrase
+       FROM (SELECT item_id, words, least(13, len(words)) AS n, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+ln AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS phrase FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, ln WHERE len(words) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM dw JOIN iw USING (n, phrase)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
