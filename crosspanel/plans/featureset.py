@@ -11,13 +11,17 @@ Phases of a build, each phase one layout of the data:
     ranks2   percentile ranks of those               (exchange by date, only if used)
     final    row-wise expressions and the output columns
 
+The ranks among own rows are a pass in Arrow, which the optimizer cannot prune, so
+helper columns that no later phase reads are left behind there.
+
 Sets built together merge phase by phase: a column two sets need is computed
 once, and of two outputs with one name the first set's is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +31,9 @@ from crosspanel.operators import recurrence as E
 
 Stage = dict[str, Column]
 
+#: Columns of the grid that operators read without being told.
+AXES = ["date", "t", "ticker", "category"]
+
 
 @dataclass
 class FeatureSet:
@@ -67,30 +74,37 @@ def _union(maps: Sequence[Mapping]) -> dict:
     return out
 
 
+def _read(stages: Iterable[Stage]) -> set[str]:
+    """Every word of the expressions, the names of the columns they read among them."""
+    return {word for stage in stages for expr in stage.values() for word in re.findall(r"\w+", str(expr))}
+
+
 def build(grid: DataFrame, sets: Sequence[FeatureSet], group_rows: int | None = None) -> DataFrame:
     """(date, ticker, features...) for one or more feature sets in one pass."""
     df = grid
     for stage in _merge([s.trail() for s in sets]):
         df = df.withColumns(stage)
     own = _union([s.own_ranks for s in sets])
-    if own:  # after the last window by ticker: what follows is dealt by date anyway
-        df = E.own_rank(df, own)
     loo = _union([s.loo for s in sets])
     stats = _union([s.stats() for s in sets])
     ranks = _union([s.ranks for s in sets])
+    trail2 = _merge([s.trail2() for s in sets])
+    ranks2 = _union([s.ranks2 for s in sets])
+    final = _union([s.final() for s in sets])
+    names = list(dict.fromkeys(c for s in sets for c in s.columns))
+    if own:  # after the last window by ticker: what follows is dealt by date anyway
+        later = {*names, *AXES, *loo.values(), *ranks.values(), *ranks2.values(), *_read([stats, *trail2, final])}
+        df = E.own_rank(df, own, [c for c in df.columns if c in later])
     if loo:
         df = X.add_loo(df, X.PEERS, loo, False, group_rows)
     if stats:
         df = X.group_stats(df, X.PEERS, stats, group_rows)
     if ranks:
         df = X.pct_rank(df, X.PEERS, ranks, group_rows)
-    for stage in _merge([s.trail2() for s in sets]):
+    for stage in trail2:
         df = df.withColumns(stage)
-    ranks2 = _union([s.ranks2 for s in sets])
     if ranks2:
         df = X.pct_rank(df, X.PEERS, ranks2, group_rows)
-    final = _union([s.final() for s in sets])
     if final:
         df = df.withColumns(final)
-    names = list(dict.fromkeys(c for s in sets for c in s.columns))
     return df.select("date", "ticker", *names)

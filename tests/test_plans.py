@@ -88,3 +88,11 @@ def test_package_is_shipped_once(spark):
     ship_package(spark)
     assert len(spark.sparkContext.listFiles) == before
     assert any(f.endswith("crosspanel.zip") for f in spark.sparkContext.listFiles)
+
+
+def test_own_ranks_carry_only_what_is_read_later(grid):
+    df = build(materialise(grid), FM.FAMILIES, 12)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    carried = {c.split("#")[0] for c in re.search(r"MapInArrow run\(([^)]*)\)", text).group(1).split(", ")}
+    assert {"date", "ticker", "vol_20d", "r1", "dd_60d"} <= carried
+    assert not {"hl", "hi_252", "lo_252", "open", "volume"} & carried
