@@ -13,16 +13,16 @@ from html import escape
 MARK = "\ue000"
 
 # fixed values: attribute words by the part of a page that carries them
-MAIN = "article post entry content story main body text page single prose markdown blog news detail read".split()
+MAIN = "article post entry content story main body text page single prose markdown blog news detail read inhalt artikel beitrag contenido articulo contenu texte".split()
 PARTS = {
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav links pagination pager tabs toc skip".split(),
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav links pagination pager tabs toc skip site-menu menue navegacion".split(),
     "header": "header masthead top logo branding tagline banner title-bar toolbar".split(),
-    "footer": "footer copyright colophon bottom legal imprint credits site-info".split(),
-    "sidebar": "sidebar aside widget related recommended popular trending tags archive promo-list secondary rail read-more more".split(),
+    "footer": "footer copyright colophon bottom legal imprint credits site-info fuss fusszeile impressum pie pied pied-de-page mentions".split(),
+    "sidebar": "sidebar aside widget related recommended popular trending tags archive promo-list secondary rail read-more more seitenleiste lateral".split(),
     "ad": "ad ads advert advertisement sponsored sponsor promo promotion adsense commercial marketing".split(),
-    "notice": "cookie cookies consent gdpr notice alert privacy popup modal overlay paywall message disclaimer warning banner announcement".split(),
+    "notice": "cookie cookies consent gdpr notice alert privacy popup modal overlay paywall message disclaimer warning banner announcement hinweis aviso avis".split(),
     "form": "search newsletter subscribe login signup contact-form subscription register".split(),
-    "comments": "comments comment comment-list reader-comments responses replies discussion feedback reactions disqus".split(),
+    "comments": "comments comment comment-list reader-comments responses replies discussion feedback reactions disqus respond thread guestbook user-comments kommentare comentarios commentaires".split(),
     "share": "share social sharing follow buttons toolbar".split(),
 }
 ELEMENTS = {
@@ -151,7 +151,12 @@ class Page:
         tag = rng.choice(["article"] * 4 + ["main", "section", "div", "div", "div", "td"])
         words = self.attributes(MAIN, 0.7 if tag in ("article", "main") else 0.25)
         if tag == "td":
-            return f"<table><tr><td{words}>{inside}</td></tr></table>"
+            # a page laid out as a table: cells beside the main text hold menus
+            cells = [f"<td{words}>{inside}</td>"]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                side = self.links(rng.randrange(2, 9)) if rng.random() < 0.7 else "<br>".join(f'<a href="/{k}">{escape(self.some(15))}</a>' for k in range(rng.randrange(2, 6)))
+                cells.insert(rng.randrange(len(cells) + 1), f"<td{self.attributes(PARTS['nav'], 0.7)}>{side}</td>")
+            return "<table><tr>" + "".join(cells) + "</tr></table>"
         return f"<{tag}{words}>{inside}</{tag}>"
 
     def page(self) -> str:

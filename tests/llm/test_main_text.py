@@ -113,6 +113,13 @@ WHOLE = {
         f"<div class='cookie-notice'>We use cookies to make this site better for you, as everybody does.</div><ul class='menu'><li><a href='#'>Home</a></li><li><a href='#'>News</a></li></ul>"
         f"<div class='post-content'><h1>The mill</h1><p>{PROSE}<p>Short.<blockquote>{PROSE}</blockquote></div><form class='newsletter'><p>{PROSE}</p><input></form><div class='footer'>{PROSE}</div>",
         ["The mill", PROSE, "Short.", PROSE]),
+    "laid out as a table": (
+        f"<table><tr><td><a href='1'>Home</a><br><a href='2'>News</a></td><td><h1>The mill</h1><p>{PROSE}</p><p>{PROSE}</p></td></tr></table>", ["The mill", PROSE, PROSE]),
+    "replies after the text": (
+        f"<div role='main' class='entry'><h2>The mill</h2><p>{PROSE}</p></div><section id='respond'><h3>Reader comments</h3><p>{PROSE}</p></section>", ["The mill", PROSE]),
+    "words of another language": (
+        "<nav><a href='/'>Start</a></nav><div class='inhalt'><h1>Die Mühle</h1><p>Der Fluss stand in diesem Frühling hoch, und die Mühle ruhte.</p><p>Kurz.</p></div><div class='fuss'>Impressum</div>",
+        ["Die Mühle", "Der Fluss stand in diesem Frühling hoch, und die Mühle ruhte.", "Kurz."]),
     "only paragraphs": (f"<p>{PROSE}</p><p>{PROSE}</p>", [PROSE, PROSE]),
     "only text": (PROSE, [PROSE]),
     "only a menu": ("<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav><footer>&copy; Daily</footer>", []),
