@@ -72,3 +72,28 @@ def test_repeated_cells_are_refused(spark):
     df = spark.createDataFrame([("2024-01-01", "a", 1.0), ("2024-01-01", "a", 2.0), ("2024-01-01", "b", 2.0)], "date string, ticker string, close double").selectExpr("cast(date AS date) AS date", "ticker", "close")
     with pytest.raises(Exception, match="several rows"):
         W.to_wide(df, ["close"]).collect()
+
+
+def test_strips_side_by_side(spark, frame, tmp_path):
+    long = W.from_wide(spark.createDataFrame(frame.set_axis([str(c) for c in frame.columns], axis=1).reset_index()))
+    path = str(tmp_path / "strips")
+    W.write_wide(long, path, columns=100)
+    assert W.strips(spark, path) == [path]
+    W.write_wide(long, path, columns=20)
+    found = W.strips(spark, path)
+    assert len(found) == 3 and all(len(spark.read.parquet(p).columns) <= 21 for p in found)
+    for keep in (False, True):
+        back = W.read_wide(spark, path, group=3, keep_missing=keep)
+        kept = [r for r in back.collect() if keep or r.close is not None or r.volume is not None or r.open is not None or r.high is not None or r.low is not None]
+        tickers = {r.ticker for r in long.collect()}
+        assert len(kept) == (6 * len(tickers) if keep else long.count())
+    assert sorted(map(repr, W.read_wide(spark, path, group=3).collect())) == sorted(map(repr, long.collect()))
+
+
+def test_number_of_scans_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "SCANS", 4)
+    rows = spark.range(100).selectExpr("date'2024-01-01' AS date", "concat('T', id) AS ticker", "cast(id AS double) AS close")
+    W.write_wide(rows, str(tmp_path / "out"), ["close"])
+    back = W.read_wide(spark, str(tmp_path / "out"), ["close"], group=2)
+    assert back._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4
+    assert sorted(r.close for r in back.collect()) == [float(i) for i in range(100)]
