@@ -103,3 +103,23 @@ def test_odd_tables(spark, rows):
     assert model.cuts[0].size == 0 and model.score(blank).count() == 600
     with pytest.raises(ValueError):
         G.fit(df, ["a"], bins=300)
+
+
+def test_cuts_are_exact_and_no_task_reads_all(spark, monkeypatch):
+    monkeypatch.setattr(G, "FEW", 200)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4_000, 5))
+    x[:, 1] = np.round(x[:, 1], 1)
+    x[:, 2] = 7.0 + x[:, 2] * 1e-12  # differ in their last bits alone
+    x[:, 3] = np.where(rng.random(4_000) < 0.5, -0.0, np.where(rng.random(4_000) < 0.5, np.inf, -np.inf))
+    x[:, 4] = np.nan
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"f{i}" for i in range(5)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(7)
+    got = G.quantile_cuts(df, names, 16, 100)
+    for f in range(5):
+        v = np.sort(x[:, f][~np.isnan(x[:, f])]) + 0.0
+        want = np.unique([v[max(0, -(-k * len(v) // 16) - 1)] for k in range(1, 16)]) if len(v) else np.zeros(0)
+        assert got[f].tolist() == want.tolist()
+    cells = G._cells(df.selectExpr("array(f0) AS x"), 1, 0, G.FIRST_BITS, [np.zeros(1, np.int64)])
+    assert cells.agg(F.sum("n")).first()[0] == int(np.sum(~np.isnan(x[:, 0]))) and cells.count() < 100
