@@ -30,7 +30,8 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Documents link if the Jaccard similarity of their five-word shingles is 0.8 or more.
+    Documents link if the Jaccard similarity of their five-word shingles is 0.8 or more. Candidates are the links of their fingerprints, and
+    those of the bands of a sketch for pairs whose fingerprints differ in more bits.
     """
     prepare(spark)
     return simhash.keep_one(docs)

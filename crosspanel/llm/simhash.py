@@ -9,9 +9,9 @@ fingerprint at an anchor with those at home there finds all pairs that agree in
 Fingerprints of one word that differ in at most 3 bits always do (3 bits over two halves): this search misses no link. Longer
 fingerprints allow more differing bits; there a pair is found if one of its blocks agrees, more surely the longer they are.
 
-``keep_one`` does not link by fingerprints. Sets of shingles with a Jaccard similarity of 0.8 differ in about 15 of 100 bits, so a 32-bit
-block of two such fingerprints agrees up to one bit with probability 0.037, and 124 blocks (2,108 replicas of each document)
-would be needed to find 99 % of them. There candidates share a band of a MinHash sketch, and their shingles decide.
+``keep_one`` takes the links of the fingerprints of its five-word shingles as its first candidates; the sets of shingles decide. Sets with a Jaccard similarity
+of 0.8 differ in about 15 of 100 bits, so a 32-bit block of two such fingerprints agrees up to one bit with probability 0.037, and 124 blocks
+(2,108 replicas of each document) would be needed to find 99 % of them. Pairs that far apart are found by the bands of a MinHash sketch besides.
 """
 
 from __future__ import annotations
@@ -300,14 +300,16 @@ def _text_key(text_col: str):
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, same, sketch): ``same`` is a digest of the set of shingles."""
+    """(id, key, same, fp, sketch): ``same`` is a digest of the set of shingles, ``fp`` the fingerprint of their sequence."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.StringType()), T.StructField("same", T.BinaryType()),
-                           T.StructField("sketch", T.BinaryType())])
+                           T.StructField("fp", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            sets = [shingles(words(t)) for t in raw_texts(b.column(2))]
+            split = [words(t) for t in raw_texts(b.column(2))]
+            sets = [shingles(w) for w in split]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
+                                              pa.array([fingerprint(w, NEAR_SHINGLE) for w in split], pa.binary()),
                                               pa.array([sketch(s) for s in sets], pa.binary())], schema.names)
 
     return docs.select(col(id_col), _text_key(text_col), col(text_col)).mapInArrow(run, schema)
@@ -522,15 +524,22 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_pairs(distinct: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b): candidates among the rows (node, fp) by fingerprints that are equal or differ in at most ``limit`` bits."""
+    prints = stored(distinct.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    equal = distinct.join(prints, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return equal.unionByName(stored(links(prints, limit), "links"))
+
+
 def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float = NEAR, block: int = NEAR_BLOCK) -> DataFrame:
     """(a, b): links that connect the nodes whose sets of shingles have a Jaccard similarity of ``threshold`` or more.
 
-    Candidates share a band of their sketches, and each is verified by its sets. First, rows are only paired with their neighbours in a band and
-    with its centre, a few pairs for each row. What these links connect is not compared again. Then all other pairs of a band are: bands
+    Candidates are linked by their fingerprints or share a band of their sketches, and each is verified by its sets. First come the pairs of the fingerprints, and
+    in a band rows are only paired with their neighbours and its centre, a few pairs for each row. What these links connect is not compared again. Then all other pairs of a band are: bands
     of more than ``block`` rows are dealt over a grid of cells, and a cell passes on few pairs for each of its rows or is verified whole
     in its task, so the pairs of a large group never become rows.
     """
-    distinct = stored(nodes.groupBy("same").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch")), "distinct")
+    distinct = stored(nodes.groupBy("same").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
     equal = nodes.join(distinct.select("same", F.col("node").alias("rep")), "same").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     rows = banded(distinct.withColumn("root", F.col("node")))
     parts = F.ceil(F.col("count") / block).cast("int").alias("parts")
@@ -542,7 +551,7 @@ def near_copies(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, t
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     chain = dealt.select("band", part.cast("long").alias("part"), "node", "sketch", "parts").repartition("band", "part").sortWithinPartitions("band", "part", "node")
     found = stored(chain.mapInArrow(_near_in_parts, FOUND), "found")
-    beside = found.filter("b >= 0").select("a", "b")
+    beside = fingerprint_pairs(distinct).unionByName(found.filter("b >= 0").select("a", "b"))
     if crowded:
         centre = found.filter("b < 0").groupBy("band").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("b"))
         near_centre = rows.join(centre, "band").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
@@ -572,7 +581,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     Documents without an id cannot be told apart and all stay, and link nothing. An empty table gives an empty one.
     """
     known, rest = docs.filter(col(id_col).isNotNull()), docs.filter(col(id_col).isNull())
-    each = described(known, id_col, text_col).groupBy("id", "key").agg(F.first("same").alias("same"), F.first("sketch").alias("sketch"))
+    each = described(known, id_col, text_col).groupBy("id", "key").agg(F.first("same").alias("same"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     # numbers that grow with the id, so the smallest of a group is the document with the smallest id
     nodes = stored(each.orderBy("id", "key").withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = stored(near_copies(known, nodes, id_col, text_col, threshold, block), "links")

@@ -92,3 +92,16 @@ def test_similar_pairs_are_exact():
     i, j = simhash.similar_pairs(sets, 0.6)
     want = {(a, b) for a in range(len(sets)) for b in range(a) if len(x := np.intersect1d(sets[a], sets[b])) / (len(sets[a]) + len(sets[b]) - len(x)) >= 0.6}
     assert {(max(a, b), min(a, b)) for a, b in zip(i, j)} == want and len(i) == len(want)
+
+
+def test_fingerprints_find_copies_without_any_band(spark, monkeypatch):
+    """Candidates of the fingerprints alone: equal shingles in another number, and one word changed in many; the shingles decide."""
+    prepare(spark)
+    rng = random.Random(34)
+    long, other = prose(rng, 3_000).split(), prose(rng, 300)
+    edited = [*long[:1_500], "changed", *long[1_501:]]
+    assert (simhash._distance(*(np.frombuffer(simhash.fingerprint([w.encode() for w in t], simhash.NEAR_SHINGLE), ">u8").astype(np.uint64) for t in (long, edited)))) <= simhash.MAX_DISTANCE
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, other), (4, "the the the"), (5, None), (6, " ")]
+    monkeypatch.setattr(simhash, "banded", lambda d: d.select(*[simhash.F.lit(0).cast("long").alias("band"), "node", "root", "sketch"]).filter("false"))
+    stay = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert stay == {1, 3, 4, 5}
