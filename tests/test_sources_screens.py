@@ -137,6 +137,16 @@ def test_index_finds_what_a_scan_finds(spark, q, tmp_path):
     assert S.search_indexed(df, index, q).collect() == S.search(df, q).collect()
 
 
+def test_index_is_written_by_the_tasks_of_its_searched_rows(spark, tmp_path):
+    rows = [(f"T{k}", f"Fund {k} of gold", "Metals") for k in range(200)]
+    df = spark.createDataFrame(rows, "ticker string, name string, category string").coalesce(1)
+    S.write_search_index(df, str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    files = index.select("ticker", S.F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == 200 and len({r.file for r in files}) == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, S.search_index(df).collect()))
+
+
 def test_panel_round_trip(grid, spark, tmp_path):
     P.write_panel(grid.select("date", "ticker", "close"), str(tmp_path / "p"))
     back = P.read_ohlcv(spark, str(tmp_path / "p"))
