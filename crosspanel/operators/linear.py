@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.operators import cross as X
+from crosspanel.operators import boosting as G
 from crosspanel.operators import decisions as D
 from crosspanel.operators.models import MissingColumns
 from crosspanel.session import discard, materialise
@@ -96,24 +96,44 @@ def standardised(x: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), np.where(np.isnan(z), 0.0, z)], 1)
 
 
-def group_stats(train: DataFrame, features: Sequence[str], by: str) -> dict[int, np.ndarray]:
-    """Median, mean and deviation of every feature in every group; three numbers each reach the driver."""
-    long = train.select(F.col(by).cast("long").alias("_g"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]).unpivot(["_g"], list(features), "feature", "x")
-    moments = long.groupBy("_g", "feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    rows = moments.join(X.quantiles(long, ["_g", "feature"], "x", {"median": 0.5}), ["_g", "feature"]).collect()
-    place = {f: i for i, f in enumerate(features)}
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["_g"], np.full((3, len(features)), np.nan))[:, place[r["feature"]]] = [np.nan if v is None else v for v in (r["median"], r["mean"], r["std"])]
+#: Columns whose medians are sought together.
+TOGETHER = 256
+
+
+def group_stats(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """Median, mean and deviation of every feature in every group of rows (g, x); a few numbers each reach the driver.
+
+    Medians are exact and come from counts of leading bits, so no row is moved or sorted for them.
+    """
+    x = [F.get("x", i) for i in range(width)]
+    known = [F.count(F.when(c.isNotNull() & ~F.isnan(c), 1)).alias(f"n{i}") for i, c in enumerate(x)]
+    moments = [m.alias(f"{k}{i}") for i, c in enumerate(x) for k, m in (("m", F.avg(c)), ("s", F.stddev_samp(c)))]
+    found = {r["g"]: r for r in rows.filter("g IS NOT NULL").groupBy("g").agg(*known, *moments).collect()}
+    number = lambda v: np.nan if v is None else v
+    out = {g: np.array([[np.nan, number(r[f"m{i}"]), number(r[f"s{i}"])] for i in range(width)]).T for g, r in found.items()}
+    groups, step = sorted(found), max(1, TOGETHER // width)
+    for at in range(0, len(groups), step):
+        part = groups[at : at + step]
+        # a column for each group and feature, missing in the rows of other groups
+        columns = rows.select(F.array(*[F.when(F.col("g") == g, c) for g in part for c in x]).alias("x"))
+        sizes = [found[g][f"n{i}"] for g in part for i in range(width)]
+        ranks = [(k, rank) for k, n in enumerate(sizes) if n for rank in {(n + 1) // 2, n // 2 + 1}]
+        for k, values in enumerate(G.ranked_values(columns, len(sizes), ranks, sum(sizes))):
+            if len(values):
+                out[part[k // width]][0, k % width] = values[0] + 0.5 * (values[-1] - values[0])
     return out
 
 
-def _written(train: DataFrame, features: Sequence[str], label: str, weight: str | None, by: str, stats) -> DataFrame:
+def _numbered(train: DataFrame, features: Sequence[str], label: str, weight: str | None, by: str) -> DataFrame:
+    """(g, y, w, x): what the fit reads of the rows, written once."""
+    return materialise(train.select(
+        F.col(by).cast("long").alias("g"), F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), _raw(features).alias("x")), "fitted")
+
+
+def _written(raw: DataFrame, width: int, stats) -> DataFrame:
     """(g, y, w, z): the standardised rows with a label, written once."""
-    shared = train.sparkSession.sparkContext.broadcast(stats)
-    named = train.filter(F.col(label).isNotNull() & F.col(by).isNotNull()).select(
-        F.col(by).cast("long").alias("g"), F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), _raw(features).alias("x"))
-    width = len(features)
+    shared = raw.sparkSession.sparkContext.broadcast(stats)
+    named = raw.filter("y IS NOT NULL AND g IS NOT NULL")
 
     def run(batches):
         for b in batches:
@@ -191,8 +211,10 @@ def _penalties(spark, counts: dict[int, float], width: int, blocks: int, reg: fl
 def ridge(train: DataFrame, features: Sequence[str], label: str = "target", by: str | None = None, weight: str | None = None, reg: float = 1e-3) -> Linear:
     """Least squares on standardised features with the penalty ``reg`` on squared coefficients, in each group of ``by``."""
     train, by = _tagged(train, by)
-    stats = group_stats(train, features, by)
-    rows = _written(train, features, label, weight, by, stats)
+    raw = _numbered(train, features, label, weight, by)
+    stats = group_stats(raw, len(features))
+    rows = _written(raw, len(features), stats)
+    discard(raw)
     width = len(features) + 1
     counts = {r.g: r.n for r in rows.groupBy("g").agg(F.sum("w").alias("n")).collect()}
 
@@ -215,8 +237,10 @@ def logistic(
     """
     train, by = _tagged(train, by)
     spark = train.sparkSession
-    stats = group_stats(train, features, by)
-    rows = _written(train, features, label, weight, by, stats)
+    raw = _numbered(train, features, label, weight, by)
+    stats = group_stats(raw, len(features))
+    rows = _written(raw, len(features), stats)
+    discard(raw)
     width, blocks = len(features) + 1, classes - 1
     size = width * blocks
     counts = {r.g: r.n for r in rows.groupBy("g").agg(F.sum("w").alias("n")).collect()}

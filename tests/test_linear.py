@@ -99,3 +99,18 @@ def test_expanding_folds(spark):
     days = spark.sql("SELECT explode(sequence(DATE '2020-01-01', DATE '2020-01-10')) AS date")
     folds = spark.sql("SELECT * FROM VALUES (1, DATE '2020-01-03'), (2, DATE '2020-01-07') AS t(fold, cut)")
     assert {r.fold: r["count"] for r in N.expanding(days, folds).groupBy("fold").count().collect()} == {1: 3, 2: 7}
+
+
+def test_training_rows_are_computed_once_and_medians_are_exact(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = frame(spark, rows)
+    model = N.ridge(df.mapInArrow(counted, df.schema), list("abcd"), by="g", reg=0.01)
+    assert read.value == 900
+    for k in range(3):
+        assert np.allclose(model.stats[k][0], np.nanmedian(rows[0][rows[3] == k], 0), rtol=1e-15, atol=0)
