@@ -159,3 +159,26 @@ def test_both_plans_give_the_same_rows_and_schema(awkward, call, keys):
     assert [(f.name, f.dataType) for f in small.schema] == [(f.name, f.dataType) for f in large.schema]
     tidy = lambda df: sorted((tuple(f"{v:.10g}" if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
     assert tidy(small) == tidy(large)
+
+
+def test_split_ordinal_joins_no_rows_back(spark, monkeypatch):
+    monkeypatch.setattr(X, "WINDOW_ROWS", 0)
+    rows = [(g, None if i % 7 == 0 else float(i % 5), f"t{i * 37 % 100:03d}") for g in ("a", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, x double, t string")
+    split = X.ordinal(df, ["g"], "x", "place", True, "t", size="n")
+    # one join, with the few places at which ranges of rows begin
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    want = {}
+    for g in ("a", None):
+        known = sorted((r for r in rows if r[0] == g and r[1] is not None), key=lambda r: (-r[1], r[2]))
+        want |= {r: (i, len(known)) for i, r in enumerate(known, 1)} | {r: (None, len(known)) for r in rows if r[0] == g and r[1] is None}
+    assert {(r.g, r.x, r.t): (r.place, r.n) for r in split.collect()} == want
+
+
+def test_deciles_compute_their_input_once(spark):
+    from crosspanel.operators import evaluate as V
+
+    df = spark.range(40).selectExpr("date_add(DATE '2024-01-01', int(id)) AS date", "'a' AS ticker", "double(id) AS rel", "double(-id) AS f")
+    held = V.feature_deciles(df, ["f"])
+    assert "Range (" not in held._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.rel, r.decile) for r in held.collect())[0] == (0.0, 10)
