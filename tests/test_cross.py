@@ -182,3 +182,19 @@ def test_deciles_compute_their_input_once(spark):
     held = V.feature_deciles(df, ["f"])
     assert "Range (" not in held._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.rel, r.decile) for r in held.collect())[0] == (0.0, 10)
+
+
+def test_ranks_of_groups_in_arrow(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"date": rng.integers(0, 6, 500), "category": rng.integers(0, 3, 500), "id": np.arange(500)})
+    columns = {f"r{i}": f"x{i}" for i in range(4)}
+    for x in columns.values():
+        pdf[x] = rng.integers(0, 20, 500).astype(float)
+    rows = [(None if r.category == 2 else int(r.category), int(r.date), int(r.id), *[None if getattr(r, x) < 3 else getattr(r, x) for x in columns.values()])
+            for r in pdf.itertuples()]
+    df = spark.createDataFrame([*rows, (1, 99, 500, None, None, None, None)], "category int, date int, id long, x0 double, x1 double, x2 double, x3 double")
+    got = X.pct_rank(df, X.PEERS, columns, 500, carry=["id"])
+    assert got.columns == ["id", *columns]
+    assert "MapInArrow ranked(" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = X.pct_rank(df, X.PEERS, columns, 500).select("id", *columns)
+    assert sorted(got.collect()) == sorted(want.collect())
