@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import pathlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ from crosspanel.operators import rolling as R
 from crosspanel.plans import families as FM
 from crosspanel.plans import indicators as I
 from crosspanel.plans.featureset import build
-from crosspanel.session import materialise
+from crosspanel.operators import models as M
+from crosspanel.session import discard, materialise, options, scratch_path
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 
@@ -96,3 +100,45 @@ def test_own_ranks_carry_only_what_is_read_later(grid):
     carried = {c.split("#")[0] for c in re.search(r"MapInArrow run\(([^)]*)\)", text).group(1).split(", ")}
     assert {"date", "ticker", "vol_20d", "r1", "dd_60d"} <= carried
     assert not {"hl", "hi_252", "lo_252", "open", "volume"} & carried
+
+
+def test_a_written_table_leaves_no_shuffle_files(grid):
+    disk = grid.sparkSession.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {str(f) for f in map(str, _listed(disk.getAllFiles())) if "shuffle_" in f}
+    before = shuffled()
+    written = materialise(grid.groupBy("t").agg(F.max("close").alias("top")), "top")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and written.count() == grid.select("t").distinct().count()
+
+
+def _listed(found):
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_options_hold_inside_the_block_alone(spark):
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    with options(spark, {key: "false"}):
+        assert spark.conf.get(key) == "false"
+    assert spark.conf.get(key) == "true"
+
+
+def test_shuffled_labels_move_the_wide_rows_once_and_leave_no_copy(grid, monkeypatch):
+    seen = {}
+
+    class Model:
+        def score(self, df):
+            return df.withColumn("prediction", F.lit(0))
+
+    def kept(df, name, as_dealt=False):
+        with options(df.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": str(not as_dealt).lower()}):
+            seen["exchanges"] = exchanges(df.select("*"))
+        return materialise(df, name)
+
+    monkeypatch.setattr(M, "materialise", kept)
+    train = materialise(grid.withColumn("target", F.col("t") % 3), "train")
+    out = M.shuffled_label_accuracy(train, train, ["close"], lambda t, f: seen.update(rows=t.count()) or Model()).first()
+    assert seen == {"exchanges": 2, "rows": train.count()} and 0 < out.accuracy <= out.reference
+    assert not glob.glob(os.path.dirname(scratch_path(grid.sparkSession, "any")) + "/shuffled-*")
+    discard(train)
