@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import glob
+import math
 import os
 import pathlib
 import re
 import time
+import types
 
 from pyspark.sql import functions as F
 
 from crosspanel.operators import cross as X
+from crosspanel.operators import models as M
 from crosspanel.operators import rolling as R
 from crosspanel.plans import families as FM
+from crosspanel.plans import featureset as FS
 from crosspanel.plans import indicators as I
 from crosspanel.plans.featureset import build
-from crosspanel.operators import models as M
 from crosspanel.session import discard, materialise, options, scratch_path
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
@@ -142,3 +145,25 @@ def test_shuffled_labels_move_the_wide_rows_once_and_leave_no_copy(grid, monkeyp
     assert seen == {"exchanges": 2, "rows": train.count()} and 0 < out.accuracy <= out.reference
     assert not glob.glob(os.path.dirname(scratch_path(grid.sparkSession, "any")) + "/shuffled-*")
     discard(train)
+
+
+def test_many_columns_of_many_tickers_stay_where_they_are(grid, monkeypatch):
+    g = materialise(grid.withColumn("category", F.when(F.col("ticker") != "T03", F.col("category"))))  # one ticker without a category
+    few = {(r.date, r.ticker): r for r in build(g, FM.FAMILIES, 12).collect()}
+    monkeypatch.setattr(FS, "APART_ROWS", 12)
+    widths = []
+
+    def spied(df, keys, columns, group_rows, carry):
+        widths.append(len(df.columns))
+        return X.pct_rank(df, keys, columns, group_rows, carry)
+
+    monkeypatch.setattr(FS, "X", types.SimpleNamespace(**{**vars(X), "pct_rank": spied}))
+    apart = build(g, FM.FAMILIES, 12)
+    assert exchanges(apart) == 1 and apart.columns == build(materialise(g), FM.FAMILIES, 11).columns and widths[0] < 32
+    many = apart.collect()
+    assert len(many) == len(few) == grid.count()
+    for r in many:
+        for c, a, b in zip(apart.columns, r, few[r.date, r.ticker]):
+            assert a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-9)), (c, a, b)
+    monkeypatch.setattr(FS, "COPIED_GROUPS", 0)
+    assert build(g, FM.FAMILIES, 12).agg(F.count("beta_catrank"), F.count("cat_n")).first() == apart.agg(F.count("beta_catrank"), F.count("cat_n")).first()
