@@ -4,23 +4,25 @@ Column names carry the pair: ``('Close', 'SPY')`` or ``Close|SPY``, in either or
 groups of tickers, each a scan that names its own columns alone, so no row of the plan is ever wider than a group; and they are written
 from one array for each date, in the order of the table's own universe. A file's footer tells of every column, and each scan reads it. So a
 table of more than ``COLUMNS`` columns is written as strips of that many, files side by side in one folder, every one with all dates, and
-the work grows with the cells.
+the work grows with the cells. Strips are read whole, each file by the task that gets it, so their columns are in no plan and the driver,
+which would need memory for each of them, never sees their names.
 """
 
 from __future__ import annotations
 
 import ast
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosspanel.session import materialise, scratch_path
+from crosspanel.session import CLEANUP, materialise, options, scratch_path
 from crosspanel.sources import panel as P
 
 #: Tickers of one group of columns.
@@ -30,8 +32,8 @@ SCANS = 128
 #: Columns of one file; a table of more lies in several, one folder each.
 COLUMNS = 5_000
 STRIP = "columns-"
-#: Cells of one batch that Python makes.
-CELLS = 1_000_000
+#: Cells of one batch that Python makes, and of one file of a strip, which a task reads as a whole.
+CELLS, FILE_CELLS = 1_000_000, 8_000_000
 #: Names of the row index, as libraries write it.
 DATE_NAMES = ("date", "datetime", "timestamp", "index", "__index_level_0__")
 
@@ -84,6 +86,26 @@ def _read_in_spark(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType))
 
 
+def _long_schema(fields: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *[T.StructField(f, T.DoubleType()) for f in fields]])
+
+
+def _long(column: Callable[[str], pa.Array], date: str, tickers: Sequence[str], places: Mapping[str, Sequence[tuple[int, str]]], keep_missing: bool) -> pa.RecordBatch:
+    """The cells of one batch of wide rows, whose columns ``column`` gives, as (date, ticker, fields); ``places`` has the columns of each field."""
+    day, names, values = column(date), pa.array(tickers, pa.string()), []
+    n = len(day)
+    for named in places.values():
+        x = np.full((n, len(tickers)), np.nan)
+        for i, c in named:
+            x[:, i] = column(c).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+        values.append(x.ravel())
+    there = [np.isfinite(x) for x in values]
+    rows = np.arange(n * len(tickers)) if keep_missing else np.flatnonzero(np.any(there, axis=0))
+    columns = [day.take(pa.array(rows // len(tickers))), names.take(pa.array(rows % len(tickers)))]
+    columns += [pa.array(x[rows], mask=~ok[rows]) for x, ok in zip(values, there)]
+    return pa.RecordBatch.from_arrays(columns, ["date", "ticker", *places])
+
+
 def _cells(part: DataFrame, date: str, kinds: Mapping[str, T.DataType], found: Mapping[str, Mapping[str, str]], fields: Sequence[str], keep_missing: bool) -> DataFrame:
     """(date, ticker, fields) of a frame of the date and the columns of a few tickers, which ``found`` names."""
     day = _col(date)
@@ -92,28 +114,16 @@ def _cells(part: DataFrame, date: str, kinds: Mapping[str, T.DataType], found: M
     changed = {c: _col(c).cast("double") for names in found.values() for c in names.values() if _read_in_spark(kinds[c])}
     # one struct of all columns, so their names are neither parsed nor sent one by one
     part = part.withColumns(changed | {date: day.cast("date")}).select(F.struct(F.col("*")).alias("row"))
-    tickers = list(found)
+    tickers, schema = list(found), _long_schema(fields)
     places = {f: [(i, found[t][f]) for i, t in enumerate(tickers) if f in found[t]] for f in fields}
-    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *[T.StructField(f, T.DoubleType()) for f in fields]])
 
     def run(batches):
         step = max(1, CELLS // (len(tickers) * len(fields)))
-        names = pa.array(tickers, pa.string())
         for whole in batches:
             at = {f.name: i for i, f in enumerate(whole.column(0).type)}
             for start in range(0, whole.num_rows, step):
                 b = whole.column(0).slice(start, step)
-                n, values = len(b), []
-                for f in fields:
-                    x = np.full((n, len(tickers)), np.nan)
-                    for i, c in places[f]:
-                        x[:, i] = b.field(at[c]).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
-                    values.append(x.ravel())
-                there = [np.isfinite(x) for x in values]
-                rows = np.arange(n * len(tickers)) if keep_missing else np.flatnonzero(np.any(there, axis=0))
-                columns = [b.field(at[date]).take(pa.array(rows // len(tickers))), names.take(pa.array(rows % len(tickers)))]
-                columns += [pa.array(x[rows], mask=~ok[rows]) for x, ok in zip(values, there)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                yield _long(lambda c, b=b: b.field(at[c]), date, tickers, places, keep_missing)
 
     return part.mapInArrow(run, schema)
 
@@ -158,12 +168,39 @@ def strips(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or []) or [path]
 
 
+def _strip_rows(spark: SparkSession, paths: Sequence[str], fields: Sequence[str], separator: str, keep_missing: bool) -> DataFrame:
+    """Long rows of strips; a task reads the files it gets, names of their columns among them."""
+    fields = list(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for contents in batches:
+            for content in contents.column(0):
+                file = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                date, found = column_map(file.schema_arrow.names, fields, separator)
+                tickers = sorted(found)
+                places = {f: [(i, found[t][f]) for i, t in enumerate(tickers) if f in found[t]] for f in fields}
+                wanted = [date, *[c for named in places.values() for _, c in named]]
+                for b in file.iter_batches(max(1, CELLS // (len(tickers) * len(fields))), columns=wanted):
+                    at = {c: i for i, c in enumerate(b.schema.names)}
+                    yield _long(lambda c, b=b, at=at: b.column(at[c]), date, tickers, places, keep_missing)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(paths))
+    return files.select("content").mapInArrow(run, _long_schema(fields))
+
+
 def read_wide(spark: SparkSession, path: str, fields: Sequence[str] = P.FIELDS, separator: str = "|", group: int = GROUP, keep_missing: bool = False) -> DataFrame:
     """Long rows of a wide parquet file, or of all strips of one; every group of columns is a scan of those columns alone.
 
-    Tables of more than ``SCANS`` groups are read in wider ones, so the number of scans is bounded.
+    Tables of more than ``SCANS`` groups are read in wider ones, so the number of scans is bounded. Strips of plain numbers, which all have
+    the types of the first, are read by file.
     """
-    schemas = {p: spark.read.parquet(p).schema for p in strips(spark, path)}
+    found = strips(spark, path)
+    schemas = {found[0]: spark.read.parquet(found[0]).schema}
+    date, _ = column_map(schemas[found[0]].names, fields, separator)
+    plain = all(isinstance(f.dataType, T.DateType) if f.name == date else not _read_in_spark(f.dataType) for f in schemas[found[0]].fields)
+    if found != [path] and plain:
+        return _strip_rows(spark, found, fields, separator, keep_missing)
+    schemas |= {p: spark.read.parquet(p).schema for p in found[1:]}
     tickers = sum(len(column_map(s.names, fields, separator)[1]) for s in schemas.values())
     group = max(group, math.ceil(tickers / SCANS))
     parts = []
@@ -241,10 +278,12 @@ def write_wide(df: DataFrame, path: str, fields: Sequence[str] = P.FIELDS, colum
         to_wide(df, fields, tickers).write.mode("overwrite").parquet(path)
         return
     rows = scratch_path(spark, "wide-strips")
-    _rows(df, fields, tickers, width).repartition("strip", "date").write.partitionBy("strip").parquet(rows)
+    with options(spark, CLEANUP):
+        _rows(df, fields, tickers, width).repartition("strip", "date").write.partitionBy("strip").parquet(rows)
     kinds = _kinds(df, fields)
     folder, system = _folder(spark, path)
     system.delete(folder, True)
     for k in range(0, len(tickers), width):
         mine = spark.read.parquet(f"{rows}/strip={k // width}")
-        _spread(mine, kinds, tickers[k : k + width], None).write.parquet(f"{path}/{STRIP}{k // width:06d}")
+        files = _spread(mine, kinds, tickers[k : k + width], None).write.option("maxRecordsPerFile", max(1, FILE_CELLS // (width * len(fields))))
+        files.parquet(f"{path}/{STRIP}{k // width:06d}")

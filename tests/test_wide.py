@@ -97,3 +97,17 @@ def test_number_of_scans_is_bounded(spark, tmp_path, monkeypatch):
     back = W.read_wide(spark, str(tmp_path / "out"), ["close"], group=2)
     assert back._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4
     assert sorted(r.close for r in back.collect()) == [float(i) for i in range(100)]
+
+
+def test_plan_of_strips_does_not_grow_with_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_CELLS", 40)
+    rows = spark.range(600).selectExpr("date_add(date'2024-01-01', cast(id % 6 AS int)) AS date", "concat('T.', id div 6) AS ticker", "cast(id AS double) AS close", "if(id % 4 = 0, null, cast(id AS int)) AS volume")
+    path = str(tmp_path / "out")
+    W.write_wide(rows, path, ["close", "volume"], columns=20)
+    assert len(W.strips(spark, path)) == 10
+    back = W.read_wide(spark, path, ["close", "volume"], group=2)
+    text = back._jdf.queryExecution().toString()
+    assert text.count("FileScan") == 1 and "('Close'" not in text
+    got = {(r.date, r.ticker): (r.close, r.volume) for r in back.collect()}
+    assert got == {(r.date, r.ticker): (r.close, r.volume) for r in rows.collect()}
+    assert {r.volume for r in W.read_wide(spark, path, ["volume"]).collect()} == {float(i) for i in range(600) if i % 4}
